@@ -71,35 +71,35 @@ class Ordered:
 
         if index:
             local[index] = F.row_number().over(rows)
-            carried.append(F.sum("_n").over(before).alias("_c_n"))
-            joined[index] = (F.col(index) - 1 + F.coalesce(F.col("_c_n"), F.lit(0))).cast("bigint")
+            carried.append(F.sum("_n").over(before).alias("_o_c_n"))
+            joined[index] = (F.col(index) - 1 + F.coalesce(F.col("_o_c_n"), F.lit(0))).cast("bigint")
         if previous:
             row = F.struct(*[c.alias(n) for n, c in previous.items()])
-            local["_prev"] = F.lag(row).over(rows)
+            local["_o_prev"] = F.lag(row).over(rows)
             per_block.append(F.max_by(row, at).alias("_tail"))
-            carried.append(F.lag("_tail").over(blocks).alias("_c_prev"))
-            joined.update({n: F.coalesce(F.col("_prev"), F.col("_c_prev"))[n] for n in previous})
+            carried.append(F.lag("_tail").over(blocks).alias("_o_c_prev"))
+            joined.update({n: F.coalesce(F.col("_o_prev"), F.col("_o_c_prev"))[n] for n in previous})
         if following:
             row = F.struct(*[c.alias(n) for n, c in following.items()])
-            local["_next"] = F.lead(row).over(rows)
+            local["_o_next"] = F.lead(row).over(rows)
             per_block.append(F.min_by(row, at).alias("_head"))
-            carried.append(F.lead("_head").over(blocks).alias("_c_next"))
-            joined.update({n: F.coalesce(F.col("_next"), F.col("_c_next"))[n] for n in following})
+            carried.append(F.lead("_head").over(blocks).alias("_o_c_next"))
+            joined.update({n: F.coalesce(F.col("_o_next"), F.col("_o_c_next"))[n] for n in following})
         for n, c in sums.items():
             local[n] = F.sum(c).over(run)
             per_block.append(F.sum(c).alias(f"_s_{n}"))
-            carried.append(F.sum(f"_s_{n}").over(before).alias(f"_c_{n}"))
-            joined[n] = F.coalesce(F.col(n) + F.col(f"_c_{n}"), F.col(n), F.col(f"_c_{n}"))
+            carried.append(F.sum(f"_s_{n}").over(before).alias(f"_o_c_{n}"))
+            joined[n] = F.coalesce(F.col(n) + F.col(f"_o_c_{n}"), F.col(n), F.col(f"_o_c_{n}"))
         for n, c in last.items():
             local[n] = F.last(c, ignorenulls=True).over(run)
             per_block.append(F.max_by(c, F.when(c.isNotNull(), at)).alias(f"_l_{n}"))
-            carried.append(F.last(f"_l_{n}", ignorenulls=True).over(before).alias(f"_c_{n}"))
-            joined[n] = F.coalesce(F.col(n), F.col(f"_c_{n}"))
+            carried.append(F.last(f"_l_{n}", ignorenulls=True).over(before).alias(f"_o_c_{n}"))
+            joined[n] = F.coalesce(F.col(n), F.col(f"_o_c_{n}"))
         for n, c in maxima.items():
             local[n] = F.max(c).over(run)
             per_block.append(F.max(c).alias(f"_m_{n}"))
-            carried.append(F.max(f"_m_{n}").over(before).alias(f"_c_{n}"))
-            joined[n] = F.greatest(F.col(n), F.col(f"_c_{n}"))
+            carried.append(F.max(f"_m_{n}").over(before).alias(f"_o_c_{n}"))
+            joined[n] = F.greatest(F.col(n), F.col(f"_o_c_{n}"))
 
         carry = (
             self.df.filter(F.col(BLOCK) >= 0)
@@ -109,7 +109,7 @@ class Ordered:
         )
         inner = self.df.withColumns(local)
         out = inner.join(carry, [*keys, BLOCK], "left").withColumns(joined)
-        helpers = [c for c in out.columns if c.startswith(("_c_", "_prev", "_next"))]
+        helpers = [c for c in out.columns if c.startswith("_o_")]
         return self.with_df(out.drop(*helpers))
 
 
@@ -127,8 +127,11 @@ def ordered(
     """
     limit = rows_per_block or ROWS_PER_BLOCK
     at = F.col(split)
-    if dict(df.dtypes)[split].startswith("timestamp"):
+    kind = dict(df.dtypes)[split]
+    if kind == "timestamp":
         at = F.unix_micros(split)
+    elif kind == "timestamp_ntz":  # no zone, so no cast to an instant: days and seconds of the day
+        at = F.unix_date(F.to_date(at)) * 86400 + F.hour(at) * 3600 + F.minute(at) * 60 + F.second(at)
     at = at.cast("double")
     large = (
         df.groupBy(*keys)
