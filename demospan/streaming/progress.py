@@ -9,6 +9,7 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import pandas as pd
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
@@ -130,20 +131,20 @@ def current_rollouts(df: DataFrame) -> DataFrame:
 def annotate_new(path: str, annotate, key: str = "episode"):
     """foreachBatch writer for incremental annotation: only keys without a good row are sent on.
 
-    ``annotate(requests) -> (good, errors)``. Failures stay out of the good table, so the next run
-    that sees them tries again.
+    ``annotate(requests) -> (key, response, error, attempts)``. Each batch's results are written
+    once, good and failed together, so no answer is asked for twice; failures do not count as done,
+    so the next run that sees them tries again.
     """
 
     def write(batch: DataFrame, batch_id: int) -> None:
         spark = batch.sparkSession
         todo = batch
         try:
-            todo = pending(batch, spark.read.parquet(f"{path}/good").filter(F.col("batch") != batch_id), [key])
-        except Exception as e:  # noqa: BLE001 - the first batch finds no table yet
-            if "PATH_NOT_FOUND" not in str(e) and "UNABLE_TO_INFER_SCHEMA" not in str(e):
+            earlier = spark.read.parquet(path).filter((F.col("batch") != batch_id) & F.col("error").isNull())
+            todo = pending(batch, earlier, [key])
+        except AnalysisException as e:  # the first batch finds no table yet
+            if e.getCondition() not in ("PATH_NOT_FOUND", "UNABLE_TO_INFER_SCHEMA"):
                 raise
-        good, errors = annotate(todo)
-        good.write.mode("overwrite").parquet(f"{path}/good/batch={batch_id}")
-        errors.write.mode("overwrite").parquet(f"{path}/errors/batch={batch_id}")
+        annotate(todo).write.mode("overwrite").parquet(f"{path}/batch={batch_id}")
 
     return write
