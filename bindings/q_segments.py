@@ -4,21 +4,19 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from demospan.functions import text as X
-from demospan.operators import frames as FR
 from demospan.operators import progress as P
 from demospan.operators import segments as S
-from demospan.operators.ordered import islands, ordered, ordered_by_blocks, streak
+from demospan.operators.ordered import ordered_by_blocks, streak
 
 from .registry import query
-from .tables import FRAMES, SEGMENTS, SKILL_SEGMENTS, Tables
+from .tables import FRAMES, SEGMENTS, SKILL_SEGMENTS, Tables, near
 
 
 @query(f"""WITH {SEGMENTS} SELECT verb, count(*) AS count, min(length) AS min, max(length) AS max,
-  round(avg(length), 4) AS mean, round(stddev_pop(length), 4) AS std FROM segments WHERE length > 0 GROUP BY verb""")
+  floor((avg(length)) * 1e4 + 0.5001) / 1e4 AS mean, floor((stddev_pop(length)) * 1e4 + 0.5001) / 1e4 AS std FROM segments WHERE length > 0 GROUP BY verb""")
 def segment_length_stats(t: Tables):
     out = S.length_stats(t.segments.rows())
-    return out.withColumns({c: F.round(c, 4) for c in ("mean", "std")})
+    return out.withColumns({c: near(c, 4) for c in ("mean", "std")})
 
 
 @query(f"WITH {SEGMENTS} SELECT episode, seg_index, verb, start_step, end_step FROM segments")

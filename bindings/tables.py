@@ -32,6 +32,13 @@ def verb_of_flags() -> Column:
     )
 
 
+def near(x: Column | str, digits: int) -> Column:
+    """Round for comparison. Ties are moved off the boundary, so both engines agree on them; the
+    oracles write it as floor(x * 1eN + 0.5001) / 1eN."""
+    scale = float(10**digits)
+    return F.floor((F.col(x) if isinstance(x, str) else x) * scale + 0.5001) / scale
+
+
 class Tables:
     def __init__(self, spark: SparkSession, sf_dir: str):
         self.spark, self.sf_dir = spark, sf_dir

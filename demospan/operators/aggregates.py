@@ -67,36 +67,29 @@ def violation_summary(violations: DataFrame, stage: str = "rule") -> DataFrame:
     )
 
 
-def out_of_bounds(points: DataFrame, keys: list[str], inside: str = "in_bounds") -> DataFrame:
+def bounds_aggregates(inside: str = "in_bounds") -> list[Column]:
+    """Points outside the image: count and share."""
     out = F.count_if(~F.col(inside))
-    return points.groupBy(*keys).agg(
-        F.count(F.lit(1)).alias("points"),
-        out.alias("out_of_bounds_count"),
-        (out / F.count(F.lit(1))).alias("out_of_bounds_fraction"),
-    )
+    return [out.alias("out_of_bounds_count"), (out / F.count(F.lit(1))).alias("out_of_bounds_fraction")]
 
 
-def reprojection_summary(points: DataFrame, keys: list[str]) -> DataFrame:
+def reprojection_aggregates() -> list[Column]:
     """Largest and mean reprojection error, exact and for rounded points inside the image."""
-    inside = F.col("in_bounds")
-    rounded = F.when(inside, F.col("rounded_error"))
-    return points.groupBy(*keys).agg(
+    rounded = F.when(F.col("in_bounds"), F.col("rounded_error"))
+    return [
         F.max("exact_error").alias("exact_max_error"),
         F.avg("exact_error").alias("exact_mean_error"),
         F.coalesce(F.max(rounded), F.lit(0.0)).alias("rounded_max_error"),
         F.coalesce(F.avg(rounded), F.lit(0.0)).alias("rounded_mean_error"),
-        F.count_if(inside).alias("rounded_count"),
-    )
+        F.count_if(F.col("in_bounds")).alias("rounded_count"),
+    ]
 
 
 def element_stats(df: DataFrame, vector: str, points: dict[str, float] | None = None) -> DataFrame:
     """Per dimension of an array column: count, mean, population deviation and exact percentiles."""
     cells = df.select(F.posexplode(vector).alias("dim", "value"))
-    base = cells.groupBy("dim").agg(
-        F.count("value").alias("count"), F.avg("value").alias("mean"), F.stddev_pop("value").alias("std")
-    )
-    quantiles = percentiles(cells, ["dim"], "value", points or {"q01": 0.01, "q99": 0.99})
-    return base.join(quantiles, "dim", "left")
+    base = [F.count("value").alias("count"), F.avg("value").alias("mean"), F.stddev_pop("value").alias("std")]
+    return percentiles(cells, ["dim"], "value", points or {"q01": 0.01, "q99": 0.99}, also=base)
 
 
 def token_mean(df: DataFrame, keys: list[str], vector: str) -> DataFrame:

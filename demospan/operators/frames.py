@@ -120,16 +120,26 @@ def step_deltas(o: Ordered, x: str = "x", y: str = "y", name: str = "delta") ->
     return o.with_df(o.df.withColumn(name, delta).drop("_x", "_y"))
 
 
-def delta_stats(o: Ordered, x: str = "x", y: str = "y") -> DataFrame:
-    """Largest, mean and 95th percentile step distance per group; 0 with fewer than two points."""
-    keys = list(o.keys)
+def delta_stats(o: Ordered, x: str = "x", y: str = "y", also: list[Column] | None = None) -> DataFrame:
+    """Largest, mean and 95th percentile step distance per group; 0 with fewer than two points.
+
+    ``also`` adds aggregates of the same rows to the same pass.
+    """
     deltas = step_deltas(o, x, y).rows()
-    base = deltas.groupBy(*keys).agg(
-        F.count(F.lit(1)).alias("points"), F.max("delta").alias("max_delta"), F.avg("delta").alias("mean_delta")
+    out = percentiles(
+        deltas,
+        list(o.keys),
+        "delta",
+        {"p95_delta": 0.95},
+        sized_by=o.df,
+        also=[
+            F.count(F.lit(1)).alias("points"),
+            F.max("delta").alias("max_delta"),
+            F.avg("delta").alias("mean_delta"),
+            *(also or []),
+        ],
     )
-    p95 = percentiles(deltas, keys, "delta", {"p95_delta": 0.95})
-    zero = {c: F.coalesce(F.col(c), F.lit(0.0)) for c in ("max_delta", "mean_delta", "p95_delta")}
-    return base.join(p95, keys, "left").withColumns(zero)
+    return out.withColumns({c: F.coalesce(F.col(c), F.lit(0.0)) for c in ("max_delta", "mean_delta", "p95_delta")})
 
 
 def jumps(o: Ordered, limit: float = V.MAX_STEP_DELTA_PIXELS, x: str = "x", y: str = "y") -> DataFrame:

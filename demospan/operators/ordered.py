@@ -178,31 +178,54 @@ def islands(o: Ordered, *values: str, name: str = "island") -> Ordered:
     return o.with_df(o.df.drop("_changed"))
 
 
+def large_groups(df: DataFrame, keys: list[str], limit: int) -> DataFrame:
+    """Keys of the groups with more than ``limit`` rows, at most MAX_CUT_GROUPS of them, to be broadcast."""
+    counted = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("_rows")).filter(F.col("_rows") > limit)
+    top = counted.orderBy(F.desc("_rows"), *keys).limit(MAX_CUT_GROUPS)
+    return F.broadcast(top.select(*keys, F.lit(True).alias("_large")))
+
+
 def percentiles(
     df: DataFrame,
     keys: list[str],
     value: str,
     points: dict[str, float],
     rows_per_block: int | None = None,
+    sized_by: DataFrame | None = None,
+    also: list[Column] | None = None,
 ) -> DataFrame:
-    """Exact linear-interpolated percentiles per group, without holding a group in one buffer.
+    """Exact linear-interpolated percentiles per group, with further aggregates of the same pass.
 
-    Equal values are counted before the shuffle; the ranks come from a running sum over the
-    distinct values, and each percentile reads the two values around its position.
+    A group of ordinary size is aggregated directly. A large one never enters a single buffer: its
+    equal values are counted before the shuffle, ranks come from a running sum over the distinct
+    values, and each percentile reads the two values around its position. ``sized_by`` is a table
+    with the same groups that is cheaper to count than ``df``.
     """
-    counts = df.filter(F.col(value).isNotNull()).groupBy(*keys, value).agg(F.count(F.lit(1)).alias("_times"))
-    o = ordered(counts, keys, [value], split=value, rows_per_block=rows_per_block)
-    ranked = o.scan(sums={"_upto": F.col("_times")}).rows()
-    totals = df.filter(F.col(value).isNotNull()).groupBy(*keys).agg(F.count(F.lit(1)).alias("_total"))
-    placed = ranked.join(totals, keys) if keys else ranked.crossJoin(F.broadcast(totals))
+    limit = rows_per_block or ROWS_PER_BLOCK
+    if not keys:
+        df, keys, sized_by = df.withColumn("_all", F.lit(0)), ["_all"], None
+    large = large_groups(df if sized_by is None else sized_by, keys, limit)
+    marked = df.join(large, keys, "left")
+    direct = F.when(F.col("_large").isNull(), F.col(value))
+    small = marked.groupBy(*keys).agg(
+        *(also or []), *[F.percentile(direct, F.lit(float(p))).alias(name) for name, p in points.items()]
+    )
+
+    counts = (
+        marked.filter(F.col("_large") & F.col(value).isNotNull())
+        .groupBy(*keys, value)
+        .agg(F.count(F.lit(1)).alias("_times"))
+    )
+    ranked = ordered(counts, keys, [value], split=value, rows_per_block=limit).scan(sums={"_upto": F.col("_times")}).rows()
+    placed = ranked.join(counts.groupBy(*keys).agg(F.sum("_times").alias("_total")), keys)
     out = []
     for name, p in points.items():
         at = (F.col("_total") - 1) * F.lit(float(p))
         low, first = F.floor(at), F.col("_upto") - F.col("_times")
-        holds_low = (first <= low) & (low < F.col("_upto"))
-        holds_high = (first <= F.least(low + 1, F.col("_total") - 1)) & (
-            F.least(low + 1, F.col("_total") - 1) < F.col("_upto")
-        )
-        lo, hi = F.max(F.when(holds_low, F.col(value))), F.max(F.when(holds_high, F.col(value)))
-        out.append((lo + (hi - lo) * F.max(at - low)).alias(name))
-    return placed.groupBy(*keys).agg(*out)
+        high = F.least(low + 1, F.col("_total") - 1)
+        lo = F.max(F.when((first <= low) & (low < F.col("_upto")), F.col(value)))
+        hi = F.max(F.when((first <= high) & (high < F.col("_upto")), F.col(value)))
+        out.append((lo + (hi - lo) * F.max(at - low)).alias(f"_r_{name}"))
+    both = small.join(placed.groupBy(*keys).agg(*out), keys, "left")
+    both = both.withColumns({n: F.coalesce(n, f"_r_{n}") for n in points})
+    return both.drop("_all", *[f"_r_{n}" for n in points])

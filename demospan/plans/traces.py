@@ -6,9 +6,9 @@ from pyspark.sql import DataFrame, functions as F
 
 from ..functions import geometry as G
 from ..functions import vocab as V
-from ..operators.aggregates import out_of_bounds, reprojection_summary
+from ..operators.aggregates import bounds_aggregates, reprojection_aggregates
 from ..operators.frames import delta_stats
-from ..operators.ordered import ordered
+from ..operators.ordered import Ordered
 
 
 def with_inverse(cameras: DataFrame) -> DataFrame:
@@ -44,13 +44,9 @@ def project_points(frames: DataFrame, cameras: DataFrame, camera: str = "camera"
     return j.drop("matrix", "inverse", "convention")
 
 
-def trace_stats(points: DataFrame, keys: list[str], step: str = "step") -> DataFrame:
-    """Per trace: points, bounds, reprojection errors and step distances."""
-    bounds = out_of_bounds(points, keys)
-    errors = reprojection_summary(points, keys)
-    o = ordered(points.select(*keys, step, "x", "y"), keys, [step], split=step)
-    deltas = delta_stats(o).drop("points")
-    return bounds.join(errors, keys).join(deltas, keys)
+def trace_stats(o: Ordered) -> DataFrame:
+    """Per trace: points, bounds, reprojection errors and step distances, in one pass over its rows."""
+    return delta_stats(o, also=[*bounds_aggregates(), *reprojection_aggregates()])
 
 
 def gate(
