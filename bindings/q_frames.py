@@ -9,7 +9,7 @@ from demospan.operators import frames as FR
 from demospan.operators.aggregates import bounds_aggregates, element_stats, token_mean
 from demospan.operators.joins import first_in_priority
 from demospan.operators.ordered import Ordered
-from demospan.plans.traces import gate, project_points, replay_check, trace_stats
+from demospan.plans.traces import FLIP, MATRIX, gate, prepare_cameras, project_points, replay_check, trace_stats
 from demospan.plans.training import training_frames
 
 from .registry import query
@@ -198,9 +198,9 @@ def trace_gates(t: Tables):
 @query(f"""WITH {POINTS} SELECT episode, step, CASE WHEN wz - 0.5 + 0.5 <= 0.5 THEN 128 ELSE x END AS px, CASE WHEN wz <= 0.5 THEN 128 ELSE y END AS py FROM px""")
 def online_pixels(t: Tables):
     """The online rule: a point behind the camera goes to the image centre (here: all with z <= 0.5)."""
-    j = world_points(t).join(t.cameras, "camera")
+    j = world_points(t).join(prepare_cameras(t.cameras, "camera", 256, 256), "camera")
     lifted = F.when(F.col("wz") <= 0.5, -3.0).otherwise(F.col("wz"))
-    x, y, _ = G.pixel_online(F.col("wx"), F.col("wy"), lifted, F.col("matrix"), F.col("convention"), 256, 256)
+    x, y, _ = G.pixel_online(F.col("wx"), F.col("wy"), lifted, MATRIX, [F.col(n) for n in FLIP], 256, 256)
     return j.select("episode", "step", x.alias("px"), y.alias("py"))
 
 

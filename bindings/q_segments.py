@@ -124,8 +124,8 @@ def sampled_ends_kept(t: Tables):
 
 
 PLAN_ITEMS = f"""{RUNS}, seq AS (SELECT episode, run - 1 AS position, min(verb) AS skill FROM runs GROUP BY episode, run),
-  plan AS (SELECT episode, position, CASE WHEN episode % 7 = 0 AND position = 1 THEN 'TURN_OFF' ELSE skill END AS skill FROM seq
-    WHERE NOT (episode % 11 = 0 AND position = 2))"""
+  plan AS (SELECT episode, position, CASE WHEN skill = 'TURN_ON' AND position = 1 THEN 'TURN_OFF' ELSE skill END AS skill FROM seq
+    WHERE NOT (skill = 'OPEN' AND position = 2))"""
 
 
 @query(f"""WITH {PLAN_ITEMS} SELECT coalesce(s.episode, p.episode) AS episode, coalesce(s.position, p.position) AS position,
@@ -133,8 +133,8 @@ PLAN_ITEMS = f"""{RUNS}, seq AS (SELECT episode, run - 1 AS position, min(verb)
   WHERE s.skill IS DISTINCT FROM p.skill""")
 def plan_sequence_mismatches(t: Tables):
     seq = S.compress_runs(t.segments, "verb").select("episode", (F.col("run") - 1).alias("position"), F.col("verb").alias("skill"))
-    wrong = (F.col("episode") % 7 == 0) & (F.col("position") == 1)
-    short = (F.col("episode") % 11 == 0) & (F.col("position") == 2)
+    wrong = (F.col("skill") == "TURN_ON") & (F.col("position") == 1)
+    short = (F.col("skill") == "OPEN") & (F.col("position") == 2)
     plan = seq.filter(~short).withColumn("skill", F.when(wrong, "TURN_OFF").otherwise(F.col("skill")))
     return S.compare_to_plan(seq, plan, ["episode"])
 

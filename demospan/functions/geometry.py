@@ -60,37 +60,44 @@ def _dot(matrix: Column, row: int, vector: list[Column]) -> Column:
     return reduce(lambda a, b: a + b, [matrix[row][i] * v for i, v in enumerate(vector)])
 
 
-def flip(x: Column, y: Column, convention: Column, width, height) -> tuple[Column, Column]:
-    """Camera <-> image coordinates; each convention undoes itself. Unknown conventions give null."""
+def flip_terms(convention: Column, width, height) -> tuple[Column, Column, Column, Column]:
+    """Camera <-> image coordinates as (x scale, x offset, y scale, y offset); each convention undoes
+    itself. Unknown conventions give nulls."""
     across = convention.isin(V.HORIZONTAL_FLIP, V.ROTATED_180)
     down = convention == V.ROTATED_180
     known = convention.isin(V.NO_TRANSFORM, V.HORIZONTAL_FLIP, V.ROTATED_180)
-    fx = F.when(known & across, F.lit(width) - 1 - x).when(known, x)
-    fy = F.when(known & down, F.lit(height) - 1 - y).when(known, y)
-    return fx, fy
 
+    def term(turned: Column, yes, no) -> Column:
+        return F.when(known & turned, F.lit(yes).cast("double")).when(known, F.lit(no).cast("double"))
 
-def project(x: Column, y: Column, z: Column, matrix: Column, convention: Column, width, height):
-    """World point -> (image x, image y, depth) as columns."""
+    return term(across, -1, 1), term(across, F.lit(width) - 1, 0), term(down, -1, 1), term(down, F.lit(height) - 1, 0)
+
+
+def flip(x: Column, y: Column, terms) -> tuple[Column, Column]:
+    return x * terms[0] + terms[1], y * terms[2] + terms[3]
+
+
+def project(x: Column, y: Column, z: Column, matrix, terms):
+    """World point -> (image x, image y, depth). ``matrix[i][j]`` gives the entries as columns."""
     point = [x, y, z, F.lit(1.0)]
     depth = _dot(matrix, 2, point)
     over = F.nullif(depth, F.lit(0.0))
-    u, v = flip(_dot(matrix, 0, point) / over, _dot(matrix, 1, point) / over, convention, width, height)
+    u, v = flip(_dot(matrix, 0, point) / over, _dot(matrix, 1, point) / over, terms)
     return u, v, depth
 
 
-def reproject(u: Column, v: Column, depth: Column, inverse: Column, convention: Column, width, height):
+def reproject(u: Column, v: Column, depth: Column, inverse, terms):
     """Image point and depth -> world (x, y, z); null when the depth is not positive."""
-    cx, cy = flip(u, v, convention, width, height)
+    cx, cy = flip(u, v, terms)
     point = [cx * depth, cy * depth, depth, F.lit(1.0)]
     scale = _dot(inverse, 3, point)
-    usable = (depth > 0) & (F.abs(scale) > 1e-12)
-    return tuple(F.when(usable, _dot(inverse, i, point) / scale) for i in range(3))
+    usable = F.when((depth > 0) & (F.abs(scale) > 1e-12), scale)
+    return tuple(_dot(inverse, i, point) / usable for i in range(3))
 
 
-def pixel_online(x: Column, y: Column, z: Column, matrix: Column, convention: Column, width, height):
+def pixel_online(x: Column, y: Column, z: Column, matrix, terms, width, height):
     """Rounded pixel inside the image; its centre when the point is not in front of the camera."""
-    u, v, depth = project(x, y, z, matrix, convention, width, height)
+    u, v, depth = project(x, y, z, matrix, terms)
     behind = ~finite(depth) | (depth <= 0)
     w, h = F.lit(width), F.lit(height)
     px = F.when(behind, F.floor(w / 2)).otherwise(half_even(clamp(u, 0, (w - 1).cast("double"))))
@@ -98,31 +105,27 @@ def pixel_online(x: Column, y: Column, z: Column, matrix: Column, convention: Co
     return px.cast("bigint"), py.cast("bigint"), depth
 
 
-def inverse_matrix(matrix: Column) -> Column:
-    """Inverse of a 4x4 matrix by cofactors. Meant for the camera table: one row per camera."""
+class Entries:
+    """Matrix entries kept as scalar columns ``<name><row><column>``."""
 
-    def det(rows: list[int], cols: list[int]) -> Column:
-        if len(rows) == 1:
-            return matrix[rows[0]][cols[0]]
-        terms = []
-        for k, c in enumerate(cols):
-            minor = det(rows[1:], [x for x in cols if x != c])
-            term = matrix[rows[0]][c] * minor
-            terms.append(-term if k % 2 else term)
-        return reduce(lambda a, b: a + b, terms)
+    def __init__(self, name: str):
+        self.name = name
 
-    whole = list(range(4))
-    total = det(whole, whole)
+    def __getitem__(self, row: int) -> list[Column]:
+        return [F.col(f"{self.name}{row}{c}") for c in range(4)]
 
-    def entry(i: int, j: int) -> Column:
-        minor = det([r for r in whole if r != j], [c for c in whole if c != i])
-        return (-minor if (i + j) % 2 else minor) / total
 
-    return F.array(*[F.array(*[entry(i, j) for j in whole]) for i in whole])
+@F.pandas_udf(T.ArrayType(T.ArrayType(T.DoubleType())))
+def inverse_matrix(matrices: pd.Series) -> pd.Series:
+    """Inverse of 4x4 matrices, one Arrow batch at a time. For the camera table: one row per camera."""
+    if not len(matrices):
+        return pd.Series([], dtype=object)
+    stacked = np.array([[list(row) for row in m] for m in matrices], dtype=float)
+    return pd.Series(np.linalg.inv(stacked).tolist())
 
 
 def distance(*differences: Column) -> Column:
-    return F.sqrt(reduce(lambda a, b: a + b, [d * d for d in differences]))
+    return F.sqrt(reduce(lambda a, b: a + b, [F.pow(d, F.lit(2.0)) for d in differences]))
 
 
 def axis_angle(x: Column, y: Column, z: Column, w: Column) -> Column:

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from .aggregates import with_rank
 
@@ -37,21 +37,14 @@ def random_transition(transitions: DataFrame, episode: str = "episode", seed: in
 
 
 def sample_points(points: DataFrame, keys: list[str], n: int, seed: int = 42) -> DataFrame:
-    """Up to ``n`` points per mask by hash rank. The smallest draws are kept level by level, so a
-    huge mask is cut down inside its input partitions before any of it is shuffled."""
+    """Up to ``n`` points per mask by hash rank. A mask's points are ranked in 1,024 shards first, so a
+    huge mask is cut to a few rows per shard by many tasks before its last ranking."""
     d = draw(*[F.col(k) for k in keys], F.col("x"), F.col("y"), seed=seed)
-    point = F.struct(d.alias("d"), F.col("x"), F.col("y"))
-    shard = F.pmod(F.xxhash64("x", "y"), F.lit(1024))
-    small = points.withColumn("_p", point).withColumn("_shard", shard)
-    level1 = small.groupBy(*keys, "_shard").agg(F.min("_p").alias("_p"))
-    if n == 1:
-        return level1.groupBy(*keys).agg(F.min("_p").alias("_p")).select(*keys, "_p.x", "_p.y")
-    from pyspark.sql import Window
-
-    by_shard = Window.partitionBy(*keys, "_shard").orderBy("_p")
-    by_key = Window.partitionBy(*keys).orderBy("_p")
-    first = small.withColumn("_r", F.row_number().over(by_shard)).filter(F.col("_r") <= n)
-    return first.withColumn("_r", F.row_number().over(by_key)).filter(F.col("_r") <= n).select(*keys, "_p.x", "_p.y")
+    p = points.withColumns({"_d": d, "_shard": F.pmod(F.xxhash64("x", "y"), F.lit(1024))})
+    by_shard = Window.partitionBy(*keys, "_shard").orderBy("_d", "x", "y")
+    by_key = Window.partitionBy(*keys).orderBy("_d", "x", "y")
+    first = p.withColumn("_r", F.row_number().over(by_shard)).filter(F.col("_r") <= n)
+    return first.withColumn("_r", F.row_number().over(by_key)).filter(F.col("_r") <= n).select(*keys, "x", "y")
 
 
 def sample_points_or_centre(boxes: DataFrame, points: DataFrame, keys: list[str], n: int = 4) -> DataFrame:

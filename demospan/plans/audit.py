@@ -182,17 +182,14 @@ def audit_annotations(annotations: DataFrame, dataset: str, extra: list[Rule] |
         F.col("_plan.skills").isNull(), F.concat(F.lit("plan_"), F.coalesce("_plan.reason", F.lit("missing")))
     )
     rules = [*rules_for(dataset), *(extra or [])]
-    found = F.flatten(
-        F.array(
-            *[
-                F.transform(
-                    F.coalesce(at, F.array().cast("array<bigint>")),
-                    lambda p, n=name: F.struct(F.nullif(p, F.lit(-1).cast("bigint")).alias("position"), F.lit(n).alias("rule")),
-                )
-                for name, at in rules
-            ]
+
+    def rows(name: str, at: Column) -> Column:
+        return F.transform(
+            F.coalesce(at, F.array().cast("array<bigint>")),
+            lambda p: F.struct(F.nullif(p, F.lit(-1).cast("bigint")).alias("position"), F.lit(name).alias("rule")),
         )
-    )
+
+    found = F.flatten(F.array(*[rows(name, at) for name, at in rules]))
     whole = F.array(F.struct(F.lit(None).cast("bigint").alias("position"), stop.alias("rule")))
     out = df.select("source", F.col(key).alias("episode"), F.explode(F.when(stop.isNotNull(), whole).otherwise(found)).alias("_v"))
     return out.select("source", "episode", "_v.position", "_v.rule")

@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
-import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, functions as F
 
@@ -37,7 +37,7 @@ def overlapping_pairs(detections: DataFrame, ratio: float = V.OVERLAP_RATIO) ->
     logarithmic grid and corners on a grid as fine as the size allows; only boxes in neighbouring
     cells meet, so a frame's boxes are never all compared with each other.
     """
-    step = float(np.log(1 / ratio))
+    step = math.log(1 / ratio)
     d = (
         detections.filter((F.col("w") > 0) & (F.col("h") > 0))
         .groupBy("frame", *BOX)
@@ -83,38 +83,42 @@ def merge_detections(detections: DataFrame, ratio: float = V.OVERLAP_RATIO) -> D
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         frame, tracks = None, []
-
-        def finish() -> pd.DataFrame:
-            return pd.DataFrame([(frame, t["id"], *t["box"], t["scores"].tolist()) for t in tracks], columns=["frame", "id", *BOX, "scores"])
-
         for batch in batches:
+            out: list[tuple] = []
             for row in batch.itertuples(index=False):
                 if frame is not None and row.frame != frame:
-                    yield finish()
+                    out += _rows(frame, tracks)
                     tracks = []
                 frame = row.frame
-                box, scores = (row.x, row.y, row.w, row.h), np.asarray(row.scores, dtype=float)
-                top = scores.max()
-                absorbed = False
-                for t in list(tracks):
-                    if _overlap(box, t["box"]) <= ratio:
-                        continue
-                    if top > t["scores"].max():
-                        tracks.remove(t)
-                        scores = scores + t["scores"]
-                    else:
-                        t["scores"] = t["scores"] + scores
-                        absorbed = True
-                        break
-                if not absorbed:
-                    tracks.append({"id": row.id, "box": box, "scores": scores})
+                _absorb(tracks, row, ratio)
+            yield pd.DataFrame(out, columns=["frame", "id", *BOX, "scores"])
         if frame is not None:
-            yield finish()
+            yield pd.DataFrame(_rows(frame, tracks), columns=["frame", "id", *BOX, "scores"])
 
     schema = f"frame {types['frame']}, id {types['id']}, x double, y double, w double, h double, scores array<double>"
     return sorted_frames.mapInPandas(run, schema)
 
 
+def _rows(frame, tracks: list[dict]) -> list[tuple]:
+    return [(frame, t["id"], *t["box"], list(t["scores"])) for t in tracks]
+
+
+def _absorb(tracks: list[dict], row, ratio: float) -> None:
+    """Add one detection to the tracks of its frame."""
+    box, scores = (row.x, row.y, row.w, row.h), [float(s) for s in row.scores]
+    top = max(scores)
+    for t in list(tracks):
+        if _overlap(box, t["box"]) <= ratio:
+            continue
+        both = [a + b for a, b in zip(scores, t["scores"])]
+        if top <= max(t["scores"]):
+            t["scores"] = both
+            return
+        tracks.remove(t)
+        scores = both
+    tracks.append({"id": row.id, "box": box, "scores": scores})
+
+
 def _overlap(a, b) -> float:
     w = min(a[0] + a[2], b[0] + b[2]) - max(a[0], b[0])
     h = min(a[1] + a[3], b[1] + b[3]) - max(a[1], b[1])

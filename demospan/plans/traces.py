@@ -11,9 +11,23 @@ from ..operators.frames import delta_stats
 from ..operators.ordered import Ordered
 
 
-def with_inverse(cameras: DataFrame) -> DataFrame:
-    """Invert each camera's matrix once; the frames then only multiply."""
-    return cameras.withColumn("inverse", G.inverse_matrix(F.col("matrix")))
+MATRIX, INVERSE = G.Entries("_m"), G.Entries("_i")
+FLIP = ["_sx", "_ox", "_sy", "_oy"]
+
+
+def prepare_cameras(cameras: DataFrame, camera: str, width: int, height: int) -> DataFrame:
+    """Per camera, once: the matrix, its inverse and the image convention as plain numbers.
+
+    The frames then multiply scalar columns inside generated code; no array is read per frame.
+    """
+    c = cameras.withColumn("_inverse", G.inverse_matrix(F.col("matrix")))
+    cells = [(i, j) for i in range(4) for j in range(4)]
+    return c.select(
+        camera,
+        *[F.col("matrix")[i][j].alias(f"_m{i}{j}") for i, j in cells],
+        *[F.col("_inverse")[i][j].alias(f"_i{i}{j}") for i, j in cells],
+        *[t.alias(n) for t, n in zip(G.flip_terms(F.col("convention"), width, height), FLIP)],
+    )
 
 
 def distinct_calibrations(episodes: DataFrame, calibrate: DataFrame, keys: list[str]) -> DataFrame:
@@ -23,8 +37,9 @@ def distinct_calibrations(episodes: DataFrame, calibrate: DataFrame, keys: list[
 
 def project_points(frames: DataFrame, cameras: DataFrame, camera: str = "camera", width=256, height=256) -> DataFrame:
     """Frames with world x, y, z -> pixel, depth, bounds and reprojection errors. Column arithmetic only."""
-    j = frames.join(with_inverse(cameras), camera)
-    u, v, depth = G.project(F.col("wx"), F.col("wy"), F.col("wz"), F.col("matrix"), F.col("convention"), width, height)
+    j = frames.join(prepare_cameras(cameras, camera, width, height), camera)
+    terms = [F.col(n) for n in FLIP]
+    u, v, depth = G.project(F.col("wx"), F.col("wy"), F.col("wz"), MATRIX, terms)
     j = j.withColumns({"raw_x": u, "raw_y": v, "depth": depth})
     inside = F.coalesce(G.visible(F.col("raw_x"), F.col("raw_y"), F.col("depth"), width, height), F.lit(False))
     j = j.withColumns(
@@ -36,12 +51,12 @@ def project_points(frames: DataFrame, cameras: DataFrame, camera: str = "camera"
     )
 
     def error(px, py):
-        back = G.reproject(px, py, F.col("depth"), F.col("inverse"), F.col("convention"), width, height)
+        back = G.reproject(px, py, F.col("depth"), INVERSE, terms)
         return G.distance(*[b - F.col(w) for b, w in zip(back, ("wx", "wy", "wz"))])
 
     j = j.withColumn("exact_error", error(F.col("raw_x"), F.col("raw_y")))
     j = j.withColumn("rounded_error", F.when(F.col("in_bounds"), error(F.col("x").cast("double"), F.col("y").cast("double"))))
-    return j.drop("matrix", "inverse", "convention")
+    return j.drop(*[c for c in j.columns if c in FLIP or c[:2] in ("_m", "_i") and c[2:].isdigit()])
 
 
 def trace_stats(o: Ordered) -> DataFrame:
