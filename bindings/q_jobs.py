@@ -335,7 +335,8 @@ def convert_texts(t: Tables):
   UNION ALL SELECT episode, 'content', 'missing_markers' FROM c WHERE p_size = 26 UNION ALL SELECT episode, 'updated_content', 'invalid_plan_item' FROM c WHERE p_size % 3 = 0
   UNION ALL SELECT episode, 'updated_content_w_instruction', 'invalid_plan_item' FROM c WHERE p_size % 3 = 0
   UNION ALL SELECT episode, 'updated_content_w_instruction', 'not_instruction_plus_tail' FROM c WHERE p_size % 3 = 0 AND p_size % 2 <> 0
-  UNION ALL SELECT episode, 'skill', 'not_now_item' FROM c WHERE p_size = 26""")
+  UNION ALL SELECT episode, 'skill', 'not_now_item' FROM c WHERE p_size = 26
+  UNION ALL SELECT p_partkey, '*', 'missing_right' FROM part WHERE p_size % 11 = 0 OR p_size % 7 = 0""")
 def diff_texts(t: Tables):
     """Unconverted texts against themselves after a repair: items with trailing words are no skills."""
     s = cot_segments(t)

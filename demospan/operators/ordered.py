@@ -119,9 +119,14 @@ def ordered(
     order: list[str],
     split: str,
     rows_per_block: int | None = None,
+    sized_by: DataFrame | None = None,
+    size_keys: list[str] | None = None,
 ) -> Ordered:
     """Cut groups with more than ``rows_per_block`` rows into ranges of ``split``.
 
+    Where the groups are many and fine, ``sized_by`` (a table with ``split``) and ``size_keys`` (some
+    of the keys) count coarser groups instead: a fine group is never larger than the one it lies in.
+
     ``split`` is a number or timestamp that never decreases along ``order``. The ranges come from
     exact counts and bounds, so a recomputed task cuts at the same places.
     """
@@ -133,18 +138,20 @@ def ordered(
     elif kind == "timestamp_ntz":  # no zone, so no cast to an instant: days and seconds of the day
         at = F.unix_date(F.to_date(at)) * 86400 + F.hour(at) * 3600 + F.minute(at) * 60 + F.second(at)
     at = at.cast("double")
+    by = size_keys or keys
     large = (
-        df.groupBy(*keys)
+        (df if sized_by is None else sized_by)
+        .groupBy(*by)
         .agg(F.count(F.lit(1)).alias("_rows"), F.min(at).alias("_lo"), F.max(at).alias("_hi"))
         .filter(F.col("_rows") > limit)
-        .orderBy(F.desc("_rows"), *keys)
+        .orderBy(F.desc("_rows"), *by)
         .limit(MAX_CUT_GROUPS)
     )
     ranges = F.ceil(F.col("_rows") * 8 / limit)
     block = F.when(
         F.col("_hi") > F.col("_lo"), F.floor((at - F.col("_lo")) * ranges / (F.col("_hi") - F.col("_lo")))
     ).when(F.col("_rows").isNotNull(), F.lit(0))
-    cut = df.join(F.broadcast(large), keys, "left").withColumn(BLOCK, F.coalesce(block, F.lit(-1)).cast("bigint"))
+    cut = df.join(F.broadcast(large), by, "left").withColumn(BLOCK, F.coalesce(block, F.lit(-1)).cast("bigint"))
     return Ordered(cut.drop("_rows", "_lo", "_hi"), tuple(keys), tuple(order))
 
 

@@ -11,8 +11,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, functions as F
 
 from ..functions import text as X
-from ..operators.ordered import ordered
+from ..operators.ordered import ROWS_PER_BLOCK, ordered
 from ..operators.segments import compare_to_plan
+from ..session import cut_lineage
 
 # What each verb needs and changes. A condition is a list of alternatives, each a list
 # of facts (name, first, second, expected); an effect is (name, first, second, new value). "1" and
@@ -132,8 +133,13 @@ def _ref(word: str) -> Column:
     return F.coalesce(named.get(word, F.lit(word)), F.lit(""))
 
 
-def _fact(clause: int, literal: int, name: str, first: str, second: str, value: bool) -> Column:
+READ, WRITE = 0, 1
+FACTS_PER_STEP = 16
+
+
+def _cell(kind: int, clause: int, literal: int, name: str, first: str, second: str, value: bool) -> Column:
     return F.struct(
+        F.lit(kind).alias("kind"),
         F.lit(clause).alias("clause"),
         F.lit(literal).alias("literal"),
         F.lit(name).alias("name"),
@@ -143,18 +149,19 @@ def _fact(clause: int, literal: int, name: str, first: str, second: str, value:
     )
 
 
-def _facts_of(steps: DataFrame, dataset: str, part: int) -> DataFrame:
-    """Explode the condition (0) or effect (1) facts of every step's verb."""
-    chosen = None
-    for verb, rule in RULES[dataset].items():
-        if part == 0:
-            cells = [_fact(c, i, *lit) for c, clause in enumerate(rule[0]) for i, lit in enumerate(clause)]
-        else:
-            cells = [_fact(0, i, *lit) for i, lit in enumerate(rule[1])]
-        if cells:
-            test = F.col("rule") == verb
-            chosen = F.when(test, F.array(*cells)) if chosen is None else chosen.when(test, F.array(*cells))
-    return steps.select("episode", "step", F.explode(chosen).alias("_f")).select("episode", "step", "_f.*")
+def _step_facts(steps: DataFrame, dataset: str) -> DataFrame:
+    """Every step's reads and writes in one pass: (episode, step, kind, clause, literal, fact, value).
+
+    A read that always holds stands for the step itself; a verb without a rule gets one that never does.
+    """
+    chosen = F
+    for verb, (needs, effects) in RULES[dataset].items():
+        cells = [_cell(READ, 0, -1, "=", "", "", True)]
+        cells += [_cell(READ, c, i, *lit) for c, clause in enumerate(needs) for i, lit in enumerate(clause)]
+        cells += [_cell(WRITE, 0, i, *lit) for i, lit in enumerate(effects)]
+        chosen = chosen.when(F.col("rule") == verb, F.array(*cells))
+    unknown = F.array(_cell(READ, 0, -1, "=", "", "", False))
+    return steps.select("episode", "step", F.explode(chosen.otherwise(unknown)).alias("_f")).select("episode", "step", "_f.*")
 
 
 def audit_plans(steps: DataFrame, facts: DataFrame, dataset: str) -> DataFrame:
@@ -164,57 +171,55 @@ def audit_plans(steps: DataFrame, facts: DataFrame, dataset: str) -> DataFrame:
     object leave the rest empty. The reason names the fact that was not as needed.
     """
     facts = facts.select("episode", "name", F.coalesce("first", F.lit("")).alias("first"), F.coalesce("second", F.lit("")).alias("second"))
-    steps = _objects(steps, facts, dataset)
-    reads, writes = _facts_of(steps, dataset, 0), _facts_of(steps, dataset, 1)
+    # the parsed steps feed several branches: keep them once instead of parsing the plans in each
+    steps = cut_lineage(steps)
+    uses = _step_facts(_objects(steps, facts, dataset), dataset).withColumn("asked", F.col("second"))
 
     # "*" stands for every object the fact is ever mentioned with in the episode
-    plain_writes = writes.filter(F.col("second") != "*")
-    mentioned = facts.unionByName(plain_writes.select(*FACT)).filter(F.col("second") != "").distinct()
-
-    def spread(df: DataFrame) -> DataFrame:
-        star = df.filter(F.col("second") == "*").drop("second").join(mentioned, ["episode", "name", "first"])
-        return df.filter(F.col("second") != "*").unionByName(star)
-
-    events = (
-        spread(reads).filter(F.col("name") != "=").select(
-            *FACT, "step", F.lit(0).alias("kind"), "clause", "literal", F.lit(None).cast("boolean").alias("value")
-        )
-        .unionByName(
-            spread(writes).select(*FACT, "step", F.lit(1).alias("kind"), "clause", "literal", "value")
-        )
-        .unionByName(
-            facts.select(
-                *FACT,
-                F.lit(0).cast("bigint").alias("step"),
-                F.lit(1).alias("kind"),
-                F.lit(0).alias("clause"),
-                F.lit(0).alias("literal"),
-                F.lit(True).alias("value"),
-            )
-        )
+    star = F.col("second") == "*"
+    written = uses.filter((F.col("kind") == WRITE) & ~star).select(*FACT)
+    mentioned = facts.unionByName(written).filter(F.col("second") != "").distinct()
+    spread = uses.filter(star).drop("second").join(mentioned, ["episode", "name", "first"])
+    start = facts.select(
+        *FACT,
+        F.lit(0).cast("bigint").alias("step"),
+        F.lit(WRITE).alias("kind"),
+        F.lit(0).alias("clause"),
+        F.lit(0).alias("literal"),
+        F.lit(True).alias("value"),
+        F.col("second").alias("asked"),
+    )
+    events = uses.unionByName(spread).unionByName(start)
+
+    o = ordered(
+        events,
+        FACT,
+        ["step", "kind", "clause", "literal"],
+        split="step",
+        rows_per_block=ROWS_PER_BLOCK // FACTS_PER_STEP,
+        sized_by=steps,
+        size_keys=["episode"],
     )
-    o = ordered(events, FACT, ["step", "kind", "clause", "literal"], split="step")
-    seen = o.scan(last={"now": F.col("value")}).rows().filter(F.col("kind") == 0)
-    at = ["episode", "step", "clause", "literal"]
-    found = seen.groupBy(*at).agg(F.bool_or(F.coalesce("now", F.lit(False))).alias("now"))
-    needs = reads.join(found, at, "left")
+    seen = o.scan(last={"now": F.when(F.col("kind") == WRITE, F.col("value"))}).rows().filter(F.col("kind") == READ)
     now = F.when(F.col("name") == "=", F.col("first") == F.col("second")).otherwise(F.coalesce("now", F.lit(False)))
-    judged = needs.withColumn("held_true", now == F.col("value"))
-    text = F.concat_ws(" ", F.when(F.col("value"), "needs").otherwise("must not be"), "name", "first", "second")
-    per_clause = judged.groupBy("episode", "step", "clause").agg(
-        F.bool_and("held_true").alias("ok"),
-        F.min_by(F.when(~F.col("held_true"), text), F.when(~F.col("held_true"), F.col("literal"))).alias("why"),
+    text = (
+        F.when(F.col("literal") == -1, "no rule for the verb")
+        .otherwise(F.concat_ws(" ", F.when(F.col("value"), "needs").otherwise("must not be"), "name", "first", "asked"))
     )
-    per_step = per_clause.groupBy("episode", "step").agg(
-        F.bool_or("ok").alias("ok"), F.min_by("why", "clause").alias("why")
+    # a "*" read is several rows: it is met when any of its facts holds, or when none does
+    literal = seen.groupBy("episode", "step", "clause", "literal", "value", text.alias("text")).agg(F.bool_or(now).alias("now"))
+    met = F.col("now") == F.col("value")
+    clause = literal.groupBy("episode", "step", "clause").agg(
+        F.bool_and(met).alias("ok"),
+        F.min_by(F.when(~met, F.col("text")), F.when(~met, F.col("literal"))).alias("why"),
     )
-    judged_steps = steps.select("episode", "step").join(per_step, ["episode", "step"], "left")
-    failed = ~F.coalesce("ok", F.lit(False))
-    return judged_steps.groupBy("episode").agg(
+    step = clause.groupBy("episode", "step").agg(F.bool_or("ok").alias("ok"), F.min_by("why", "clause").alias("why"))
+    failed = F.when(~F.col("ok"), F.col("step"))
+    return step.groupBy("episode").agg(
         F.count(F.lit(1)).alias("steps"),
-        (~F.bool_or(failed)).alias("feasible"),
-        F.min(F.when(failed, F.col("step"))).alias("failed_step"),
-        F.min_by(F.when(failed, F.coalesce("why", F.lit("no rule for the verb"))), F.when(failed, F.col("step"))).alias("reason"),
+        F.bool_and("ok").alias("feasible"),
+        F.min(failed).alias("failed_step"),
+        F.min_by("why", failed).alias("reason"),
     )
 
 
