@@ -19,6 +19,7 @@ from demospan.plans import targets as TG
 from demospan.plans import transitions as TR
 from demospan.plans.select import has_all_verbs, has_keyword, select_episodes, skills_of, verbs_at
 from demospan.functions import text as X
+from demospan.session import spread
 
 from .q_text import COT
 from .registry import query
@@ -32,7 +33,7 @@ BASE = f"SELECT o_orderkey AS episode, {KIND} AS k, {THING} AS x FROM orders"
 
 def episodes(t: Tables) -> DataFrame:
     x = F.lower(F.split_part("o_orderpriority", F.lit("-"), F.lit(2)))
-    return t.orders.select(F.col("o_orderkey").alias("episode_index"), (F.col("o_custkey") % 12).cast("int").alias("k"), x.alias("x"))
+    return spread(t.orders.select("o_orderkey", "o_custkey", "o_orderpriority")).select(F.col("o_orderkey").alias("episode_index"), (F.col("o_custkey") % 12).cast("int").alias("k"), x.alias("x"))
 
 
 def skill(name: str, *args) -> F.Column:
@@ -110,7 +111,8 @@ def normalize_points(t: Tables):
     label = F.when((F.col("l_returnflag") == "R") & (F.col("l_linestatus") == "F"), "other").otherwise("target")
     response = F.concat(F.lit('{"status": "ok", "object_id": "o", "label": "'), label, F.lit('", "point_2d": '), point, F.lit("}"))
     p = AN.normalize_point(response, F.lit("o"), F.lit("target"), 256, 256)
-    return t.lineitem.select("l_orderkey", "l_partkey", "l_suppkey", "l_extendedprice", p.alias("p")).select("l_orderkey", "l_partkey", "l_suppkey", "l_extendedprice", "p.reason", "p.x", "p.y")
+    rows = spread(t.lineitem.select("l_orderkey", "l_partkey", "l_suppkey", "l_linenumber", "l_quantity", "l_extendedprice", "l_returnflag", "l_linestatus"))
+    return rows.select("l_orderkey", "l_partkey", "l_suppkey", "l_extendedprice", p.alias("p")).select("l_orderkey", "l_partkey", "l_suppkey", "l_extendedprice", "p.reason", "p.x", "p.y")
 
 
 @query(f"""WITH b AS ({BASE}) SELECT episode, CASE k WHEN 1 THEN 'contact_not_sampled' WHEN 2 THEN 'frame_not_sampled' WHEN 3 THEN 'frames_not_sorted' WHEN 4 THEN 'first_frame_not_contact' WHEN 5 THEN 'no_points' WHEN 6 THEN 'frames_repeat' WHEN 7 THEN 'status_not_ok' END AS reason,
@@ -220,7 +222,7 @@ def audit_report(t: Tables):
       'Plan: 1. PICKUP_FROM(' || x || ', table) 2. PLACE_ON(' || x || ', shelf)' || chr(10) AS pl, CASE WHEN seg_index = 0 THEN 'PICKUP_FROM(' || x || ', table)' ELSE 'PLACE_ON(' || x || ', shelf)' END AS skill
     FROM s CROSS JOIN (VALUES ('boundary', 0), ('action', 10)) p(part, s))""")
 def training_segments(t: Tables):
-    n = answers(t).withColumn("n", AN.normalize_steps(F.col("response"), F.col("num_steps"), "libero")).filter(F.col("n.reason").isNull())
+    n = X.once(answers(t), "n", AN.normalize_steps(F.col("response"), F.col("num_steps"), "libero")).filter(F.col("n.reason").isNull())
     a = n.select("episode_index", F.concat(F.lit("move "), "x").alias("instruction"), "n.plan", "n.segments")
     s = CO.training_segments(a, "libero", 10)
     cast = {c: F.col(c).cast("int") for c in ("start_step", "end_step", "seg_index")}
@@ -309,7 +311,7 @@ def patched_targets(t: Tables):
 def cot_segments(t: Tables) -> DataFrame:
     text = F.expr(COT)
     has_update = F.col("p_size") % 3 == 0
-    return t.part.select(
+    return spread(t.part).select(
         F.col("p_partkey").alias("episode"), "p_name", "p_size", F.lit(0).alias("start_step"), F.col("p_size").alias("end_step"),
         text.alias("content"), F.when(has_update, text).alias("updated_content"), F.when(has_update, text).alias("updated_content_w_instruction"), F.lit(None).cast("string").alias("current_skill"))
 

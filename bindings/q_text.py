@@ -8,6 +8,7 @@ from demospan.functions import text as X
 from demospan.functions import vocab as V
 from demospan.plans.audit import episode_instruction, episode_plan
 from demospan.plans.rollouts import labelled_sample
+from demospan.session import spread
 
 from .registry import query
 from .tables import Tables
@@ -40,7 +41,7 @@ PLAN_TEXT = """CASE p_size % 8 WHEN 0 THEN '1. PICKUP_FROM(' || p_name || ', tab
 
 
 def parts(t: Tables, **texts: str):
-    return t.part.select("p_partkey", *[F.expr(sql).alias(name) for name, sql in texts.items()])
+    return spread(t.part).select("p_partkey", *[F.expr(sql).alias(name) for name, sql in texts.items()])
 
 
 SKILL_SQL = f"""s AS (SELECT p_partkey, {collapsed(SKILL_TEXT)} AS raw FROM part),
@@ -123,7 +124,7 @@ def parse_plans(t: Tables):
   SELECT id, CAST(CASE WHEN len(items) > 0 THEN len(items) ELSE len(chunks) END AS INTEGER) AS steps,
     md5(array_to_string(CASE WHEN len(items) > 0 THEN items ELSE chunks END, '|')) AS hash FROM n""")
 def parse_plans_lenient(t: Tables):
-    rows = parts(t, s=PLAN_TEXT).unionAll(t.documents.select(F.col("doc_id") + 1000000000, "text"))
+    rows = parts(t, s=PLAN_TEXT).unionAll(spread(t.documents).select(F.col("doc_id") + 1000000000, "text"))
     p = rows.select(F.col("p_partkey").alias("id"), X.parse_plan_lenient(F.col("s")).alias("p"))
     return p.select("id", F.size("p").alias("steps"), F.md5(F.array_join("p", "|")).alias("hash"))
 
@@ -168,14 +169,14 @@ def scene_plan_prefix(t: Tables):
 
 @query(f"SELECT doc_id, md5({collapsed('text')}) AS hash FROM documents")
 def collapse_whitespace(t: Tables):
-    return t.documents.select("doc_id", F.md5(X.collapse_whitespace(F.col("text"))).alias("hash"))
+    return spread(t.documents).select("doc_id", F.md5(X.collapse_whitespace(F.col("text"))).alias("hash"))
 
 
 @query(f"""WITH d AS (SELECT doc_id, {collapsed('text')} AS s FROM documents)
   SELECT doc_id, CASE WHEN contains(s, ':') THEN md5(trim(substr(s, instr(s, ':') + 1))) ELSE md5(s) END AS instruction,
     CASE WHEN contains(s, ':') AND trim(substr(s, 1, instr(s, ':') - 1)) <> '' THEN md5(trim(substr(s, 1, instr(s, ':') - 1))) END AS task_name FROM d""")
 def split_task_text(t: Tables):
-    s = t.documents.select("doc_id", X.split_task(F.col("text")).alias("p"))
+    s = spread(t.documents).select("doc_id", X.split_task(F.col("text")).alias("p"))
     return s.select("doc_id", F.md5("p.instruction").alias("instruction"), F.md5("p.task_name").alias("task_name"))
 
 

@@ -294,20 +294,27 @@ def normalize_trace(
         contact = a["r"]["contact_start_step"].try_cast("bigint")
 
         def one(p: Column) -> Column:
-            y = X.strict_number(F.get(p["point_2d"], F.lit(0)))
-            x = X.strict_number(F.get(p["point_2d"], F.lit(1)))
-            frame = p["frame_index"].try_cast("bigint")
-            reason = (
-                F.when(~F.trim(F.coalesce(p["label"], F.lit(""))).eqNullSafe(a["label"]), "wrong_label")
-                .when(~F.coalesce(F.array_contains(a["sampled"], frame), F.lit(False)), "frame_not_sampled")
-                .when((frame < contact) | (frame >= a["end"]), "frame_outside_contact")
-                .when((F.size(p["point_2d"]) != 2) | y.isNull() | x.isNull(), "point_not_numeric")
-                .when(~y.between(0, grid) | ~x.between(0, grid), "point_off_grid")
+            read = F.struct(
+                X.strict_number(F.get(p["point_2d"], F.lit(0))).alias("y"),
+                X.strict_number(F.get(p["point_2d"], F.lit(1))).alias("x"),
+                p["frame_index"].try_cast("bigint").alias("frame"),
             )
-            pixel = G.grid_to_pixel(
-                G.half_even(y).cast("double"), G.half_even(x).cast("double"), width, height, grid, grid
-            )
-            return F.struct(frame.alias("frame"), pixel.alias("pixel"), reason.alias("reason"))
+
+            def judge(q: Column) -> Column:
+                y, x, frame = q["y"], q["x"], q["frame"]
+                reason = (
+                    F.when(~F.trim(F.coalesce(p["label"], F.lit(""))).eqNullSafe(a["label"]), "wrong_label")
+                    .when(~F.coalesce(F.array_contains(a["sampled"], frame), F.lit(False)), "frame_not_sampled")
+                    .when((frame < contact) | (frame >= a["end"]), "frame_outside_contact")
+                    .when((F.size(p["point_2d"]) != 2) | y.isNull() | x.isNull(), "point_not_numeric")
+                    .when(~y.between(0, grid) | ~x.between(0, grid), "point_off_grid")
+                )
+                pixel = G.grid_to_pixel(
+                    G.half_even(y).cast("double"), G.half_even(x).cast("double"), width, height, grid, grid
+                )
+                return F.struct(frame.alias("frame"), pixel.alias("pixel"), reason.alias("reason"))
+
+            return X.let(read, judge)
 
         listed = F.transform(a["r"]["points"], one)
         return F.struct(
@@ -322,22 +329,31 @@ def normalize_trace(
             .alias("reason"),
         )
 
-    def shape(p: Column) -> Column:
+    def check(p: Column) -> Column:
         frames = F.transform(p["points"], lambda q: q["frame"])
         first_wrong = X.first_of(F.transform(p["points"], lambda q: q["reason"]), lambda r: r.isNotNull())
-        reason = (
-            F.when(p["reason"].isNotNull(), p["reason"])
-            .when(first_wrong.isNotNull(), first_wrong)
-            .when(frames != F.array_sort(frames), "frames_not_sorted")
-            .when(F.size(F.array_distinct(frames)) != F.size(frames), "frames_repeat")
-            .when(F.get(frames, F.lit(0)) != p["contact"], "first_frame_not_contact")
+
+        def order(f: Column) -> Column:
+            return (
+                F.when(f != F.array_sort(f), "frames_not_sorted")
+                .when(F.size(F.array_distinct(f)) != F.size(f), "frames_repeat")
+                .when(F.get(f, F.lit(0)) != p["contact"], "first_frame_not_contact")
+            )
+
+        return F.struct(
+            p["contact"].alias("contact"),
+            frames.alias("frames"),
+            p["points"].alias("points"),
+            F.coalesce(p["reason"], first_wrong, X.let(frames, order)).alias("reason"),
         )
-        ok = reason.isNull()
+
+    def shape(p: Column) -> Column:
+        ok = p["reason"].isNull()
         return F.struct(
             F.when(ok, p["contact"]).alias("contact_start_step"),
-            F.when(ok, frames).alias("frames"),
+            F.when(ok, p["frames"]).alias("frames"),
             F.when(ok, F.transform(p["points"], lambda q: F.array(q["pixel"]["x"], q["pixel"]["y"]))).alias("trace"),
-            reason.alias("reason"),
+            p["reason"].alias("reason"),
         )
 
     whole = F.struct(
@@ -347,7 +363,7 @@ def normalize_trace(
         start.alias("start"),
         end.alias("end"),
     )
-    return X.let(X.let(whole, points), shape)
+    return X.let(X.let(X.let(whole, points), check), shape)
 
 
 def plan_answer(response: Column, dataset: str = "libero") -> Column:
@@ -372,7 +388,7 @@ def structural_reason(segments: Column, num_steps: Column) -> Column:
 def annotation_rows(episodes: DataFrame, answers: DataFrame, dataset: str, model: str, prompt_version: str) -> tuple[DataFrame, DataFrame]:
     """(annotation rows, rows with a reason) from episodes and model answers."""
     joined = episodes.join(answers.select("episode_index", "response"), "episode_index")
-    n = joined.withColumn("_n", normalize_steps(F.col("response"), F.col("length"), dataset))
+    n = X.once(joined, "_n", normalize_steps(F.col("response"), F.col("length"), dataset))
     good = n.filter(F.col("_n.reason").isNull()).select(
         "episode_index",
         "task_index",

@@ -40,6 +40,7 @@ def prepare(annotations: DataFrame, dataset: str) -> DataFrame:
         {
             "_plan": X.parse_plan(episode_plan(F.col("plan"), F.col("segments")), dataset),
             "_skills": skills,
+            "_updated": F.transform("segments", lambda s: X.canonical_skill(s["updated_skill"], dataset)),
             "_seg_plans": seg_plans,
         }
     )
@@ -70,10 +71,10 @@ def shared_rules(dataset: str) -> list[Rule]:
     planned = F.col("_planned")
 
     def stray(s: Column, field: str) -> Column:
-        return F.size(F.array_except(X.skill_mentions(s[field], dataset), planned)) > 0
+        return s[field].contains("(") & (F.size(F.array_except(X.skill_mentions(s[field], dataset), planned)) > 0)
 
     skill = lambda i: F.get(F.col("_skills"), i)
-    updated = lambda s: X.canonical_skill(s["updated_skill"], dataset)
+    updated = lambda i: F.get(F.col("_updated"), i)
     return [
         per_segment("invalid_skill", lambda s, i: skill(i).isNull()),
         per_episode(
@@ -81,9 +82,9 @@ def shared_rules(dataset: str) -> list[Rule]:
             ~F.exists("_skills", lambda s: s.isNull()) & (row_runs(F.col("_skills")) != planned),
         ),
         per_segment("skill_not_in_plan", lambda s, i: skill(i).isNotNull() & ~F.array_contains(planned, skill(i))),
-        per_segment("invalid_updated_skill", lambda s, i: s["updated_skill"].isNotNull() & updated(s).isNull()),
+        per_segment("invalid_updated_skill", lambda s, i: s["updated_skill"].isNotNull() & updated(i).isNull()),
         per_segment(
-            "updated_skill_not_in_plan", lambda s, i: updated(s).isNotNull() & ~F.array_contains(planned, updated(s))
+            "updated_skill_not_in_plan", lambda s, i: updated(i).isNotNull() & ~F.array_contains(planned, updated(i))
         ),
         per_segment("invalid_segment_plan", lambda s, i: F.get(F.col("_seg_plans"), i)["reason"].isNotNull()),
         per_segment("segment_plan_differs", lambda s, i: F.get(F.col("_seg_plans"), i)["skills"] != planned),
