@@ -148,9 +148,11 @@ def ordered(
         .limit(MAX_CUT_GROUPS)
     )
     ranges = F.ceil(F.col("_rows") * 8 / limit)
-    block = F.when(
-        F.col("_hi") > F.col("_lo"), F.floor((at - F.col("_lo")) * ranges / (F.col("_hi") - F.col("_lo")))
-    ).when(F.col("_rows").isNotNull(), F.lit(0))
+    place = F.floor((at - F.col("_lo")) * ranges / (F.col("_hi") - F.col("_lo")))
+    # rows outside the counted range belong to its first or last block
+    block = F.when(F.col("_hi") > F.col("_lo"), F.greatest(F.least(place, ranges), F.lit(0))).when(
+        F.col("_rows").isNotNull(), F.lit(0)
+    )
     cut = df.join(F.broadcast(large), by, "left").withColumn(BLOCK, F.coalesce(block, F.lit(-1)).cast("bigint"))
     return Ordered(cut.drop("_rows", "_lo", "_hi"), tuple(keys), tuple(order))
 
