@@ -40,7 +40,7 @@ def drained(t: Tables, stream: DataFrame, mode: str, state_store: str | None = N
 
 def table_stream(t: Tables, name: str) -> DataFrame:
     schema = getattr(t, name).schema
-    return t.spark.readStream.schema(schema).option("pathGlobFilter", f"{name}.parquet").parquet(t.sf_dir)
+    return t.spark.readStream.schema(schema).option("pathGlobFilter", f"{name}.parquet").option("maxBytesPerTrigger", 512 * 1024 * 1024).parquet(t.sf_dir)
 
 
 @query("""SELECT o_orderpriority AS task, count(*) AS total, count(*) FILTER (o_orderstatus = 'F') AS successes, floor(count(*) FILTER (o_orderstatus = 'F') / CAST(count(*) AS DOUBLE) * 1e6 + 0.5001) / 1e6 AS rate FROM orders GROUP BY 1""")

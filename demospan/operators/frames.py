@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from ..functions import vocab as V
 from .ordered import Ordered, ordered, percentiles
@@ -10,6 +10,7 @@ from .ordered import Ordered, ordered, percentiles
 # Steps per join bucket. Segments are some tens of steps, so one covers one to three buckets, and
 # a bucket holds few segments: the residual comparison stays small for any episode length.
 JOIN_BUCKET = 64
+CHUNK_RUN = 1024
 
 
 def frames_in_segments(frames: DataFrame, segments: DataFrame, key: str = "episode", how: str = "inner") -> DataFrame:
@@ -67,21 +68,19 @@ def action_chunks(
 ) -> DataFrame:
     """Next ``horizon`` actions of each frame, cut at the segment end, as (action_chunk, is_pad).
 
-    Each action is sent to the at most ``horizon`` frames that look at it and gathered by frame, so
-    every group has at most ``horizon`` rows and no task sees a whole episode. Past the end the pose
+    Frames are grouped in runs of CHUNK_RUN steps; the first horizon - 1 frames of a run are also sent
+    to the run before it, which looks ahead into them. So the rows are shuffled once, hardly more than
+    once each, and a group never exceeds a run however long the segment is. Past the end the pose
     numbers are zero and the last gripper value is kept.
     """
-    ahead = F.explode(F.sequence(F.lit(0), F.lit(horizon - 1))).alias("_k")
-    sent = frames.select(*keys, F.col(step).alias("_from"), F.col(action).alias("_action"), ahead)
-    sent = sent.withColumn(step, F.col("_from") - F.col("_k")).filter(F.col(step) >= 0)
-    here = frames.select(*keys, step, end)
-    gathered = (
-        sent.join(here, [*keys, step])
-        .filter(F.col("_from") < F.col(end))
-        .groupBy(*keys, step)
-        .agg(F.array_sort(F.collect_list(F.struct("_k", "_action"))).alias("_a"))
-    )
-    have = F.transform(F.col("_a"), lambda a: a["_action"])
+    run = max(CHUNK_RUN, horizon)
+    at = F.floor(F.col(step) / run)
+    ahead = F.when((F.col(step) % run < horizon - 1) & (at > 0), at - 1)
+    f = frames.filter(F.col(step) < F.col(end)).select(*keys, step, F.col(action).alias("_action"))
+    f = f.withColumn("_run", F.explode(F.array_compact(F.array(at, ahead))))
+    w = Window.partitionBy(*keys, "_run").orderBy(step).rangeBetween(0, horizon - 1)
+    gathered = f.withColumn("_a", F.collect_list("_action").over(w)).filter(at == F.col("_run"))
+    have = F.col("_a")
     last = F.element_at(have, -1)
     pad = F.concat(F.array_repeat(F.lit(0.0), dims - 1), F.array(F.element_at(last, dims)))
     missing = F.lit(horizon) - F.size(have)

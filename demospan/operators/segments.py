@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from ..functions import text as X
 from ..functions import vocab as V
-from .ordered import Ordered, islands, ordered
+from .ordered import Ordered, islands
 
 
 def from_lengths(o: Ordered, length: str) -> Ordered:
@@ -218,8 +218,3 @@ def row_contiguity_reason(segments: Column, num_steps: Column) -> Column:
         .when(first_rule.isNotNull(), first_rule)
         .when(last_end != num_steps, "last_end_not_num_steps")
     )
-
-
-def numbered(df: DataFrame, keys: list[str], order: list[str], split: str, name: str = "position") -> Ordered:
-    """Ordered rows with a 0-based position."""
-    return ordered(df, keys, order, split).scan(index=name)

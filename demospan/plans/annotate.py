@@ -15,7 +15,6 @@ from ..functions import text as X
 from ..functions import vocab as V
 from ..operators.joins import pending
 from ..operators.setops import unresolved_errors
-from ..operators.segments import row_contiguity_reason
 
 
 class SchemaRefused(Exception):
@@ -381,10 +380,6 @@ def plan_answer(response: Column, dataset: str = "libero") -> Column:
     return X.let(plan, shape)
 
 
-def structural_reason(segments: Column, num_steps: Column) -> Column:
-    return row_contiguity_reason(segments, num_steps)
-
-
 def annotation_rows(episodes: DataFrame, answers: DataFrame, dataset: str, model: str, prompt_version: str) -> tuple[DataFrame, DataFrame]:
     """(annotation rows, rows with a reason) from episodes and model answers."""
     joined = episodes.join(answers.select("episode_index", "response"), "episode_index")

@@ -13,7 +13,6 @@ from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
-from ..functions import vocab as V
 from ..operators.joins import pending
 from ..operators.setops import latest
 
@@ -37,7 +36,7 @@ class SkillTracker(StatefulProcessor):
         now = self.state.get() if self.state.exists() else (0, 0, 0, 0, 0, None, None)
         step_due, checks, streak, index, done, observed, changed = now
         out = []
-        # one micro-batch of one episode; batches are bounded by the source's rate limit
+        # one micro-batch of one episode: the source's maxBytesPerTrigger bounds it
         batch = pd.concat(list(rows)).sort_values(["ts", "step"])
         for r in batch.itertuples(index=False):
             if r.step < step_due:
@@ -89,7 +88,8 @@ def track_skills(
     """Stream of (episode, step, ts, skill, progress) -> skill index, done count, timeouts.
 
     An episode ends when no new skill is seen for ``timeout`` of event time; at 10 frames per second
-    20 seconds are the usual 200 steps. Needs the RocksDB state store.
+    20 seconds are the usual 200 steps. Needs the RocksDB state store. Set maxBytesPerTrigger on the
+    source: a micro-batch of one episode is sorted in memory.
     """
     ms = int(pd.Timedelta(timeout).total_seconds() * 1000)
     return (
@@ -102,7 +102,6 @@ def track_skills(
 
 
 ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
-STEP_TIMEOUT_SECONDS = V.STEP_TIMEOUT / V.FPS["libero"]
 
 
 def running_success(rollouts: DataFrame, task: str = "task") -> DataFrame:

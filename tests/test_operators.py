@@ -246,3 +246,15 @@ def test_rich_rules(spark):
     assert got == {1: None, 2: 2, 3: None, 4: 2, 5: 1, 6: None}
     able = FE.available_actions(facts.filter("episode = 1"), "calvin", spark.createDataFrame([(1, "PICKUP_FROM", ["block", "table"]), (1, "OPEN", ["drawer"])], "episode long, verb string, arguments array<string>"))
     assert [r.verb for r in able.collect()] == ["PICKUP_FROM"]
+
+
+def test_action_chunks_look_over_run_borders(spark, monkeypatch):
+    monkeypatch.setattr(FR, "CHUNK_RUN", 4)
+    rows = [(1, 0, s, 11, [float(s), s * 10.0]) for s in range(11)]
+    df = spark.createDataFrame(rows, "episode int, seg int, step int, end_step int, action array<double>")
+    got = {r.step: (r.action_chunk, r.is_pad) for r in FR.action_chunks(df, ["episode", "seg"], 3, 2).collect()}
+    assert len(got) == 11
+    for s in range(11):
+        have = [[float(k), k * 10.0] for k in range(s, min(s + 3, 11))]
+        pad = 3 - len(have)
+        assert got[s] == (have + [[0.0, 100.0]] * pad, [False] * len(have) + [True] * pad)
