@@ -258,3 +258,15 @@ def test_action_chunks_look_over_run_borders(spark, monkeypatch):
         have = [[float(k), k * 10.0] for k in range(s, min(s + 3, 11))]
         pad = 3 - len(have)
         assert got[s] == (have + [[0.0, 100.0]] * pad, [False] * len(have) + [True] * pad)
+
+
+def test_draws_repeat(spark):
+    from demospan.operators import sampling as T
+
+    df = spark.createDataFrame([(e, p) for e in range(6) for p in range(5)], "episode int, position int")
+    a, b = (T.random_transition(df).collect() for _ in range(2))
+    assert a == b and len(a) == 1
+    ones = T.one_per_group(df, "episode", ["position"]).collect()
+    assert sorted(r.episode for r in ones) == list(range(6))
+    names = spark.createDataFrame([("open the drawer",), ("open the door",), ("lift",)], "name string")
+    assert [r.name for r in T.closest_names(names, "open the dor").collect()][0] == "open the door"
