@@ -6,9 +6,8 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from . import decontaminate, exact_dedup, html_text, license_scan, line_dedup, packing, quality_crf, simhash_dedup, token_counts, url_filter
+from . import decontaminate, exact_dedup, html_text, license_scan, line_dedup, packing, quality_crf, simhash_dedup, sql, token_counts, url_filter
 from .common import table
-from .sql import ORACLES
 
 RULES = {"org/": "allow", "example.org/es/": "block", "example.org/en/1": "block", "com/fr/": "allow", "com/de/": "block"}
 PACK_TOKENIZER = "word_bpe_49k.json"
@@ -75,4 +74,10 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     )
 }
 
+ORACLES: dict[str, str] = {
+    "op1_url_filter": sql.url_filter(RULES),
+    "op3_decontamination": sql.decontamination(),
+    "op7_exact_dedup": sql.exact_dedup(),
+}
+
 __all__ = ["ORACLES", "QUERIES"]

@@ -1,3 +1,99 @@
-"""DuckDB SQL for the queries of this subpackage."""
+"""DuckDB SQL for the queries of this subpackage that SQL can express."""
 
-ORACLES: dict[str, str] = {}
+from __future__ import annotations
+
+from . import decontaminate as D, url_filter as U
+
+WORD_BREAKS = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
+#: levels of the template tree that are written out; the paths of ``pages`` have two
+LEVELS = 4
+
+
+def exact_dedup() -> str:
+    return r"""
+WITH n AS (SELECT doc_id, regexp_replace(coalesce(text, ''), '[\x20\x09-\x0D]+', ' ', 'g') AS t FROM documents),
+g AS (SELECT doc_id, t, min(doc_id) OVER (PARTITION BY t) AS keep_id, count(*) OVER (PARTITION BY t) AS group_size,
+  row_number() OVER (PARTITION BY t, doc_id) AS nth FROM n)
+SELECT doc_id, keep_id, CAST(group_size AS BIGINT) AS group_size,
+  doc_id IS NOT DISTINCT FROM keep_id AND nth = 1 AS kept, sha256(t) AS text_sha256 FROM g"""
+
+
+def decontamination() -> str:
+    def seeds(name: str) -> str:
+        parts = []
+        for number, mask in enumerate(D.MASKS):
+            seed = " || ' ' || ".join(f"w[i + {o}]" for o in mask)
+            parts.append(f"SELECT id, i, {number} AS mask, {seed} AS seed FROM {name}_at WHERE i + {mask[-1]} <= len(w)")
+        return " UNION ALL ".join(parts)
+
+    def words(table: str, key: str) -> str:
+        return f"""SELECT {key} AS id, string_split(trim(regexp_replace(lower(text), '{WORD_BREAKS}', ' ', 'g')), ' ') AS w
+  FROM {table} WHERE text IS NOT NULL AND trim(regexp_replace(lower(text), '{WORD_BREAKS}', ' ', 'g')) <> ''"""
+
+    return f"""
+WITH d AS ({words("documents", "doc_id")}), b AS ({words("benchmark", "item_id")}),
+d_at AS (SELECT id, w, unnest(range(1, len(w) + 1)) AS i FROM d),
+b_at AS (SELECT id, w, unnest(range(1, len(w) + 1)) AS i FROM b WHERE len(w) >= {len(D.MASKS[0])}),
+d_seed AS ({seeds("d")}), b_seed AS ({seeds("b")}),
+diagonals AS (SELECT DISTINCT d_seed.id AS doc_id, b_seed.id AS item_id, d_seed.i - b_seed.i AS first
+  FROM d_seed JOIN b_seed USING (mask, seed)),
+laid AS (SELECT x.doc_id, x.item_id, first, b.w AS item, d.w AS words FROM diagonals x
+  JOIN d ON d.id = x.doc_id JOIN b ON b.id = x.item_id),
+places AS (SELECT doc_id, item_id, first, len(item) AS n, least(len(item), {D.WINDOW}) AS width,
+  unnest(range(1, len(item) + 1)) AS k, item, words FROM laid),
+agree AS (SELECT doc_id, item_id, first, n, width, k,
+  CASE WHEN first + k >= 1 AND first + k <= len(words) AND words[first + k] = item[k] THEN 1 ELSE 0 END AS same FROM places),
+runs AS (SELECT *, sum(same) OVER (PARTITION BY doc_id, item_id, first ORDER BY k) AS upto FROM agree),
+windows AS (SELECT r.doc_id, r.item_id, r.first, r.n, max(r.upto - coalesce(p.upto, 0)) AS best, any_value(r.width) AS width,
+    max(r.upto) AS matched
+  FROM runs r LEFT JOIN runs p ON p.doc_id = r.doc_id AND p.item_id = r.item_id AND p.first = r.first AND p.k = r.k - r.width
+  WHERE r.k >= r.width GROUP BY r.doc_id, r.item_id, r.first, r.n),
+totals AS (SELECT doc_id, item_id, first, CAST(sum(same) AS BIGINT) AS matched FROM agree GROUP BY ALL)
+SELECT w.doc_id, w.item_id, CAST(w.n AS BIGINT) AS item_words, t.matched, CAST(w.first AS BIGINT) AS start_word
+FROM windows w JOIN totals t USING (doc_id, item_id, first)
+WHERE w.best >= {D.SHARE} * w.width
+QUALIFY row_number() OVER (PARTITION BY w.doc_id, w.item_id ORDER BY t.matched DESC, w.first, w.n) = 1"""
+
+
+def url_filter(rules: dict[str, str]) -> str:
+    level = []
+    for i in range(1, LEVELS + 1):
+        was = f"t{i - 1}"
+        level.append(f"""
+deep{i} AS (SELECT *, segs[{i}] AS seg FROM {was} WHERE len(segs) >= {i}),
+branch{i} AS (SELECT host, template, seg, sum(pages) AS pages, sum(labelled) AS labelled, sum(bad) AS bad FROM deep{i} GROUP BY ALL),
+node{i} AS (SELECT host, template, sum(pages) AS all_pages, sum(labelled) AS all_labelled, sum(bad) AS all_bad, count(*) AS branches
+  FROM branch{i} GROUP BY ALL),
+cells{i} AS (SELECT host, template, seg, pages, all_pages, branches, CAST(all_labelled AS DOUBLE) AS n, CAST(bad AS DOUBLE) AS b,
+  CAST(labelled - bad AS DOUBLE) AS g, CAST(all_bad - bad AS DOUBLE) AS ob,
+  CAST(all_labelled - all_bad AS DOUBLE) - CAST(labelled - bad AS DOUBLE) AS og FROM branch{i} JOIN node{i} USING (host, template)),
+step{i} AS (SELECT host, template, seg, CASE WHEN branches = 1 OR (pages * {U.RARE} >= all_pages
+    AND (b * og - g * ob) * (b * og - g * ob) * n > (b + g) * (ob + og) * (b + ob) * (g + og) * CAST({U.DIFFERS} AS DOUBLE))
+  THEN seg ELSE '{U.ANY}' END AS step FROM cells{i}),
+t{i} AS (SELECT host, segs, pages, labelled, bad, template || '/' || step AS template FROM deep{i} JOIN step{i} USING (host, template, seg)
+  UNION ALL SELECT host, segs, pages, labelled, bad, template FROM {was} WHERE len(segs) < {i})""")
+    chosen = "CASE " + " ".join(
+        "WHEN (host = '{0}' OR ends_with(host, '.{0}')) AND starts_with(path, '/{1}') THEN '{2}'".format(*r.split("/", 1), r)
+        for r in sorted(rules, key=lambda r: (-len(r), r))
+    ) + " END"
+    ruled = "CASE rule " + " ".join(f"WHEN '{r}' THEN '{v}'" for r, v in rules.items()) + " END"
+    m = f"CAST({U.SMOOTHING} AS DOUBLE)"
+    return rf"""
+WITH parts AS (SELECT page_id, coalesce(translate(regexp_extract(url, '(?s)^.*?://([^/?#]*)', 1),
+    'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '') AS host,
+  coalesce(regexp_extract(url, '(?s)^.*?://[^/?#]*([^?#]*)', 1), '') AS path FROM pages),
+rows_ AS (SELECT *, list_filter(string_split(regexp_replace(path, '[0-9]+', '<n>', 'g'), '/'), lambda s: s <> '') AS segs,
+  try_cast(nullif(regexp_extract(path, '([0-9]{{1,18}})[^0-9]*$', 1), '') AS BIGINT) AS shown FROM parts),
+marks AS (SELECT page_id, count(*) AS labelled, sum(1 - quality) AS bad
+  FROM (SELECT DISTINCT page_id, shown FROM rows_) JOIN labels ON shown = labels.doc_id WHERE quality IS NOT NULL GROUP BY ALL),
+t0 AS (SELECT host, segs, count(*) AS pages, coalesce(sum(labelled), 0) AS labelled, coalesce(sum(bad), 0) AS bad, '' AS template
+  FROM rows_ LEFT JOIN marks USING (page_id) GROUP BY host, segs),{",".join(level)},
+tree AS (SELECT * FROM t{LEVELS}),
+hosts AS (SELECT host, sum(labelled) AS hn, sum(bad) AS hb FROM tree GROUP BY host),
+overall AS (SELECT CASE WHEN sum(hn) > 0 THEN CAST(sum(hb) AS DOUBLE) / CAST(sum(hn) AS DOUBLE) ELSE 0 END AS o FROM hosts),
+stats AS (SELECT host, template, (CAST(sum(bad) AS DOUBLE) + {m} * ((CAST(any_value(hb) AS DOUBLE) + {m} * any_value(o)) / (CAST(any_value(hn) AS DOUBLE) + {m})))
+    / (CAST(sum(labelled) AS DOUBLE) + {m}) AS bad_share
+  FROM tree JOIN hosts USING (host), overall GROUP BY host, template),
+judged AS (SELECT page_id, host, path, {chosen} AS rule, template, bad_share FROM rows_ JOIN tree USING (host, segs) JOIN stats USING (host, template))
+SELECT page_id, host, path, rule, coalesce({ruled}, CASE WHEN bad_share > {U.REJECT_ABOVE} THEN 'block' ELSE 'allow' END) AS verdict,
+  template, bad_share FROM judged"""

@@ -58,7 +58,7 @@ def templates(paths: DataFrame) -> DataFrame:
     now = cut(paths.withColumn("template", F.lit("")))
     depth = now.agg(F.max(F.size("segs"))).first()[0] or 0
     for level in range(depth):
-        deep = now.where(F.size("segs") > level).withColumn("seg", F.col("segs")[level])
+        deep = now.where(F.size("segs") > level).withColumn("seg", F.get("segs", F.lit(level)))
         branch = deep.groupBy("host", "template", "seg").agg(*_sums())
         node = branch.groupBy("host", "template").agg(
             *[F.sum(c).alias("all_" + c) for c in ("pages", "labelled", "bad")], F.count("*").alias("branches")
