@@ -312,8 +312,7 @@ def active_texts(t: Tables):
     return t.conversations.select("conv_id", "turn", X.active_text(F.nullif(updated, F.lit("")), F.col("role")).alias("active"))
 
 
-@query("SELECT page_id, substr(html, instr(html, '{'), instr(html, '}') - instr(html, '{') + 1) AS object FROM pages WHERE instr(html, '{') > 0")
+@query("SELECT page_id, CASE WHEN instr(html, '{') > 0 THEN substr(html, instr(html, '{'), instr(html, '}') - instr(html, '{') + 1) END AS object FROM pages")
 def first_json_objects(t: Tables):
-    """The first balanced object of each page: the pages' first braces are a style rule without nesting."""
-    p = t.pages.filter(F.instr("html", "{") > 0)
-    return p.select("page_id", X.first_json_object()(F.col("html")).alias("object"))
+    """The first balanced object of each page, null without one: the pages' first braces are a style rule without nesting."""
+    return t.pages.select("page_id", X.first_json_object(F.col("html")).alias("object"))

@@ -3,7 +3,8 @@
 A plain window puts a whole group into one task, which fails when one episode holds a third of
 the data. Here a group that is too large is cut along its order into blocks; the window runs per
 (group, block) and a small table with one row per block carries counts, sums and edge rows across
-the cuts. The result is the same as the plain window's.
+the cuts. Cuts are order statistics of the full sort key, so a block never decreases along the order,
+whatever nulls, ties or outliers there are, and the result is the plain window's.
 
 Ordinary groups live in block -1 and need no carry, so usual data costs one shuffle, one narrow
 counting pass and a join against an empty table. The carry join reuses the window's partitioning
@@ -18,9 +19,10 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 
 BLOCK = "_block"
 ROWS_PER_BLOCK = 2_000_000
-# At most this many groups are cut. Groups beyond the largest 65,536 hold fewer than 1/65,536 of
-# all rows each and stay whole, so the list that is broadcast has a fixed size bound.
-MAX_CUT_GROUPS = 65_536
+# A cut lies after every so many sampled rows; a sample of this many rows stands for ROWS_PER_BLOCK.
+SAMPLES_PER_BLOCK = 64
+# Cuts are looked up in runs of this many.
+CUT_RUN = 64
 
 
 @dataclass(frozen=True)
@@ -113,6 +115,31 @@ class Ordered:
         return self.with_df(out.drop(*helpers))
 
 
+def cuts(df: DataFrame, by: list[str], order: list[str], limit: int) -> DataFrame:
+    """(by, _cuts): for each group with more than ``limit`` rows, ascending sort keys to cut it at.
+
+    The cuts are every so many-th of a sample that the rows' hashes choose, so a recomputed task cuts at
+    the same places. About half of ``limit`` rows lie between two cuts, however the keys are spread.
+    """
+    every = max(1, limit // SAMPLES_PER_BLOCK)
+    step = max(1, limit // (2 * every))
+    large = df.groupBy(*by).agg(F.count(F.lit(1)).alias("_rows")).filter(F.col("_rows") > limit).select(*by)
+    taken = df.select(*by, *[c for c in order if c not in by])
+    if every > 1:
+        taken = taken.filter(F.pmod(F.xxhash64(*by, *order), F.lit(every)) == 0)
+    sample = taken.join(large, by, "left_semi").groupBy(*by).agg(F.sort_array(F.collect_list(F.struct(*order))).alias("_s"))
+    chosen = F.filter("_s", lambda x, i: (i % step == 0) & (i > 0))
+    return sample.select(*by, F.array_distinct(chosen).alias("_cuts"))
+
+
+def _cuts_passed(found: Column, key: Column) -> Column:
+    """How many of the ascending cuts are not above the key: first by runs, then inside one run."""
+    runs = F.sequence(F.lit(0), F.floor((F.size(found) - 1) / CUT_RUN).cast("int"))
+    run = F.size(F.filter(runs, lambda i: F.get(found, i * CUT_RUN) <= key)) - 1
+    inside = F.size(F.filter(F.slice(found, run * CUT_RUN + 1, CUT_RUN), lambda c: c <= key))
+    return F.when((F.size(found) == 0) | (run < 0), F.lit(0)).otherwise(run * CUT_RUN + inside)
+
+
 def ordered(
     df: DataFrame,
     keys: list[str],
@@ -122,39 +149,21 @@ def ordered(
     sized_by: DataFrame | None = None,
     size_keys: list[str] | None = None,
 ) -> Ordered:
-    """Cut groups with more than ``rows_per_block`` rows into ranges of ``split``.
+    """Cut groups with more than ``rows_per_block`` rows along ``order``.
 
     Where the groups are many and fine, ``sized_by`` (a table with ``split``) and ``size_keys`` (some
-    of the keys) count coarser groups instead: a fine group is never larger than the one it lies in.
+    of the keys) count and cut coarser groups instead, along ``split``, which never decreases along
+    ``order``: a fine group is never larger than the one it lies in.
 
-    ``split`` is a number or timestamp that never decreases along ``order``. The ranges come from
-    exact counts and bounds, so a recomputed task cuts at the same places.
+    Rows whose sort keys are wholly equal stay together, as no order is defined among them. Rows with a
+    null key are no group of the domain; they stay together too.
     """
     limit = rows_per_block or ROWS_PER_BLOCK
-    at = F.col(split)
-    kind = dict(df.dtypes)[split]
-    if kind == "timestamp":
-        at = F.unix_micros(split)
-    elif kind == "timestamp_ntz":  # no zone, so no cast to an instant: days and seconds of the day
-        at = F.unix_date(F.to_date(at)) * 86400 + F.hour(at) * 3600 + F.minute(at) * 60 + F.second(at)
-    at = at.cast("double")
-    by = size_keys or keys
-    large = (
-        (df if sized_by is None else sized_by)
-        .groupBy(*by)
-        .agg(F.count(F.lit(1)).alias("_rows"), F.min(at).alias("_lo"), F.max(at).alias("_hi"))
-        .filter(F.col("_rows") > limit)
-        .orderBy(F.desc("_rows"), *by)
-        .limit(MAX_CUT_GROUPS)
-    )
-    ranges = F.ceil(F.col("_rows") * 8 / limit)
-    place = F.floor((at - F.col("_lo")) * ranges / (F.col("_hi") - F.col("_lo")))
-    # rows outside the counted range belong to its first or last block
-    block = F.when(F.col("_hi") > F.col("_lo"), F.greatest(F.least(place, ranges), F.lit(0))).when(
-        F.col("_rows").isNotNull(), F.lit(0)
-    )
-    cut = df.join(F.broadcast(large), by, "left").withColumn(BLOCK, F.coalesce(block, F.lit(-1)).cast("bigint"))
-    return Ordered(cut.drop("_rows", "_lo", "_hi"), tuple(keys), tuple(order))
+    by, along = (size_keys or keys, order) if sized_by is None else (size_keys or keys, [split])
+    found = cuts(df if sized_by is None else sized_by, by, along, limit)
+    block = F.when(F.col("_cuts").isNull(), F.lit(-1)).otherwise(_cuts_passed(F.col("_cuts"), F.struct(*along)))
+    cut = df.join(found, by, "left").withColumn(BLOCK, block.cast("bigint"))
+    return Ordered(cut.drop("_cuts"), tuple(keys), tuple(order))
 
 
 def ordered_by_blocks(df: DataFrame, keys: list[str], order: list[str], block: Column) -> Ordered:
@@ -188,10 +197,9 @@ def islands(o: Ordered, *values: str, name: str = "island") -> Ordered:
 
 
 def large_groups(df: DataFrame, keys: list[str], limit: int) -> DataFrame:
-    """Keys of the groups with more than ``limit`` rows, at most MAX_CUT_GROUPS of them, to be broadcast."""
+    """Keys of the groups with more than ``limit`` rows."""
     counted = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("_rows")).filter(F.col("_rows") > limit)
-    top = counted.orderBy(F.desc("_rows"), *keys).limit(MAX_CUT_GROUPS)
-    return F.broadcast(top.select(*keys, F.lit(True).alias("_large")))
+    return counted.select(*keys, F.lit(True).alias("_large"))
 
 
 def percentiles(

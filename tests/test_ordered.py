@@ -5,7 +5,7 @@ import random
 import numpy as np
 import pandas as pd
 import pytest
-from pyspark.sql import functions as F
+from pyspark.sql import Window, functions as F
 
 from demospan.operators.ordered import islands, ordered, ordered_by_blocks, percentiles, streak
 
@@ -90,3 +90,42 @@ def test_percentiles_are_exact(spark, skewed, limit):
         for r in got.collect():
             vals = skewed.loc[skewed.k == r.k, value]
             assert np.allclose([r.p5, r.p50, r.p95], np.percentile(vals, [5, 50, 95]))
+
+
+def odd_keys(kind):
+    """One group of rows (place, value) whose sort keys are hard to cut evenly."""
+    if kind == "nulls":
+        return [(None if i % 3 == 0 else i, i) for i in range(60)]
+    if kind == "outlier":
+        return [(i, i) for i in range(99)] + [(10**15, 99)]
+    if kind == "ties":
+        return [(i // 20, i) for i in range(100)]
+    if kind == "nan":
+        return [(float("nan") if i % 5 == 0 else float(i), i) for i in range(60)]
+    return [(7, i) for i in range(60)]
+
+
+@pytest.mark.parametrize("limit", [3, 25, 1000])
+@pytest.mark.parametrize("kind", ["nulls", "outlier", "ties", "nan", "one place"])
+def test_any_sort_keys_give_the_plain_windows_result(spark, kind, limit):
+    rows = odd_keys(kind)
+    random.Random(1).shuffle(rows)
+    place = "double" if kind == "nan" else "bigint"
+    df = spark.createDataFrame([("g", *r) for r in rows] + [(None, *r) for r in rows], f"k string, at {place}, v bigint")
+    o = ordered(df, ["k"], ["at", "v"], split="at", rows_per_block=limit)
+    got = o.scan(index="i", sums={"s": F.col("v")}, previous={"p": F.col("v")}).rows()
+    w = Window.partitionBy("k").orderBy("at", "v")
+    want = df.select("*", (F.row_number().over(w) - 1).alias("i"), F.sum("v").over(w.rowsBetween(Window.unboundedPreceding, 0)).alias("s"), F.lag("v").over(w).alias("p"))
+    pick = lambda d: sorted(((r.k, r.v, r.i, r.s, r.p) for r in d.collect()), key=lambda x: (str(x[0]), x[2]))
+    assert pick(got) == pick(want)
+    blocks = o.df.where("k IS NOT NULL").groupBy("k", "_block").count().collect()
+    if limit == 1000:
+        assert {b._block for b in blocks} == {-1}
+    else:
+        assert max(b["count"] for b in blocks) <= limit
+
+
+def test_large_groups_are_cut_evenly_by_a_sample(spark):
+    df = spark.range(20_000).select(F.lit("g").alias("k"), F.pow(F.col("id"), 3).alias("at"), "id")
+    sizes = [r["count"] for r in ordered(df, ["k"], ["at", "id"], split="at", rows_per_block=2000).df.groupBy("_block").count().collect()]
+    assert len(sizes) >= 10 and max(sizes) <= 2000
