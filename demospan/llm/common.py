@@ -47,3 +47,27 @@ def ascii_lower(x: Column) -> Column:
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+class BitFilter:
+    """A fixed-size bitmap of 64-bit hashes: cheap to test, and wrong only by letting a stranger pass.
+
+    It keeps rows that cannot join out of a shuffle. Its size does not depend on the data, so it may stand in
+    the plan as a constant; with more hashes it only lets more rows pass.
+    """
+
+    def __init__(self, hashes: DataFrame, column: str, words: int):
+        self.words = words
+        bit = F.call_function("shiftleft", F.lit(1).cast("bigint"), self._bit(F.col(column)))
+        slots = hashes.groupBy(self._slot(F.col(column)).alias("slot")).agg(F.bit_or(bit).alias("bits"))
+        found = dict(slots.collect())  # at most ``words`` rows
+        self.map = F.split(F.lit(",".join(str(found.get(i, 0)) for i in range(words))), ",").cast("array<bigint>")
+
+    def _slot(self, x: Column) -> Column:
+        return F.shiftrightunsigned(x, 6).bitwiseAND(F.lit(self.words - 1)).cast("int")
+
+    def _bit(self, x: Column) -> Column:
+        return x.bitwiseAND(F.lit(63)).cast("int")
+
+    def may_hold(self, x: Column) -> Column:
+        return F.getbit(F.get(self.map, self._slot(x)), self._bit(x)) == 1

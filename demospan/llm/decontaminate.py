@@ -10,6 +10,8 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, functions as F
 
+from .common import BitFilter
+
 #: five words each, as shingles have; three shapes, so that a replaced word spares some seed around it
 MASKS = ((0, 1, 2, 3, 4), (0, 1, 3, 4, 6), (0, 2, 3, 5, 7))
 WINDOW = 12
@@ -54,21 +56,6 @@ def _hashed(words: Column) -> Column:
     return F.transform(words, lambda w: F.xxhash64(w))
 
 
-def _slot(seed: Column) -> Column:
-    return F.shiftrightunsigned(seed, 6).bitwiseAND(F.lit(BITMAP - 1)).cast("int")
-
-
-def _bit(seed: Column) -> Column:
-    return seed.bitwiseAND(F.lit(63)).cast("int")
-
-
-def _bitmap(seeds: DataFrame) -> Column:
-    """A constant array of BITMAP numbers with a bit for every benchmark seed."""
-    set_bits = seeds.groupBy(_slot(F.col("seed")).alias("slot")).agg(F.bit_or(F.call_function("shiftleft", F.lit(1).cast("bigint"), _bit(F.col("seed")))).alias("bits"))
-    found = dict(set_bits.collect())  # at most BITMAP rows
-    return F.split(F.lit(",".join(str(found.get(i, 0)) for i in range(BITMAP))), ",").cast("array<bigint>")
-
-
 def overlaps(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, share: float = SHARE) -> DataFrame:
     """``doc_id, text_key, item_id, item_words, matched, start_word``: one row per document and item met.
 
@@ -90,17 +77,18 @@ def overlaps(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, share:
         .where(F.size("item") >= len(MASKS[0]))
         .distinct()
     )
-    item_seeds = items.select("item_id", "item", F.explode(_seeds(_hashed(F.col("item")))).alias("s")).select(
-        "item_id", "item", F.col("s.place").alias("item_place"), "s.seed"
+    items = items.withColumn("item_key", F.xxhash64("item"))
+    item_seeds = items.select("item_id", "item_key", F.explode(_seeds(_hashed(F.col("item")))).alias("s")).select(
+        "item_id", "item_key", F.col("s.place").alias("item_place"), "s.seed"
     )
-    bitmap = _bitmap(item_seeds)
-    keep = lambda seed: F.getbit(F.get(bitmap, _slot(seed)), _bit(seed)) == 1
-    found = _let(_hashed(words_of(F.col("text"))), lambda h: _seeds(h, keep))
+    known = BitFilter(item_seeds, "seed", BITMAP)
+    found = _let(_hashed(words_of(F.col("text"))), lambda h: _seeds(h, known.may_hold))
     places = rows.select("doc_id", "text_key", F.explode(found).alias("s")).select("doc_id", "text_key", "s.place", "s.seed")
     diagonals = (
         places.join(item_seeds, "seed")
-        .select("doc_id", "text_key", "item_id", "item", (F.col("place") - F.col("item_place")).alias("start_word"))
+        .select("doc_id", "text_key", "item_id", "item_key", (F.col("place") - F.col("item_place")).alias("start_word"))
         .distinct()
+        .join(items, ["item_id", "item_key"])
     )
     with_words = rows.join(
         diagonals.withColumnsRenamed({"doc_id": "d", "text_key": "k"}),

@@ -207,7 +207,7 @@ def test_pivots_discard_no_link():
 
 
 def shingles(line):
-    return {line[i : i + L.CHARACTERS] for i in range(max(1, len(line) - L.CHARACTERS + 1))}
+    return {m[1] for m in re.finditer(L.STARTS, line)}
 
 
 def line_brute(rows):
