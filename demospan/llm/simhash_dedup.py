@@ -11,6 +11,7 @@ the same way over its remaining bits, which bounds a group by 2^16 fingerprints;
 
 from __future__ import annotations
 
+import json
 from collections.abc import Iterator
 from itertools import accumulate, combinations
 
@@ -75,9 +76,16 @@ def _long(x: int) -> int:
     return x - (1 << 64) if x >> 63 else x
 
 
-def _keyed(fps: DataFrame, masks: list[int], start: int = 0) -> DataFrame:
-    keys = F.array(*[F.col("fp").bitwiseAND(F.lit(_long(m))) for m in masks])
-    return fps.select("fp", F.posexplode(keys).alias("choice", "key")).withColumn("choice", F.col("choice") + start)
+def _table(masks: list) -> F.Column:
+    """Masks, or a list of them for each choice, as one constant."""
+    nested = isinstance(masks[0], list)
+    longs = [[_long(m) for m in row] for row in masks] if nested else [_long(m) for m in masks]
+    return F.from_json(F.lit(json.dumps(longs)), "array<array<bigint>>" if nested else "array<bigint>")
+
+
+def _keyed(fps: DataFrame, masks: F.Column) -> DataFrame:
+    keys = F.transform(masks, lambda m: F.col("fp").bitwiseAND(m))
+    return fps.select("*", F.posexplode(keys).alias("place", "key"))
 
 
 def _pivots() -> np.ndarray:
@@ -152,17 +160,17 @@ def _links(radius: int):
 def fingerprint_links(fps: DataFrame, radius: int = RADIUS) -> DataFrame:
     """``a, b``: pairs of the distinct fingerprints ``fp`` whose components are those of all links."""
     masks = block_masks(list(range(64)), radius + SHARED_BLOCKS)
-    keyed = _keyed(fps, masks)
+    keyed = _keyed(fps.select("fp"), _table(masks)).withColumnRenamed("place", "choice")
     sizes = keyed.groupBy("choice", "key").count().where("count > 1")
     shared = keyed.join(sizes, ["choice", "key"])
-    out = shared.where(F.col("count") <= REFINE_ABOVE).select("choice", "key", "fp")
+    small = shared.where(F.col("count") <= REFINE_ABOVE).select("choice", "key", "fp")
+    rests = [[b for b in range(64) if not m >> b & 1] for m in masks]
+    finer = [[m | s for s in block_masks(rest, radius + SHARED_BLOCKS)] for m, rest in zip(masks, rests)]
     large = shared.where(F.col("count") > REFINE_ABOVE).select("choice", "fp")
-    for i, m in enumerate(masks):
-        rest = [b for b in range(64) if not m >> b & 1]
-        finer = [m | s for s in block_masks(rest, radius + SHARED_BLOCKS)]
-        out = out.union(
-            _keyed(large.where(F.col("choice") == i), finer, len(masks) + i * len(finer)).select("choice", "key", "fp")
-        )
+    refined = _keyed(large, F.get(_table(finer), F.col("choice"))).select(
+        (len(masks) + F.col("choice") * len(finer[0]) + F.col("place")).alias("choice"), "key", "fp"
+    )
+    out = small.union(refined)
     grouped = out.repartition("choice", "key").sortWithinPartitions("choice", "key", "fp")
     return grouped.mapInArrow(_links(radius), "a bigint, b bigint").distinct()
 
