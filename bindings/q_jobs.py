@@ -19,7 +19,6 @@ from demospan.plans import targets as TG
 from demospan.plans import transitions as TR
 from demospan.plans.select import has_all_verbs, has_keyword, select_episodes, skills_of, verbs_at
 from demospan.functions import text as X
-from demospan.session import spread
 
 from .q_text import COT
 from .registry import query
@@ -33,7 +32,7 @@ BASE = f"SELECT o_orderkey AS episode, {KIND} AS k, {THING} AS x FROM orders"
 
 def episodes(t: Tables) -> DataFrame:
     x = F.lower(F.split_part("o_orderpriority", F.lit("-"), F.lit(2)))
-    return spread(t.orders.select("o_orderkey", "o_custkey", "o_orderpriority")).select(F.col("o_orderkey").alias("episode_index"), (F.col("o_custkey") % 12).cast("int").alias("k"), x.alias("x"))
+    return t.orders.select("o_orderkey", "o_custkey", "o_orderpriority").select(F.col("o_orderkey").alias("episode_index"), (F.col("o_custkey") % 12).cast("int").alias("k"), x.alias("x"))
 
 
 def skill(name: str, *args) -> F.Column:
@@ -111,7 +110,7 @@ def normalize_points(t: Tables):
     label = F.when((F.col("l_returnflag") == "R") & (F.col("l_linestatus") == "F"), "other").otherwise("target")
     response = F.concat(F.lit('{"status": "ok", "object_id": "o", "label": "'), label, F.lit('", "point_2d": '), point, F.lit("}"))
     p = AN.normalize_point(response, F.lit("o"), F.lit("target"), 256, 256)
-    rows = spread(t.lineitem.select("l_orderkey", "l_partkey", "l_suppkey", "l_linenumber", "l_quantity", "l_extendedprice", "l_returnflag", "l_linestatus"))
+    rows = t.lineitem.select("l_orderkey", "l_partkey", "l_suppkey", "l_linenumber", "l_quantity", "l_extendedprice", "l_returnflag", "l_linestatus")
     return rows.select("l_orderkey", "l_partkey", "l_suppkey", "l_extendedprice", p.alias("p")).select("l_orderkey", "l_partkey", "l_suppkey", "l_extendedprice", "p.reason", "p.x", "p.y")
 
 
@@ -264,15 +263,16 @@ FEASIBLE = ["1. PICKUP_FROM(cup, table) 2. PLACE_ON(cup, shelf)", "1. PLACE_ON(c
             "1. OPEN(drawer) 2. OPEN(drawer)", "1. PICKUP_FROM(cup, table) 2. PLACE_ON(cup, shelf) 3. PICKUP_FROM(cup, table)", "1. CLOSE(drawer)"]
 
 
-@query(f"""WITH b AS ({BASE}) SELECT episode, CAST(CASE k WHEN 1 THEN 1 WHEN 3 THEN 2 WHEN 4 THEN 2 WHEN 5 THEN 3 WHEN 6 THEN 1 WHEN 8 THEN 2 WHEN 9 THEN 2 WHEN 10 THEN 3 WHEN 11 THEN 1 END AS BIGINT) AS failed_step,
-  k IN (0, 2, 7) AS feasible, CASE k WHEN 1 THEN 'needs carry cup' WHEN 3 THEN 'needs open drawer' WHEN 4 THEN 'needs free' WHEN 5 THEN 'needs switchable lamp' WHEN 6 THEN 'needs on pen drawer' WHEN 8 THEN 'must not be in pen *'
-   WHEN 9 THEN 'needs closed drawer' WHEN 10 THEN 'needs on cup table' WHEN 11 THEN 'needs open drawer' END AS reason FROM b""")
+@query(f"""WITH b AS (SELECT *, episode AS o FROM ({BASE})) SELECT episode, CAST(CASE WHEN o % 9 <= 1 THEN NULL WHEN k = 0 THEN NULL ELSE CASE k WHEN 1 THEN 1 WHEN 3 THEN 2 WHEN 4 THEN 2 WHEN 5 THEN 3 WHEN 6 THEN 1 WHEN 8 THEN 2 WHEN 9 THEN 2 WHEN 10 THEN 3 WHEN 11 THEN 1 END END AS BIGINT) AS failed_step,
+  k IN (0, 2, 7) AND o % 9 > 1 AS feasible, CASE WHEN o % 9 = 0 THEN 'plan_missing' WHEN o % 9 = 1 THEN 'plan_bad_numbering' ELSE CASE k WHEN 1 THEN 'needs carry cup' WHEN 3 THEN 'needs open drawer' WHEN 4 THEN 'needs free' WHEN 5 THEN 'needs switchable lamp' WHEN 6 THEN 'needs on pen drawer' WHEN 8 THEN 'must not be in pen *'
+   WHEN 9 THEN 'needs closed drawer' WHEN 10 THEN 'needs on cup table' WHEN 11 THEN 'needs open drawer' END END AS reason FROM b""")
 def audit_plans(t: Tables):
-    e = episodes(t).withColumn("plan", F.get(F.array(*[F.lit(p) for p in FEASIBLE]), F.col("k")))
-    steps = FE.plan_steps(e, "libero", key="episode_index")
+    kind = F.col("episode_index") % 9
+    sound = F.get(F.array(*[F.lit(p) for p in FEASIBLE]), F.col("k"))
+    e = episodes(t).withColumn("plan", F.when(kind == 1, "1. OPEN(drawer) 3. CLOSE(drawer)").when(kind != 0, sound))
     start = [("free", "", ""), ("on", "cup", "table"), ("in", "pen", "drawer"), ("closed", "drawer", ""), ("openable", "drawer", ""), ("switchable", "stove", "")]
     facts = e.select(F.col("episode_index").alias("episode"), F.explode(F.array(*[F.struct(*[F.lit(v).alias(n) for n, v in zip(("name", "first", "second"), f)]) for f in start])).alias("f")).select("episode", "f.*")
-    r = FE.audit_plans(steps, facts, "libero")
+    r = FE.audit_plan_texts(e, facts, "libero", key="episode_index")
     return r.select("episode", "failed_step", "feasible", F.regexp_replace("reason", " +$", "").alias("reason"))
 
 
@@ -311,7 +311,7 @@ def patched_targets(t: Tables):
 def cot_segments(t: Tables) -> DataFrame:
     text = F.expr(COT)
     has_update = F.col("p_size") % 3 == 0
-    return spread(t.part).select(
+    return t.part.select(
         F.col("p_partkey").alias("episode"), "p_name", "p_size", F.lit(0).alias("start_step"), F.col("p_size").alias("end_step"),
         text.alias("content"), F.when(has_update, text).alias("updated_content"), F.when(has_update, text).alias("updated_content_w_instruction"), F.lit(None).cast("string").alias("current_skill"))
 

@@ -4,9 +4,9 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from demospan.operators import progress as P
+from demospan.operators import bounds as B, progress as P
 from demospan.operators import segments as S
-from demospan.operators.ordered import ordered_by_blocks, streak
+from demospan.operators.ordered import streak
 
 from .registry import query
 from .tables import FRAMES, SEGMENTS, SKILL_SEGMENTS, Tables, near
@@ -176,8 +176,7 @@ def bounds(t: Tables):
     """Row range of each episode in one long file, by a running sum over blocks of episode ids."""
     sizes = t.raw_segments.groupBy("episode").agg(F.sum("length").alias("n"))
     e = t.orders.select(F.col("o_orderkey").alias("episode")).join(sizes, "episode", "left").withColumn("n", F.coalesce("n", F.lit(0)))
-    o = ordered_by_blocks(e, [], ["episode"], F.floor(F.col("episode") / 65_536)).scan(sums={"end_row": F.col("n")})
-    return o.rows("_all").withColumn("first_row", F.col("end_row") - F.col("n"))
+    return B.episode_bounds(e, "episode", "n")
 
 
 # --- online bookkeeping over frames -----------------------------------------------------------------

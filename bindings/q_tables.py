@@ -190,7 +190,8 @@ def failed_rollouts(t: Tables):
 @query("""WITH s AS (SELECT text, toxic = 1 AS known_false, max(quality) = 1 AS accepted FROM documents JOIN labels USING (doc_id) GROUP BY 1, 2)
   SELECT count(*) AS total, count(*) FILTER (accepted) AS accepted, count(*) FILTER (NOT accepted) AS rejected, count(*) FILTER (known_false) AS known_false,
     count(*) FILTER (known_false AND NOT accepted) AS caught, count(*) FILTER (known_false AND accepted) AS missed,
-    count(*) FILTER (NOT known_false AND accepted) AS accepted_unlabelled, count(*) FILTER (NOT known_false AND NOT accepted) AS rejected_unlabelled FROM s""")
+    count(*) FILTER (NOT known_false AND accepted) AS accepted_unlabelled, count(*) FILTER (NOT known_false AND NOT accepted) AS rejected_unlabelled,
+    count(*) FILTER (accepted IS NULL) AS without_verdict FROM s""")
 def verifier_confusion(t: Tables):
     """Distinct labelled texts; texts are told apart by their hash, so long ones are not shuffled."""
     d = t.documents.select("doc_id", F.sha2("text", 256).alias("key")).join(t.labels, "doc_id")
@@ -199,14 +200,14 @@ def verifier_confusion(t: Tables):
 
 
 @query("""WITH d AS (SELECT md5(text) AS text, toxic = 1 AS known_false, doc_id FROM documents JOIN labels USING (doc_id)), u AS (SELECT text, known_false, min(doc_id) AS line FROM d GROUP BY 1, 2),
-  r AS (SELECT md5(text) AS text, length(max(text)) % 2 = 0 AS accepted FROM documents GROUP BY 1), j AS (SELECT * FROM u JOIN r USING (text))
-  SELECT count(*) AS total, count(*) FILTER (accepted) AS accepted, count(*) FILTER (known_false AND NOT accepted) AS caught, count(*) FILTER (known_false AND accepted) AS missed FROM j""")
+  r AS (SELECT md5(text) AS text, length(max(text)) % 2 = 0 AS accepted FROM documents GROUP BY 1 HAVING max(length(text)) % 3 > 0), j AS (SELECT * FROM u LEFT JOIN r USING (text))
+  SELECT count(*) AS total, count(*) FILTER (accepted IS NULL) AS without_verdict, count(*) FILTER (accepted) AS accepted, count(*) FILTER (known_false AND NOT accepted) AS caught, count(*) FILTER (known_false AND accepted) AS missed FROM j""")
 def verifier_score(t: Tables):
     """Samples deduplicated in line order, then scored against one verdict per text."""
     d = t.documents.select("doc_id", F.md5("text").alias("text"), F.length("text").alias("n"))
     samples = d.join(t.labels, "doc_id").select("text", (F.col("toxic") == 1).alias("known_false"), F.col("doc_id").alias("line"))
-    verdicts = d.groupBy("text").agg((F.max("n") % 2 == 0).alias("accepted"))
-    return score_verifier(samples, verdicts).select("total", "accepted", "caught", "missed")
+    verdicts = d.groupBy("text").agg(F.max("n").alias("n")).filter(F.col("n") % 3 > 0).select("text", (F.col("n") % 2 == 0).alias("accepted"))
+    return score_verifier(samples, verdicts).select("total", "without_verdict", "accepted", "caught", "missed")
 
 
 @query("""SELECT event_type AS function, user_id AS thread, count(*) AS calls, floor(sum(value) * 1e4 + 0.5001) / 1e4 AS total, floor(avg(value) * 1e6 + 0.5001) / 1e6 AS mean, min(value) AS min, max(value) AS max
@@ -346,13 +347,15 @@ def mask_points(t: Tables):
     return T.sample_points_or_centre(box, pts, ["mask"], 4).groupBy("mask").agg(F.count(F.lit(1)).alias("points"))
 
 
-@query()
+@query("""SELECT name, 1 - levenshtein(lower(name), 'smal rings') / greatest(length(name), 10) AS similarity FROM (SELECT DISTINCT p_name AS name FROM part)
+  WHERE 1 - levenshtein(lower(name), 'smal rings') / greatest(length(name), 10) >= 0.4 ORDER BY 2 DESC, 1 LIMIT 5""")
 def closest_task_names(t: Tables):
     """Names most like a misspelt one (edit distance; the measure differs from sequence matching)."""
     return T.closest_names(t.part.select(F.col("p_name").alias("name")), "smal rings")
 
 
-@query("SELECT doc_id AS episode, n AS rows, first_source, last_source FROM (SELECT md5(text) AS doc_id, count(*) AS n, min(source) AS first_source, max(source) AS last_source FROM documents GROUP BY 1) WHERE n > 1")
+@query("""SELECT md5(text) AS episode, source, count(*) AS rows FROM documents
+  WHERE md5(text) IN (SELECT md5(text) FROM documents GROUP BY 1 HAVING count(*) > 1) GROUP BY 1, 2""")
 def duplicate_shards(t: Tables):
     d = t.documents.select(F.md5("text").alias("episode"), "source")
     return A.duplicate_sources(U.union_shards([d.filter(F.col("source") < "src2"), d.filter(F.col("source") >= "src2")]), ["episode"], "source")

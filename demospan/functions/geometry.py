@@ -140,6 +140,12 @@ def state_vector(position: Column, rotation: Column, gripper: Column) -> Column:
     return F.concat(position, rotation, gripper)
 
 
+def point_xy(xy: Column, pixel: Column, width: Column, height: Column) -> Column:
+    """The given point as fractions of the image; without one, the pixel by the image's last column and row."""
+    side = lambda i, n: F.get(pixel, F.lit(i)) / F.greatest(n - 1, F.lit(1))
+    return F.coalesce(xy, F.when(pixel.isNotNull(), F.array(side(0, width), side(1, height))))
+
+
 def gripper_label(state: Column) -> Column:
     value = F.try_element_at(state, F.lit(-1))
     return F.when(value > 0, "open").when(value.isNotNull(), "closed")

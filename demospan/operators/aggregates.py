@@ -15,11 +15,10 @@ def duplicates(df: DataFrame, keys: list[str], value: str) -> DataFrame:
 
 
 def duplicate_sources(df: DataFrame, keys: list[str], source: str) -> DataFrame:
-    """Keys that occur more than once with their first two sources and the number of rows."""
-    ranked = df.groupBy(*keys).agg(
-        F.count(F.lit(1)).alias("rows"), F.min(source).alias("first_source"), F.max(source).alias("last_source")
-    )
-    return ranked.filter(F.col("rows") > 1)
+    """A row (keys, source, rows) for every source of a key that occurs more than once in all."""
+    by_source = df.groupBy(*keys, source).agg(F.count(F.lit(1)).alias("rows"))
+    twice = by_source.groupBy(*keys).agg(F.sum("rows").alias("_all")).filter(F.col("_all") > 1)
+    return by_source.join(twice.drop("_all"), keys)
 
 
 def rate(successes: Column, total: Column) -> Column:
@@ -57,6 +56,7 @@ def verifier_confusion(results: DataFrame, accepted: str = "accepted", known_fal
         count(f & a, "missed"),
         count(~f & a, "accepted_unlabelled"),
         count(~f & ~a, "rejected_unlabelled"),
+        count(a.isNull(), "without_verdict"),
     )
 
 

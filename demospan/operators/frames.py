@@ -36,6 +36,16 @@ def frames_in_segments(frames: DataFrame, segments: DataFrame, key: str = "episo
     return f.join(covers, on, how).drop("_key", "_b", "_bucket")
 
 
+def frames_in_segments_to_end(frames: DataFrame, segments: DataFrame, key: str = "episode") -> DataFrame:
+    """The same, but a step equal to the end of the episode's last segment still belongs to that segment."""
+    ends = segments.groupBy(key).agg(F.max("end_step").alias("_last_end"))
+    longer = segments.join(ends, key).withColumns(
+        {"_end": F.col("end_step"), "end_step": F.col("end_step") + (F.col("end_step") == F.col("_last_end")).cast("int")}
+    )
+    found = frames_in_segments(frames, longer.filter(F.col("_end") > F.col("start_step")).drop("_last_end"), key)
+    return found.withColumn("end_step", F.col("_end")).drop("_end")
+
+
 def last_step_of_segments(segments: DataFrame, frames: DataFrame, key: str = "episode") -> DataFrame:
     """Segments with the state and action of their last frame."""
     s = segments.withColumn("step", F.col("end_step") - 1)

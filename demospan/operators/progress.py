@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, functions as F
 
 from ..functions import vocab as V
-from .ordered import Ordered, streak
+from .ordered import Ordered, islands, streak
 
 
 def observed_changes(o: Ordered, skill: str, name: str = "changes") -> Ordered:
@@ -56,6 +56,21 @@ def freeze(o: Ordered, value: str, threshold: float, needed: int) -> Ordered:
     return o.with_df(o.df.withColumn("frozen", F.col("_frozen") == 1).drop("_frozen", "freeze_streak"))
 
 
+def freeze_within(o: Ordered, scope: str, value: str, threshold: float, needed: int) -> Ordered:
+    """The same flag for each run of rows with equal ``scope`` (the skill that is carried out): it ends with the run."""
+    o = islands(o, scope, name="_run")
+    # a row that breaks the streak or starts another run; the streak counts rows since the last of them
+    o = o.scan(index="_at", previous={"_run_before": F.col("_run")})
+    starts = ~F.col("_run").eqNullSafe(F.col("_run_before"))
+    low = ~F.coalesce(F.col(value) >= threshold, F.lit(False))
+    o = o.scan(last={"_low": F.when(low, F.col("_at")), "_first": F.when(starts, F.col("_at"))})
+    length = F.col("_at") - F.greatest(F.coalesce("_low", F.lit(-1)), F.col("_first") - 1)
+    o = o.with_df(o.df.withColumn("_reached", F.when(length >= needed, F.col("_at"))))
+    o = o.scan(last={"_frozen_at": F.col("_reached")})
+    frozen = F.coalesce(F.col("_frozen_at") >= F.col("_first"), F.lit(False))
+    return o.with_df(o.df.withColumn("frozen", frozen).drop("_run", "_at", "_run_before", "_low", "_first", "_reached", "_frozen_at"))
+
+
 def replans(o: Ordered, every: int) -> Ordered:
     """Re-plan on every ``every``-th row, but not while frozen by an earlier row."""
     o = o.scan(index="_at", previous={"_was_frozen": F.col("frozen")})

@@ -209,9 +209,11 @@ def report(violations: DataFrame, episodes: DataFrame) -> DataFrame:
 def with_header(rows: DataFrame, header: DataFrame, fields: dict[str, Column | None]) -> DataFrame:
     """Episode values with the header's value, then the default, where they are missing.
 
-    The header is one row, so its cross join is a broadcast of one row.
+    However many header rows there are, their global aggregate is one row, which is broadcast. A field on
+    which they disagree has no header value (``aggregates.header_conflicts`` reports it).
     """
-    h = header.select(*[F.col(f).alias(f"_h_{f}") for f in fields]).limit(1)
+    agreed = lambda f: F.when(F.min(f) == F.max(f), F.max(f))
+    h = header.agg(*[agreed(f).alias(f"_h_{f}") for f in fields])
     joined = rows.crossJoin(F.broadcast(h))
     filled = {
         f: F.coalesce(F.col(f), F.col(f"_h_{f}"), *([d] if d is not None else [])) for f, d in fields.items()

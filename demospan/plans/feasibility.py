@@ -13,7 +13,6 @@ from pyspark.sql import Column, DataFrame, functions as F
 from ..functions import text as X
 from ..operators.ordered import ROWS_PER_BLOCK, ordered
 from ..operators.segments import compare_to_plan
-from ..session import cut_lineage
 
 # What each verb needs and changes. A condition is a list of alternatives, each a list
 # of facts (name, first, second, expected); an effect is (name, first, second, new value). "1" and
@@ -171,8 +170,6 @@ def audit_plans(steps: DataFrame, facts: DataFrame, dataset: str) -> DataFrame:
     object leave the rest empty. The reason names the fact that was not as needed.
     """
     facts = facts.select("episode", "name", F.coalesce("first", F.lit("")).alias("first"), F.coalesce("second", F.lit("")).alias("second"))
-    # the parsed steps feed several branches: keep them once instead of parsing the plans in each
-    steps = cut_lineage(steps)
     uses = _step_facts(_objects(steps, facts, dataset), dataset).withColumn("asked", F.col("second"))
 
     # "*" stands for every object the fact is ever mentioned with in the episode
@@ -223,6 +220,23 @@ def audit_plans(steps: DataFrame, facts: DataFrame, dataset: str) -> DataFrame:
     )
 
 
+def audit_plan_texts(plans: DataFrame, facts: DataFrame, dataset: str, key: str = "episode", plan: str = "plan") -> DataFrame:
+    """The same for plan texts: (episode, steps, feasible, failed_step, reason), a row for every plan.
+
+    A text that is no valid plan is not feasible and has the parser's reason.
+    """
+    parsed = X.parse_plan(F.col(plan), dataset)
+    said = plans.select(F.col(key).alias("episode"), F.when(parsed["skills"].isNull(), F.concat(F.lit("plan_"), F.coalesce(parsed["reason"], F.lit("missing")))).alias("_why"))
+    judged = audit_plans(plan_steps(plans, dataset, key, plan), facts, dataset)
+    return said.join(judged, "episode", "left").select(
+        "episode",
+        F.coalesce("steps", F.lit(0)).alias("steps"),
+        (F.col("_why").isNull() & F.coalesce("feasible", F.lit(True))).alias("feasible"),
+        "failed_step",
+        F.coalesce("_why", "reason").alias("reason"),
+    )
+
+
 def available_actions(facts: DataFrame, dataset: str, candidates: DataFrame) -> DataFrame:
     """Which of the candidate (episode, verb, arguments) could be the next step in the given state."""
     steps = candidates.withColumn("step", F.lit(1).cast("bigint"))

@@ -30,7 +30,7 @@ def fit_linear_probe(data: DataFrame, dims: int, ridge: float = 0.0) -> list:
     features = data.withColumn("features", array_to_vector(F.col("vector").cast("array<double>")))
     models = []
     for k in range(dims):
-        lr = LinearRegression(regParam=ridge, solver="normal", labelCol="label", featuresCol="features")
+        lr = LinearRegression(regParam=ridge, solver="l-bfgs", maxIter=500, tol=1e-12, labelCol="label", featuresCol="features")
         models.append(lr.fit(features.withColumn("label", F.get("pose", F.lit(k)).cast("double"))))
     return models
 

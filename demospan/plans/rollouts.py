@@ -36,9 +36,12 @@ def labelled_sample(line: Column) -> Column:
 
 
 def score_verifier(samples: DataFrame, results: DataFrame) -> DataFrame:
-    """Confusion counts of distinct samples (text, known_false, line) against results (text, accepted)."""
+    """Confusion counts of distinct samples (text, known_false, line) against results (text, accepted).
+
+    Samples without a result count as such and as neither accepted nor rejected.
+    """
     unique = distinct_in_order(samples, ["text", "known_false"], "line")
-    return verifier_confusion(unique.join(results, "text"))
+    return verifier_confusion(unique.join(results, "text", "left"))
 
 
 def audit_runs(pixels: DataFrame, run: str = "run", frame: str = "frame", value: str = "value") -> DataFrame:

@@ -7,6 +7,12 @@ from pyspark.sql import DataFrame, functions as F
 from ..operators.sampling import block_split
 
 
+def targets_of_tasks(tasks: DataFrame, targets: DataFrame, task: str = "task") -> DataFrame:
+    """Tasks with the target list recorded under their name; of several lists the last by source; null if none."""
+    latest = targets.groupBy(task).agg(F.max_by("target_objects", "source").alias("target_objects"))
+    return tasks.join(latest, task, "left")
+
+
 def attach_targets(segments: DataFrame, targets: DataFrame, key: str = "episode") -> DataFrame:
     """Segments with the target at their position and the reason it is unusable.
 

@@ -36,8 +36,11 @@ def distinct_calibrations(episodes: DataFrame, calibrate: DataFrame, keys: list[
 
 
 def project_points(frames: DataFrame, cameras: DataFrame, camera: str = "camera", width=256, height=256) -> DataFrame:
-    """Frames with world x, y, z -> pixel, depth, bounds and reprojection errors. Column arithmetic only."""
-    j = frames.join(prepare_cameras(cameras, camera, width, height), camera)
+    """Frames with world x, y, z -> pixel, depth, bounds and reprojection errors. Column arithmetic only.
+
+    A frame whose camera is not in the table keeps its row: no pixel, out of bounds. ``uncalibrated`` lists them.
+    """
+    j = frames.join(prepare_cameras(cameras, camera, width, height), camera, "left")
     terms = [F.col(n) for n in FLIP]
     u, v, depth = G.project(F.col("wx"), F.col("wy"), F.col("wz"), MATRIX, terms)
     j = j.withColumns({"raw_x": u, "raw_y": v, "depth": depth})
@@ -59,6 +62,11 @@ def project_points(frames: DataFrame, cameras: DataFrame, camera: str = "camera"
     return j.drop(*[c for c in j.columns if c in FLIP or c[:2] in ("_m", "_i") and c[2:].isdigit()])
 
 
+def uncalibrated(frames: DataFrame, cameras: DataFrame, camera: str = "camera") -> DataFrame:
+    """(camera, frames) for cameras that frames name and the table lacks; a null camera is one of them."""
+    return frames.join(cameras.select(camera), camera, "left_anti").groupBy(camera).agg(F.count(F.lit(1)).alias("frames"))
+
+
 def trace_stats(o: Ordered) -> DataFrame:
     """Per trace: points, bounds, reprojection errors and step distances, in one pass over its rows."""
     return delta_stats(o, also=[*bounds_aggregates(), *reprojection_aggregates()])

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import os
+import re
 import tempfile
 
 from pyspark.sql import DataFrame, SparkSession
@@ -27,27 +28,24 @@ def local_session(cpus: int | str = 8, app: str = "demospan") -> SparkSession:
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder every executor can reach, as the session names it; a private one only where none is named."""
-    named = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
-    if named:
-        return named
-    own = tempfile.mkdtemp(prefix="demospan-checkpoint-")
-    spark.sparkContext.setCheckpointDir(own)
-    return own
+    """The folder every executor can reach, as the session names it.
+
+    Only a session that runs in one process may do without; it gets a private one.
+    """
+    context = spark.sparkContext
+    named = spark.conf.get("spark.checkpoint.dir", None) or context.getCheckpointDir()
+    if not named and re.fullmatch(r"local(\[[^\]]*\])?", context.master):
+        named = tempfile.mkdtemp(prefix="demospan-")
+        context.setCheckpointDir(named)
+    if not named:
+        raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+    return named
 
 
 def cut_lineage(df: DataFrame) -> DataFrame:
     """Reliable checkpoint: the rows survive the loss of the executors that made them."""
-    spark = df.sparkSession
-    if not spark.sparkContext.getCheckpointDir():
-        spark.sparkContext.setCheckpointDir(shared_folder(spark))
+    context = df.sparkSession.sparkContext
+    folder = shared_folder(df.sparkSession)
+    if not context.getCheckpointDir():
+        context.setCheckpointDir(folder)
     return df.checkpoint(eager=True)
-
-
-def spread(df: DataFrame) -> DataFrame:
-    """Rows over all cores, for heavy work per row on an input of only a few file splits.
-
-    Inputs with enough splits, as large ones have, are returned as they are.
-    """
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    return df.repartition(cores) if df.rdd.getNumPartitions() * 2 <= cores else df

@@ -7,9 +7,16 @@ from pyspark.sql import DataFrame, functions as F
 BUCKET = 10_000
 
 
-def write_annotations(df: DataFrame, path: str, key: str = "episode_index", mode: str = "append") -> None:
-    """JSON rows by episode bucket; a commit publishes all of a job's files or none."""
-    df.withColumn("episode_bucket", F.floor(F.col(key) / BUCKET)).write.mode(mode).partitionBy("episode_bucket").json(path)
+def write_annotations(df: DataFrame, path: str, key: str = "episode_index") -> None:
+    """JSON rows by episode bucket and episode; an episode written again replaces its earlier rows.
+
+    Only the episodes of ``df`` are touched; a commit publishes all of a job's files or none.
+    """
+    rows = df.withColumns({"episode_bucket": F.floor(F.col(key) / BUCKET), "episode": F.col(key)})
+    # the rows of an episode go to one file, however many tasks made them
+    rows.repartition("episode_bucket", "episode").write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(
+        "episode_bucket", "episode"
+    ).json(path)
 
 
 def document_rows(df: DataFrame, key: str = "episode_index") -> DataFrame:
