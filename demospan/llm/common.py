@@ -2,33 +2,11 @@
 
 from __future__ import annotations
 
-import re
-import tempfile
-
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-ASCII_SPACES = "\\x20\\x09-\\x0D"
-
-
-def shared_folder(spark: SparkSession) -> str:
-    """The folder that all executors share, as the session names it; a private one in a local session without."""
-    context = spark.sparkContext
-    named = spark.conf.get("spark.checkpoint.dir", None) or context.getCheckpointDir()
-    if not named and re.fullmatch(r"local(\[[^\]]*\])?", context.master):
-        named = tempfile.mkdtemp(prefix="demospan-")
-        context.setCheckpointDir(named)
-    if not named:
-        raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
-    return named
-
+from ..session import cut_lineage as cut, shared_folder
 
-def cut(df: DataFrame) -> DataFrame:
-    """Reliable checkpoint in the shared folder; lost executors do not lose the rows."""
-    context = df.sparkSession.sparkContext
-    folder = shared_folder(df.sparkSession)
-    if not context.getCheckpointDir():
-        context.setCheckpointDir(folder)
-    return df.checkpoint(eager=True)
+__all__ = ["BitFilter", "ascii_lower", "cut", "shared_folder", "table", "texts"]
 
 
 def texts(docs: DataFrame, *more: str) -> DataFrame:
