@@ -5,11 +5,14 @@ carries only the best score up to a place and the number of ids on that path. Ti
 starts first, as in the tokenizer; scores add in double precision from left to right.
 
 No piece of the vocabulary has the word mark after another letter, so no path crosses from a letter to a
-mark: a text is the sum of its words, and the count of a word is remembered.
+mark: a text is the sum of its words, and the count of a word is remembered. A mark that stands in the text
+itself is treated as any other, as the tokenizer does.
 """
 
 from __future__ import annotations
 
+import re
+from collections import defaultdict
 from collections.abc import Iterator
 from functools import lru_cache
 
@@ -21,7 +24,9 @@ from .packing import tokenizer_path
 
 MARK = "▁"
 UNKNOWN_PENALTY = 10.0
-WORD_CACHE = 300_000
+BREAK = "\n"
+MARKS = re.compile(f"({MARK}+)")
+WORD_CACHE = 500_000
 
 
 class Counter:
@@ -44,7 +49,10 @@ class Counter:
                 self.automaton.add_word(piece, (len(piece), score))
         self.automaton.make_automaton()
         self.by_word = not any(MARK in p.lstrip(MARK) for p, _ in self.vocabulary)
-        self.seen: dict[str, int] = {}
+        # nor does a piece hold a line break, so lines are apart too
+        self.by_line = not any(BREAK in p for p, _ in self.vocabulary) and self.byte_fallback
+        self.break_ids = self.viterbi(BREAK)
+        self.seen: defaultdict[str, dict[str, int]] = defaultdict(dict)
 
     def viterbi(self, text: str) -> int:
         """Ids of a text already written with word marks."""
@@ -71,24 +79,44 @@ class Counter:
             best[end + 1], ids[end + 1], unknown[end + 1] = top, count, is_unknown
         return ids[n]
 
+    def _counts(self, words: list[str], mark: str) -> int:
+        """Sum over words with the mark, or nothing, before each."""
+        seen = self.seen[mark]
+        try:
+            return sum([seen[w] for w in words])
+        except KeyError:
+            if len(seen) > WORD_CACHE:
+                seen.clear()
+            for w in set(words).difference(seen):
+                seen[w] = self.viterbi(mark + w)
+            return sum([seen[w] for w in words])
+
     def count(self, text: str) -> int:
         marked = (MARK + text.replace(" ", MARK)) if text else ""
         if not self.by_word:
             return self.viterbi(marked)
-        total, seen, run = 0, self.seen, 0
-        for word in marked.split(MARK)[1:]:
-            run += 1
-            if not word:
-                continue
-            key = (run, word) if run > 1 else word
-            got = seen.get(key)
-            if got is None:
-                if len(seen) > WORD_CACHE:
-                    seen.clear()
-                got = seen[key] = self.viterbi(MARK * run + word)
-            total += got
-            run = 0
-        return total + (self.viterbi(MARK * run) if run else 0)
+        if not text:
+            return 0
+        text = text.replace(MARK, " ")  # both stand as a mark
+        total, first = 0, True
+        for line in text.split(BREAK) if self.by_line else [text]:
+            if first:
+                line = " " + line
+            else:
+                total += self.break_ids
+            if "  " in line or line.endswith(" "):
+                total += self._runs(line)
+            else:
+                words = line.split(" ")
+                total += self._counts(words[:1], "") if words[0] else 0
+                total += self._counts(words[1:], MARK)
+            first = False
+        return total
+
+    def _runs(self, line: str) -> int:
+        """The same for a line with several spaces together or at its end."""
+        parts = MARKS.split(line.replace(" ", MARK))
+        return sum(self._counts([word], run) for run, word in zip(["", *parts[1::2]], parts[0::2]) if run or word)
 
 
 @lru_cache(maxsize=2)
