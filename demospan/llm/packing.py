@@ -7,9 +7,10 @@ each, at one offset. Every piece finds its run by its rank among the pieces of i
 
 from __future__ import annotations
 
-import zlib
+import re
 from collections.abc import Iterator
 from functools import lru_cache
+from itertools import filterfalse
 
 import numpy as np
 import pandas as pd
@@ -22,14 +23,20 @@ CAPACITY = 2048
 END = 0
 #: pieces of a length are ranked in so many parts
 RANK_PARTS = 1024
-WORD_CACHE = 300_000
+WORD_CACHE = 500_000
+#: documents encoded at once
+TOGETHER = 128
+WORD_END = "</w>"
+#: texts of these characters alone are in normal form, have no special lower case and no odd white space
+PLAIN = re.compile("[\x00-\x1b\x20-\u024f\u2010-\u2027\u20ac]*")
 
 
 class Encoder:
     """Token ids of whole texts from a ``tokenizers`` file, remembering the ids of each word.
 
-    The file's own normaliser and word splitter run as in the library; only its model, which works on one
-    word at a time, is replaced by a table of words already seen.
+    No token crosses white space or a word of the file's splitter, and its last token alone carries the word
+    end. So the words not seen before are encoded together by the library, and the texts are put together
+    from a table. Other tokenizer files and unusual texts go to the library whole.
     """
 
     def __init__(self, path: str):
@@ -43,27 +50,51 @@ class Encoder:
         wanted = [{"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": "\\s+"}, "content": " "}, {"type": "Lowercase"}]
         split = spec["pre_tokenizer"]["pretokenizers"][0]
         self.by_word = spec["normalizer"].get("normalizers") == wanted and split["behavior"] == "Removed" and split["invert"]
-        self.words = regex.compile(split["pattern"]["Regex"]) if self.by_word else None
+        self.by_word = self.by_word and spec["model"].get("end_of_word_suffix") == WORD_END
+        self.words = regex.compile(split["pattern"]["Regex"]).findall if self.by_word else None
         self.special = [t["content"] for t in spec["added_tokens"]]
+        self.ends = np.zeros(self.full.get_vocab_size(), dtype=bool)
+        for token, i in self.full.get_vocab().items():
+            self.ends[i] = token.endswith(WORD_END)
         self.seen: dict[str, bytes] = {}
 
     def _whole(self, text: str) -> bytes:
         return np.array(self.full.encode(text, add_special_tokens=False).ids, dtype="<u4").tobytes()
 
-    def ids(self, text: str) -> bytes:
-        """Little-endian unsigned 32-bit ids."""
-        if not self.by_word or any(s in text for s in self.special):
-            return self._whole(text)
-        words = self.words.findall(self.full.normalizer.normalize_str(text) if not text.isascii() else text.lower())
+    def _learn(self, chunks: set[str]) -> None:
+        """Puts the ids of chunks of text without white space into the table."""
+        split = {c: self.words(c) for c in chunks}
+        new = list({w for words in split.values() for w in words if w not in self.seen})
+        if new:
+            found = self.full.encode_batch_fast([" ".join(new)], add_special_tokens=False)[0].ids
+            ids = np.array(found, dtype="<u4")
+            ends = (np.nonzero(self.ends[ids])[0] + 1).tolist()
+            data = ids.tobytes()
+            if len(ends) == len(new):
+                self.seen.update((w, data[4 * a : 4 * b]) for w, a, b in zip(new, [0, *ends], ends))
+            else:
+                self.seen.update((w, self._whole(w)) for w in new)
+        for c, words in split.items():
+            if c not in self.seen:
+                self.seen[c] = b"".join([self.seen[w] for w in words])
+
+    def many(self, texts: list[str]) -> list[bytes]:
+        """Little-endian unsigned 32-bit ids of each text."""
+        if len(self.seen) > WORD_CACHE:
+            self.seen.clear()
         seen = self.seen
-        try:
-            return b"".join([seen[w] for w in words])
-        except KeyError:
-            if len(seen) > WORD_CACHE:
-                seen.clear()
-            for w in set(words).difference(seen):
-                seen[w] = self._whole(w)
-            return b"".join([seen[w] for w in words])
+        plain = [self.by_word and PLAIN.fullmatch(t) is not None and not any(s in t for s in self.special) for t in texts]
+        chunks = [t.lower().split() if p else None for t, p in zip(texts, plain)]
+        new: set[str] = set()
+        for c in chunks:
+            if c:
+                new.update(filterfalse(seen.__contains__, c))
+        if new:
+            self._learn(new)
+        return [self._whole(t) if c is None else b"".join([seen[x] for x in c]) for t, c in zip(texts, chunks)]
+
+    def ids(self, text: str) -> bytes:
+        return self.many([text])[0]
 
 
 @lru_cache(maxsize=2)
@@ -85,17 +116,15 @@ def pieces(docs: DataFrame, tokenizer: str, capacity: int = CAPACITY, end: int =
         names = ["doc_id", "piece", "start", "length", "ids"]
         kinds = [pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.binary()]
         for batch in batches:
-            out, held = [], 0
-            for doc, text in zip(batch.column("doc_id").to_pylist(), batch.column("text")):
-                ids = encoder.ids(text.as_py()) + int(end).to_bytes(4, "little")
-                for i, at in enumerate(range(0, len(ids), 4 * capacity)):
-                    part = ids[at : at + 4 * capacity]
-                    out.append((doc, i, at // 4, len(part) // 4, part))
-                    held += len(part)
-                if held > 1 << 23:
-                    yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*out), kinds)], names)
-                    out, held = [], 0
-            if out:
+            for first in range(0, len(batch), TOGETHER):
+                out = []
+                some = batch.slice(first, TOGETHER)
+                encoded = encoder.many(some.column("text").to_pylist())
+                for doc, ids in zip(some.column("doc_id").to_pylist(), encoded):
+                    ids += int(end).to_bytes(4, "little")
+                    for i, at in enumerate(range(0, len(ids), 4 * capacity)):
+                        part = ids[at : at + 4 * capacity]
+                        out.append((doc, i, at // 4, len(part) // 4, part))
                 yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*out), kinds)], names)
 
     return texts(docs).mapInArrow(rows, "doc_id bigint, piece int, start bigint, length bigint, ids binary")
