@@ -44,7 +44,7 @@ def test_batches_give_the_marginals_of_single_documents():
 
 def test_features_of_a_line():
     rows, sizes = Q.own_features("AB cd\n\n12 12 | é!")
-    assert rows.shape == (3, Q.FEATURES) and sizes.tolist() == [6, 1, 11]
+    assert rows.shape == (3, Q.FEATURES) and sizes.tolist() == [6, 1, 12]
     assert rows[0][0] == 0.5 and rows[1][9] == 1 and rows[2][3] == 0.25 and np.isclose(rows[2][6], 0.25)
     both = Q.with_neighbours(rows)
     assert np.array_equal(both[1, Q.FEATURES : 2 * Q.FEATURES], rows[0]) and not both[0, Q.FEATURES : 2 * Q.FEATURES].any()
