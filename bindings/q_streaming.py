@@ -39,8 +39,8 @@ def drained(t: Tables, stream: DataFrame, mode: str, state_store: str | None = N
 
 
 def table_stream(t: Tables, name: str) -> DataFrame:
-    schema = getattr(t, name).schema
-    return t.spark.readStream.schema(schema).option("pathGlobFilter", f"{name}.parquet").option("maxBytesPerTrigger", 512 * 1024 * 1024).parquet(t.sf_dir)
+    """The table as a stream of its files, whether it is one file or a folder of them."""
+    return t.spark.readStream.schema(getattr(t, name).schema).parquet(f"{t.sf_dir}/{name}.parquet*")
 
 
 @query("""SELECT o_orderpriority AS task, count(*) AS total, count(*) FILTER (o_orderstatus = 'F') AS successes, floor(count(*) FILTER (o_orderstatus = 'F') / CAST(count(*) AS DOUBLE) * 1e6 + 0.5001) / 1e6 AS rate FROM orders GROUP BY 1""")
@@ -49,15 +49,19 @@ def running_success_stream(t: Tables):
     return drained(t, S.running_success(s), "complete").select("task", "total", "successes", near("rate", 6).alias("rate"))
 
 
-@query("SELECT user_id AS episode, count(*) AS steps, true AS index_in_plan FROM events GROUP BY 1")
+@query("""WITH RECURSIVE f AS (SELECT user_id AS episode, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS i, event_id AS step, ts, event_type AS skill, value >= 90 AS high FROM events),
+  w AS (SELECT episode, i, step, ts, skill, least(greatest(0, CASE WHEN high THEN 1 ELSE 0 END), 1) AS streak, 0 AS skill_index, 0 AS done FROM f WHERE i = 1
+    UNION ALL SELECT f.episode, f.i, f.step, f.ts, f.skill, CASE WHEN NOT f.high THEN 0 WHEN w.streak + 1 >= 2 AND w.skill_index < 4 THEN 0 ELSE w.streak + 1 END,
+      w.skill_index + CASE WHEN f.high AND w.streak + 1 >= 2 AND w.skill_index < 4 THEN 1 ELSE 0 END, least(5, w.done + CASE WHEN f.skill <> w.skill THEN 1 ELSE 0 END) FROM w JOIN f ON f.episode = w.episode AND f.i = w.i + 1)
+  SELECT episode, step, CAST(skill_index AS INTEGER) AS skill_index, CAST(done AS INTEGER) AS done, CAST(streak AS BIGINT) AS streak FROM w
+  WHERE epoch_us(ts) // 1000 + 1 <= (SELECT epoch_us(max(ts)) // 1000 FROM events) - 3600000""")
 def tracked_skills_stream(t: Tables):
-    """State per episode over all steps: every step is answered once, within the plan."""
+    """Skill index, done skills and streak of every step that the watermark, an hour behind the last event, has passed."""
     s = table_stream(t, "events").select(
         F.col("user_id").alias("episode"), F.col("event_id").alias("step"), F.col("ts").cast("timestamp").alias("ts"),
         F.col("event_type").alias("skill"), (F.col("value") / 100).alias("progress"))
-    out = drained(t, S.track_skills(s, plan_size=5, timeout="30 days"), "update", S.ROCKSDB).filter(~F.col("timed_out"))
-    inside = F.bool_and(F.col("skill_index").between(0, 4) & F.col("done").between(0, 5))
-    return out.groupBy("episode").agg(F.count_distinct("step").alias("steps"), inside.alias("index_in_plan"))
+    out = drained(t, S.track_skills(s, plan_size=5, timeout="60 days", lateness="1 hour"), "update", S.ROCKSDB).filter(~F.col("timed_out"))
+    return out.select("episode", "step", "skill_index", "done", "streak")
 
 
 @query("""SELECT p_partkey AS source, '1' AS key, p_name AS skill FROM part UNION ALL SELECT p_partkey, '12', p_type FROM part""")

@@ -1,7 +1,8 @@
 """Online loops as Structured Streaming: state per running episode.
 
-Rows behind the watermark are dropped; duplicates of a step already seen are ignored, so a replayed
-batch changes nothing.
+Rows may come in any order within the lateness: a step waits in the state until the watermark has passed it
+and is then taken in order of time, so the answers do not depend on how the source was cut into files.
+Rows behind the watermark are dropped, which ``late_rows`` counts; a repeated step is taken once.
 """
 
 from __future__ import annotations
@@ -20,7 +21,7 @@ from ..operators.setops import latest
 class SkillTracker(StatefulProcessor):
     """Skill index by streaks of high progress, done skills by observed changes.
 
-    The state of an episode is a handful of numbers, however many steps it has.
+    The state of an episode is a handful of numbers and the steps of the last ``lateness``.
     """
 
     def __init__(self, threshold: float, needed: int, interval: int, plan_size: int, timeout_ms: int):
@@ -29,49 +30,72 @@ class SkillTracker(StatefulProcessor):
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
-        schema = "next_step bigint, checks bigint, streak bigint, skill_index int, done int, observed string, changed_ms bigint"
+        schema = "taken_us bigint, taken_step bigint, checks bigint, streak bigint, skill_index int, done int, observed string, changed_ms bigint"
         self.state = handle.getValueState("episode", schema)
+        self.waiting = handle.getMapState("waiting", "at_us bigint, step bigint", "skill string, progress double")
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
-        now = self.state.get() if self.state.exists() else (0, 0, 0, 0, 0, None, None)
-        step_due, checks, streak, index, done, observed, changed = now
+        taken = self.state.get()[:2] if self.state.exists() else (None, None)
+        for batch in rows:
+            times = batch["ts"].astype("int64") // {"ns": 1000, "us": 1}[batch["ts"].dt.unit]
+            for at, step, skill, progress in zip(times.tolist(), batch["step"].tolist(), batch["skill"], batch["progress"].tolist()):
+                if taken[0] is None or (at, step) > tuple(taken):
+                    self.waiting.updateValue((at, step), (skill, progress))
+        yield self._take(key, timerValues.getCurrentWatermarkInMs())
+
+    def _take(self, key, watermark_ms: int) -> pd.DataFrame:
+        """Answers to the waiting steps that the watermark has passed, in order of time."""
+        due, next_us = [], None
+        for k, v in self.waiting.iterator():
+            if k[0] < watermark_ms * 1000:
+                due.append((k, v))
+            else:
+                next_us = k[0] if next_us is None else min(next_us, k[0])
+        if next_us is not None:
+            self.handle.registerTimer(next_us // 1000 + 1)
+        due.sort()
+        if not due:
+            return pd.DataFrame([], columns=COLUMNS)
+        before = self.state.get() if self.state.exists() else (None, None, 0, 0, 0, 0, None, None)
+        _, _, checks, streak, index, done, observed, changed = before
         out = []
-        # one micro-batch of one episode: the source's maxBytesPerTrigger bounds it
-        batch = pd.concat(list(rows)).sort_values(["ts", "step"])
-        for r in batch.itertuples(index=False):
-            if r.step < step_due:
-                continue
-            step_due = r.step + 1
-            at = int(r.ts.timestamp() * 1000)
-            changed = at if changed is None else changed
-            if observed is not None and r.skill != observed and done < self.plan_size:
+        for (at_us, step), (skill, progress) in due:
+            self.waiting.removeKey((at_us, step))
+            if observed is not None and skill != observed and done < self.plan_size:
                 done += 1
-            if r.skill != observed:
-                observed, changed = r.skill, at
+            if skill != observed or changed is None:
+                observed, changed = skill, at_us // 1000
             advanced = False
             if checks % self.interval == 0:
-                streak = streak + 1 if r.progress >= self.threshold else 0
+                streak = streak + 1 if progress >= self.threshold else 0
                 if streak >= self.needed and index < self.plan_size - 1:
                     index, streak, advanced = index + 1, 0, True
                     checks = -1  # the next skill starts with a check
             checks += 1
-            out.append((key[0], r.step, index, done, streak, advanced, False))
-        self.state.update((step_due, checks, streak, index, done, observed, changed))
-        for timer in self.handle.listTimers():
-            self.handle.deleteTimer(timer)
-        if changed is not None:
-            self.handle.registerTimer(changed + self.timeout_ms)
-        yield pd.DataFrame(out, columns=COLUMNS)
+            out.append((key[0], step, index, done, streak, advanced, False))
+        self.state.update((at_us, step, checks, streak, index, done, observed, changed))
+        self.handle.registerTimer(changed + self.timeout_ms)
+        return pd.DataFrame(out, columns=COLUMNS)
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
-        step_due, _, streak, index, done, _, _ = self.state.get()
-        self.state.clear()
-        yield pd.DataFrame([(key[0], step_due, index, done, streak, False, True)], columns=COLUMNS)
+        watermark = timerValues.getCurrentWatermarkInMs()
+        yield self._take(key, watermark)
+        if not self.state.exists():
+            return
+        _, step, _, streak, index, done, _, changed = self.state.get()
+        if changed + self.timeout_ms <= watermark and not any(True for _ in self.waiting.keys()):
+            self.state.clear()
+            yield pd.DataFrame([(key[0], step + 1, index, done, streak, False, True)], columns=COLUMNS)
 
     def close(self) -> None:
         pass
 
 
+def late_rows(query) -> int:
+    """Rows that a query's recent batches dropped because they were behind the watermark."""
+    return sum(o.numRowsDroppedByWatermark for p in query.recentProgress for o in p.stateOperators)
+
+
 COLUMNS = ["episode", "step", "skill_index", "done", "streak", "advanced", "timed_out"]
 OUTPUT = "episode bigint, step bigint, skill_index int, done int, streak bigint, advanced boolean, timed_out boolean"
 
@@ -87,9 +111,9 @@ def track_skills(
 ) -> DataFrame:
     """Stream of (episode, step, ts, skill, progress) -> skill index, done count, timeouts.
 
-    An episode ends when no new skill is seen for ``timeout`` of event time; at 10 frames per second
-    20 seconds are the usual 200 steps. Needs the RocksDB state store. Set maxBytesPerTrigger on the
-    source: a micro-batch of one episode is sorted in memory.
+    A step is answered once the watermark, ``lateness`` behind the latest row, has passed it. An episode
+    ends when no new skill is seen for ``timeout`` of event time; at 10 frames per second 20 seconds are
+    the usual 200 steps. Needs the RocksDB state store.
     """
     ms = int(pd.Timedelta(timeout).total_seconds() * 1000)
     return (

@@ -1,6 +1,7 @@
 """Online loops on file streams, with late, repeated and out-of-order rows."""
 
 import datetime as dt
+import random
 
 import pytest
 from pyspark.sql import functions as F
@@ -42,16 +43,40 @@ def test_streaks_changes_and_replayed_rows(rocks, tmp_path):
     src = str(tmp_path / "in")
     high = [0.95, 0.2, 0.95, 0.95, 0.99, 0.95, 0.95]
     rows = [row(1, i, "a" if i < 4 else "b", p) for i, p in enumerate(high)]
-    write(rocks, rows[::-1] + rows[2:4], src)
+    write(rocks, rows[::-1] + rows[2:4] + [row(9, 0, "a", 0.0, second=500)], src)
     stream = rocks.readStream.schema(STEP).parquet(src)
     out = run(rocks, S.track_skills(stream, plan_size=3, threshold=0.9, needed=2, timeout="1000 seconds"), str(tmp_path))
-    got = {r.step: r for r in out.collect()}
+    got = {r.step: r for r in out.filter("episode = 1").collect()}
     assert [got[i].streak for i in range(7)] == [1, 0, 1, 0, 1, 0, 1]
     assert [got[i].advanced for i in range(7)] == [False, False, False, True, False, True, False]
     assert [got[i].skill_index for i in range(7)] == [0, 0, 0, 1, 1, 2, 2]
     assert [got[i].done for i in range(7)] == [0, 0, 0, 0, 1, 1, 1]
 
 
+@pytest.mark.parametrize("files", [1, 2, 5])
+def test_order_of_files_does_not_matter(rocks, tmp_path, files):
+    rng = random.Random(3)
+    rows = [row(e, i, "ab"[i // 7 % 2], rng.random()) for e in range(3) for i in range(60)]
+    rng.shuffle(rows)
+    src = str(tmp_path / "in")
+    for i in range(files):
+        write(rocks, rows[i::files], src)
+    write(rocks, [row(9, 0, "a", 0.0, second=2000)], src)
+    stream = rocks.readStream.schema(STEP).option("maxFilesPerTrigger", 1).parquet(src)
+    tracked = S.track_skills(stream, plan_size=4, threshold=0.5, needed=2, timeout="5000 seconds", lateness="100 seconds")
+    got = {(r.episode, r.step): (r.skill_index, r.done, r.streak, r.advanced) for r in run(rocks, tracked, str(tmp_path)).filter("episode < 9").collect()}
+    want = {}
+    for e in range(3):
+        streak, index, done, was = 0, 0, 0, None
+        for r in sorted(x for x in rows if x[0] == e):
+            done, was = min(done + (was not in (None, r[3])), 4), r[3]
+            streak = streak + 1 if r[4] >= 0.5 else 0
+            advanced = streak >= 2 and index < 3
+            index, streak = index + advanced, 0 if advanced else streak
+            want[(e, r[1])] = (index, done, streak, advanced)
+    assert got == want
+
+
 def test_timeout_and_late_rows(rocks, tmp_path):
     src = str(tmp_path / "in")
     write(rocks, [row(1, 0, "a", 0.1), row(1, 1, "a", 0.1)], src)
