@@ -3,6 +3,8 @@ twelve kinds of annotation, from sound to broken in one way."""
 
 from __future__ import annotations
 
+from uuid import uuid4
+
 import numpy as np
 from pyspark.sql import DataFrame, functions as F
 
@@ -19,6 +21,7 @@ from demospan.plans import targets as TG
 from demospan.plans import transitions as TR
 from demospan.plans.select import has_all_verbs, has_keyword, select_episodes, skills_of, verbs_at
 from demospan.functions import text as X
+from demospan.session import shared_folder
 
 from .q_text import COT
 from .registry import query
@@ -78,7 +81,7 @@ def normalize_model_steps(t: Tables):
 def annotate_with_retries(t: Tables):
     """A stand-in client: kind 1 answers rightly only after it has been told its error, kind 0 never."""
     e = episodes(t).select("episode_index", F.concat_ws("|", F.col("k").cast("string"), "x").alias("prompt"))
-    r = AN.annotate(e, "episode_index", EchoClient, needs_skill, attempts=3)
+    r = AN.annotate_to(f"{shared_folder(t.spark)}/answers-{uuid4().hex}", e, "episode_index", EchoClient, needs_skill, attempts=3)
     return r.select(F.col("episode_index").alias("episode"), "attempts", "response", F.col("error").isNotNull().alias("failed"))
 
 

@@ -74,8 +74,18 @@ def annotate(
     return todo.mapInPandas(run, f"{key} {kind}, response string, error string, attempts int")
 
 
+def annotate_to(path: str, requests: DataFrame, key: str, client, check, **how) -> DataFrame:
+    """The rows of ``annotate``, written once to ``path`` and read from there.
+
+    Whatever is derived from them afterwards (good rows, dead letters, annotation rows) reads what was
+    written, so the model is not asked again and the outputs agree with each other.
+    """
+    annotate(requests, key, client, check, **how).write.mode("errorifexists").parquet(path)
+    return requests.sparkSession.read.parquet(path)
+
+
 def split_errors(results: DataFrame, earlier: DataFrame | None, key: str) -> tuple[DataFrame, DataFrame]:
-    """(good rows, dead letters). A key that succeeded now is no longer a dead letter."""
+    """(good rows, dead letters) of stored results. A key that succeeded now is no longer a dead letter."""
     good, bad = results.filter(F.col("error").isNull()), results.filter(F.col("error").isNotNull())
     errors = bad.select(key, "error")
     if earlier is not None:

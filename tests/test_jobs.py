@@ -2,6 +2,8 @@
 
 import gzip
 import json
+from pathlib import Path
+from uuid import uuid4
 
 import numpy as np
 import pytest
@@ -248,3 +250,33 @@ def test_probe_and_images(spark):
     have = spark.createDataFrame([("a", 1, n) for n in names] + [("b", 1, names[0])], "root string, episode long, name string")
     assert TR.image_roots(segs, have).first().root == "a"
     assert TR.backfill(segs, have.filter("root = 'b'")).first().name == names[1]
+
+
+class CountingClient:
+    """Leaves a file for each call in the folder that its prompt names."""
+
+    def complete(self, prompt, use_schema):
+        folder, kind = prompt.split("\n")[0].split("|")
+        Path(folder, uuid4().hex).touch()
+        return kind
+
+
+def test_a_model_is_asked_once_however_many_outputs_are_read(spark, tmp_path):
+    calls = tmp_path / "calls"
+    calls.mkdir()
+    requests = spark.createDataFrame([(i, f"{calls}|{'good' if i % 2 else 'bad'}") for i in range(10)], "episode bigint, prompt string")
+    r = AN.annotate_to(str(tmp_path / "answers"), requests, "episode", CountingClient, lambda s: None if s == "good" else "no", attempts=3)
+    good, errors = AN.split_errors(r, None, "episode")
+    assert good.count() == 5 and errors.count() == 5 and r.count() == 10
+    assert len(list(calls.iterdir())) == 5 + 5 * 3
+
+
+def test_rows_are_not_lost_without_their_other_half(spark):
+    from demospan.plans import traces as TR
+
+    frames = spark.createDataFrame([(1, 0.1, 0.2, 1.0), (2, 0.1, 0.2, 1.0), (None, 0.1, 0.2, 1.0)], "camera bigint, wx double, wy double, wz double")
+    eye = [[float(i == j) for j in range(4)] for i in range(4)]
+    cameras = spark.createDataFrame([(1, eye, "none")], "camera bigint, matrix array<array<double>>, convention string")
+    p = {r.camera: r for r in TR.project_points(frames, cameras).collect()}
+    assert len(p) == 3 and p[1].raw_x is not None and p[2].raw_x is None and not p[2].in_bounds
+    assert {(r.camera, r.frames) for r in TR.uncalibrated(frames, cameras).collect()} == {(2, 1), (None, 1)}
