@@ -64,6 +64,37 @@ def tracked_skills_stream(t: Tables):
     return out.select("episode", "step", "skill_index", "done", "streak")
 
 
+@query("""WITH RECURSIVE f AS (SELECT user_id AS episode, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS i, epoch_us(ts) // 1000 AS ms, event_type AS skill FROM events),
+  m AS (SELECT max(ms) - 3600000 AS mark FROM f),
+  w AS (SELECT episode, i, ms, skill, ms AS changed, 0 AS ended FROM f WHERE i = 1 AND ms + 1 <= (SELECT mark FROM m)
+    UNION ALL SELECT f.episode, f.i, f.ms, f.skill, CASE WHEN f.ms >= w.changed + 86400000 OR f.skill <> w.skill THEN f.ms ELSE w.changed END, w.ended + CASE WHEN f.ms >= w.changed + 86400000 THEN 1 ELSE 0 END
+    FROM w JOIN f ON f.episode = w.episode AND f.i = w.i + 1 AND f.ms + 1 <= (SELECT mark FROM m))
+  SELECT episode, CAST(arg_max(ended, i) + CASE WHEN arg_max(changed, i) + 86400000 <= (SELECT mark FROM m) AND max(i) = (SELECT count(*) FROM f g WHERE g.episode = w.episode) THEN 1 ELSE 0 END AS BIGINT) AS timeouts
+  FROM w GROUP BY episode""")
+def skill_timeouts_stream(t: Tables):
+    """How often an episode went a day without a new skill: within its steps, or at its end once the watermark is there."""
+    s = table_stream(t, "events").select(
+        F.col("user_id").alias("episode"), F.col("event_id").alias("step"), F.col("ts").cast("timestamp").alias("ts"),
+        F.col("event_type").alias("skill"), F.lit(0.0).alias("progress"))
+    out = drained(t, S.track_skills(s, plan_size=5, timeout="1 day", lateness="1 hour"), "update", S.ROCKSDB)
+    return out.groupBy("episode").agg(F.count_if("timed_out").alias("timeouts"))
+
+
+@query("""SELECT o_orderkey AS episode, CASE WHEN o_custkey % 2 = 0 AND o_custkey % 3 > 0 THEN 0 ELSE 1 END AS batch FROM orders""")
+def annotated_once(t: Tables):
+    """Two batches, the second of which holds all of the first: an episode is asked for again only after a failure."""
+    path = f"{shared_folder(t.spark)}/annotated-{uuid.uuid4().hex}"
+    orders = t.orders.select(F.col("o_orderkey").alias("episode"), "o_custkey")
+
+    def answers(second: bool):
+        error = F.when((F.col("o_custkey") % 3 == 0) & ~F.lit(second), "refused")
+        return lambda df: df.select("episode", F.lit("answer").alias("response"), error.alias("error"), F.lit(1).alias("attempts"))
+
+    S.annotate_new(path, answers(False))(orders.filter(F.col("o_custkey") % 2 == 0), 0)
+    S.annotate_new(path, answers(True))(orders, 1)
+    return t.spark.read.parquet(path).filter(F.col("error").isNull()).select("episode", F.col("batch").cast("int").alias("batch"))
+
+
 @query("""SELECT p_partkey AS source, '1' AS key, p_name AS skill FROM part UNION ALL SELECT p_partkey, '12', p_type FROM part""")
 def combined_document_entries(t: Tables):
     """Documents with header and numeric keys, one per part, split into their episode entries."""

@@ -57,10 +57,13 @@ class SkillTracker(StatefulProcessor):
         if not due:
             return pd.DataFrame([], columns=COLUMNS)
         before = self.state.get() if self.state.exists() else (None, None, 0, 0, 0, 0, None, None)
-        _, _, checks, streak, index, done, observed, changed = before
+        _, was, checks, streak, index, done, observed, changed = before
         out = []
         for (at_us, step), (skill, progress) in due:
             self.waiting.removeKey((at_us, step))
+            if changed is not None and changed + self.timeout_ms <= at_us // 1000:  # it had ended before this step
+                out.append((key[0], was + 1, index, done, streak, False, True))
+                checks, streak, index, done, observed, changed = 0, 0, 0, 0, None, None
             if observed is not None and skill != observed and done < self.plan_size:
                 done += 1
             if skill != observed or changed is None:
@@ -73,6 +76,7 @@ class SkillTracker(StatefulProcessor):
                     checks = -1  # the next skill starts with a check
             checks += 1
             out.append((key[0], step, index, done, streak, advanced, False))
+            was = step
         self.state.update((at_us, step, checks, streak, index, done, observed, changed))
         self.handle.registerTimer(changed + self.timeout_ms)
         return pd.DataFrame(out, columns=COLUMNS)
