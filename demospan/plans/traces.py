@@ -48,8 +48,8 @@ def project_points(frames: DataFrame, cameras: DataFrame, camera: str = "camera"
     j = j.withColumns(
         {
             "in_bounds": inside,
-            "x": G.half_even(G.clamp(F.col("raw_x"), 0.0, F.lit(float(width - 1)))),
-            "y": G.half_even(G.clamp(F.col("raw_y"), 0.0, F.lit(float(height - 1)))),
+            "x": F.when(F.col("raw_x").isNotNull(), G.half_even(G.clamp(F.col("raw_x"), 0.0, F.lit(float(width - 1))))),
+            "y": F.when(F.col("raw_y").isNotNull(), G.half_even(G.clamp(F.col("raw_y"), 0.0, F.lit(float(height - 1))))),
         }
     )
 

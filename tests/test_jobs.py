@@ -10,6 +10,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from demospan import schemas
+from demospan.functions import vocab as V
 from demospan.plans import annotate as AN
 from demospan.plans import audit as AU
 from demospan.plans import combine as CO
@@ -276,7 +277,7 @@ def test_rows_are_not_lost_without_their_other_half(spark):
 
     frames = spark.createDataFrame([(1, 0.1, 0.2, 1.0), (2, 0.1, 0.2, 1.0), (None, 0.1, 0.2, 1.0)], "camera bigint, wx double, wy double, wz double")
     eye = [[float(i == j) for j in range(4)] for i in range(4)]
-    cameras = spark.createDataFrame([(1, eye, "none")], "camera bigint, matrix array<array<double>>, convention string")
+    cameras = spark.createDataFrame([(1, eye, V.NO_TRANSFORM)], "camera bigint, matrix array<array<double>>, convention string")
     p = {r.camera: r for r in TR.project_points(frames, cameras).collect()}
-    assert len(p) == 3 and p[1].raw_x is not None and p[2].raw_x is None and not p[2].in_bounds
+    assert len(p) == 3 and p[1].raw_x is not None and p[2].raw_x is None and p[2].x is None and not p[2].in_bounds
     assert {(r.camera, r.frames) for r in TR.uncalibrated(frames, cameras).collect()} == {(2, 1), (None, 1)}
