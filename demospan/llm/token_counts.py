@@ -24,6 +24,7 @@ from .packing import tokenizer_path
 
 MARK = "▁"
 UNKNOWN_PENALTY = 10.0
+NOTHING = float("-inf")
 BREAK = "\n"
 MARKS = re.compile(f"({MARK}+)")
 WORD_CACHE = 500_000
@@ -48,6 +49,7 @@ class Counter:
             if piece:
                 self.automaton.add_word(piece, (len(piece), score))
         self.automaton.make_automaton()
+        self.single = frozenset(p for p, _ in self.vocabulary if len(p) == 1)
         self.by_word = not any(MARK in p.lstrip(MARK) for p, _ in self.vocabulary)
         # nor does a piece hold a line break, so lines are apart too
         self.by_line = not any(BREAK in p for p, _ in self.vocabulary) and self.byte_fallback
@@ -57,6 +59,14 @@ class Counter:
     def viterbi(self, text: str) -> int:
         """Ids of a text already written with word marks."""
         n = len(text)
+        if self.single.issuperset(text):  # no place without a piece: nothing can be unknown
+            best, ids = [0.0] + [NOTHING] * n, [0] * (n + 1)
+            for end, (length, score) in self.automaton.iter(text):  # the longest of an end comes first
+                start = end + 1 - length
+                value = best[start] + score
+                if value > best[end + 1]:
+                    best[end + 1], ids[end + 1] = value, ids[start] + 1
+            return ids[n]
         best = [0.0] + [None] * n
         ids = [0] * (n + 1)
         unknown = [False] * (n + 1)

@@ -50,7 +50,7 @@ def test_ties_go_to_the_piece_that_starts_first():
         counter.automaton.add_word(p, (len(p), s))
     counter.automaton.make_automaton()
     full = Tokenizer(Unigram(vocabulary, 0, False))
-    counter.byte_fallback, counter.unknown_score = False, -13.0
+    counter.byte_fallback, counter.unknown_score, counter.single = False, -13.0, frozenset("abc")
     for t in ("ab", "abc", "aabbcc", "abcabc", "xxabyy", "cabxxx"):
         assert counter.viterbi(t) == len(full.encode(t).ids), t
 
