@@ -1,7 +1,8 @@
 """URL filter: a tree of path templates per host, judged by the labelled share of bad pages.
 
-Level by level, a path segment that is rare among its siblings becomes a wildcard (numbers always do), and
-siblings whose share of bad labels does not differ from the other siblings' merge into that wildcard too.
+Level by level, siblings whose share of bad labels does not differ from the other siblings' merge into a wildcard
+(numbers always do). A path segment that differs stays, however small its share of the pages, if enough labels
+show it; with fewer labels it must also be common among its siblings.
 A template is rejected when its share of bad labels, smoothed towards its host's and that towards the
 overall share, exceeds a limit. Hand-written rules come first.
 """
@@ -12,14 +13,13 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from .common import ascii_lower, cut
 
-MAX_DEPTH = 8
-#: a literal branch must hold 1 / RARE of its node's pages
-RARE = 50
+#: with fewer labels than EVIDENCE a literal branch must hold 1 / RARE of its node's pages
+RARE, EVIDENCE = 50, 5
 #: chi-square of one degree of freedom at 5 %
 DIFFERS = 3.841
 SMOOTHING = 8.0
 REJECT_ABOVE = 0.5
-ANY, REST = "*", "**"
+ANY = "*"
 
 
 def host_of(url: Column) -> Column:
@@ -41,9 +41,8 @@ def rule_of(host: Column, path: Column, rules: dict[str, str]) -> tuple[Column,
 
 
 def segments(path: Column) -> Column:
-    """Path segments with each run of digits as ``<n>``; what lies deeper than MAX_DEPTH is one ``**``."""
-    parts = F.filter(F.split(F.regexp_replace(path, "[0-9]+", "<n>"), "/", -1), lambda s: s != "")
-    return F.when(F.size(parts) > MAX_DEPTH, F.concat(F.slice(parts, 1, MAX_DEPTH), F.array(F.lit(REST)))).otherwise(parts)
+    """Path segments with each run of digits as ``<n>``."""
+    return F.filter(F.split(F.regexp_replace(path, "[0-9]+", "<n>"), "/", -1), lambda s: s != "")
 
 
 def _sums() -> list[Column]:
@@ -53,15 +52,17 @@ def _sums() -> list[Column]:
 def templates(paths: DataFrame) -> DataFrame:
     """``template`` for ``host, segs, pages, labelled, bad``, a row for each distinct host and segs.
 
-    One pass per level of the deepest path; each is checkpointed.
+    One pass per level that two paths share, each checkpointed; a path that is alone in its node keeps the rest
+    of its segments.
     """
-    now = cut(paths.withColumn("template", F.lit("")))
-    depth = now.agg(F.max(F.size("segs"))).first()[0] or 0
-    for level in range(depth):
-        deep = now.where(F.size("segs") > level).withColumn("seg", F.get("segs", F.lit(level)))
-        branch = deep.groupBy("host", "template", "seg").agg(*_sums())
+    columns = [*paths.columns, "template", "open"]
+    now = cut(paths.withColumn("template", F.lit("")).withColumn("open", F.size("segs") > 0))
+    level = 0
+    while not now.where("open").isEmpty():
+        deep = now.where("open").withColumn("seg", F.get("segs", F.lit(level)))
+        branch = deep.groupBy("host", "template", "seg").agg(*_sums(), F.count("*").alias("paths"))
         node = branch.groupBy("host", "template").agg(
-            *[F.sum(c).alias("all_" + c) for c in ("pages", "labelled", "bad")], F.count("*").alias("branches")
+            *[F.sum(c).alias("all_" + c) for c in ("pages", "labelled", "bad", "paths")], F.count("*").alias("branches")
         )
         bad, good = F.col("bad").cast("double"), (F.col("labelled") - F.col("bad")).cast("double")
         other_bad = (F.col("all_bad") - F.col("bad")).cast("double")
@@ -70,15 +71,17 @@ def templates(paths: DataFrame) -> DataFrame:
         spread = (bad + good) * (other_bad + other_good) * (bad + other_bad) * (good + other_good)
         differs = cross * cross * F.col("all_labelled").cast("double") > spread * F.lit(DIFFERS)
         common = F.col("pages") * RARE >= F.col("all_pages")
-        literal = (F.col("branches") == 1) | (common & differs)
+        literal = (F.col("branches") == 1) | (differs & (common | (F.col("labelled") >= EVIDENCE)))
         chosen = branch.join(node, ["host", "template"]).select(
-            "host", "template", "seg", F.when(literal, F.col("seg")).otherwise(F.lit(ANY)).alias("step")
+            "host", "template", "seg", F.when(literal, F.col("seg")).otherwise(F.lit(ANY)).alias("step"), (F.col("all_paths") == 1).alias("alone")
         )
-        moved = deep.join(chosen, ["host", "template", "seg"]).withColumn(
-            "template", F.concat("template", F.lit("/"), "step")
-        )
-        now = cut(moved.select(*paths.columns, "template").union(now.where(F.size("segs") <= level).select(*paths.columns, "template")))
-    return now
+        rest = F.slice("segs", level + 2, F.greatest(F.size("segs"), F.lit(1)))
+        steps = F.when(F.col("alone"), F.concat(F.array("step"), rest)).otherwise(F.array("step"))
+        moved = deep.join(chosen, ["host", "template", "seg"]).withColumn("open", ~F.col("alone") & (F.size("segs") > level + 1))
+        moved = moved.withColumn("template", F.concat("template", F.lit("/"), F.array_join(steps, "/")))
+        now = cut(moved.select(*columns).union(now.where("NOT open").select(*columns)))
+        level += 1
+    return now.drop("open")
 
 
 def judged(pages: DataFrame, labels: DataFrame, rules: dict[str, str]) -> DataFrame:
