@@ -204,8 +204,12 @@ def keep_one(docs: DataFrame, words: int = WORDS, radius: int = RADIUS) -> DataF
 
     Of several rows with that id, the one with the smallest fingerprint and text hash stays.
     """
+    return keep_least(docs, near_groups(docs.select("doc_id", "text"), words, radius))
+
+
+def keep_least(docs: DataFrame, groups: DataFrame) -> DataFrame:
+    """The rows that name the components of ``groups(doc_id, component_id)``, one each."""
     key = F.xxhash64(F.coalesce(docs["text"], F.lit("")))
-    groups = near_groups(docs.select("doc_id", "text"), words, radius)
     best = groups.where(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("__keep")).distinct()
     marked = docs.withColumn("__id", docs["doc_id"].cast("bigint")).withColumn("__own", key)
     kept = marked.join(best, marked["__id"].eqNullSafe(best["__keep"]), "left_semi")
