@@ -6,12 +6,12 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from . import decontaminate, exact_dedup, html_text, license_scan, line_dedup, packing, quality_crf, simhash_dedup, sql, token_counts, url_filter
+from . import decontaminate, exact_dedup, html_text, license_scan, line_dedup, packing, piece_bpe, quality_crf, simhash_dedup, sql, token_counts, url_filter
 from .common import table
 
 RULES = {"org/": "allow", "example.org/es/": "block", "example.org/en/1": "block", "com/fr/": "allow", "com/de/": "block"}
 PACK_TOKENIZER = "word_bpe_49k.json"
-UNIGRAM_PIECES = "piece_bpe_32k.model"
+PIECES = UNIGRAM_PIECES = "piece_bpe_32k.model"
 
 
 def page_labels(pages: DataFrame, labels: DataFrame) -> DataFrame:
@@ -66,11 +66,21 @@ def op10_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
     return html_text.extract(table(spark, sf_dir, "pages"))
 
 
+def op11_piece_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = piece_bpe.round_trip(table(spark, sf_dir, "documents"), PIECES)
+    return rows.select(
+        "doc_id",
+        F.size("ids").cast("bigint").alias("n_tokens"),
+        F.sha2(F.array_join("ids", " "), 256).alias("ids_sha256"),
+        F.sha2("decoded", 256).alias("decoded_sha256"),
+    )
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
         op1_url_filter, op2_quality_classifier, op3_decontamination, op4_license_scan, op5_best_fit_packing,
-        op6_line_dedup, op7_exact_dedup, op8_token_counts, op9_simhash_dedup, op10_html_extraction,
+        op6_line_dedup, op7_exact_dedup, op8_token_counts, op9_simhash_dedup, op10_html_extraction, op11_piece_round_trip,
     )
 }
 
