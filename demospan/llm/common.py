@@ -2,11 +2,15 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+from hashlib import sha256
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from ..session import cut_lineage as cut, shared_folder
 
-__all__ = ["BitFilter", "ascii_lower", "cut", "shared_folder", "table", "texts"]
+__all__ = ["BitFilter", "ascii_lower", "cut", "shared_folder", "streamed_sha256", "table", "texts"]
 
 
 def texts(docs: DataFrame, *more: str) -> DataFrame:
@@ -27,6 +31,34 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def streamed_sha256(parts: DataFrame, key: str, order: str, data: str, between: str) -> DataFrame:
+    """``key, sha256``: lowercase hex of the UTF-8 digest of a key's parts in order, with ``between`` between them.
+
+    Rows of a key pass one task in sorted order and only the digest's state is held.
+    """
+    kind = parts.schema[key].dataType
+
+    def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now = state = None
+        for batch in batches:
+            keys, digests = [], []
+            for k, d in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+                if state is not None and k == now:
+                    state.update(between.encode())
+                else:
+                    if state is not None:
+                        keys.append(now)
+                        digests.append(state.hexdigest())
+                    now, state = k, sha256()
+                state.update(d.encode("utf-8", "surrogatepass"))
+            yield pa.RecordBatch.from_arrays([pa.array(keys, batch.schema.field(0).type), pa.array(digests, pa.string())], [key, "sha256"])
+        if state is not None:
+            yield pa.RecordBatch.from_arrays([pa.array([now], batch.schema.field(0).type), pa.array([state.hexdigest()])], [key, "sha256"])
+
+    sorted_parts = parts.select(key, order, data).repartition(key).sortWithinPartitions(key, order).select(key, data)
+    return sorted_parts.mapInArrow(rows, f"{key} {kind.simpleString()}, sha256 string")
+
+
 class BitFilter:
     """A fixed-size bitmap of 64-bit hashes: cheap to test, and wrong only by letting a stranger pass.
 

@@ -97,3 +97,37 @@ stats AS (SELECT host, template, (CAST(sum(bad) AS DOUBLE) + {m} * ((CAST(any_va
 judged AS (SELECT page_id, host, path, {chosen} AS rule, template, bad_share FROM rows_ JOIN tree USING (host, segs) JOIN stats USING (host, template))
 SELECT page_id, host, path, rule, coalesce({ruled}, CASE WHEN bad_share > {U.REJECT_ABOVE} THEN 'block' ELSE 'allow' END) AS verdict,
   template, bad_share FROM judged"""
+
+
+def crc32(text: str) -> str:
+    """CTEs ``crc_step`` and ``crc(s, v)``: the unsigned crc32 of each ASCII text ``s`` that the query ``text`` gives."""
+    return f"""crc_step AS (SELECT list_transform(range(256), lambda i: list_reduce(range(8),
+    lambda x, k: CASE WHEN x & 1 = 1 THEN xor(x >> 1, 3988292384) ELSE x >> 1 END, i)) AS steps),
+crc AS (SELECT s, xor(list_reduce(list_transform(string_split(s, ''), lambda c: CAST(ascii(c) AS BIGINT)),
+    lambda a, b: xor(a >> 8, steps[(xor(a, b) & 255) + 1]), CAST(4294967295 AS BIGINT)), 4294967295) AS v
+  FROM (SELECT DISTINCT s FROM ({text})), crc_step)"""
+
+
+def conversation_trie() -> str:
+    return f"""
+WITH t AS (SELECT conv_id, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, coalesce(role, ''), coalesce(text, '')) - 1 AS pos,
+    sha256(length(coalesce(role, '')) || ':' || coalesce(role, '') || coalesce(text, '')) AS id, strlen(coalesce(text, '')) AS size
+  FROM conversations WHERE conv_id IS NOT NULL),
+{crc32("SELECT CAST(conv_id AS VARCHAR) AS s FROM t")},
+c AS (SELECT DISTINCT conv_id, conv_id - conv_id % 5 AS first, v % 9 AS h FROM t JOIN crc ON s = CAST(conv_id AS VARCHAR)),
+mixed AS (SELECT c.conv_id, 0 AS own, pos, id, size FROM c JOIN t ON t.conv_id = c.first AND pos < h
+  UNION ALL SELECT c.conv_id, 1, pos, id, size FROM c JOIN t ON t.conv_id = c.conv_id AND pos >= h),
+turns AS (SELECT conv_id, row_number() OVER w AS depth, string_agg(id, '') OVER w AS path, size FROM mixed WINDOW w AS (PARTITION BY conv_id ORDER BY own, pos)),
+members AS (SELECT conv_id, depth, path, size FROM turns UNION ALL SELECT conv_id, 0, '', 0 FROM c),
+lasts AS (SELECT conv_id, max(depth) AS depth FROM members GROUP BY conv_id),
+nodes AS (SELECT path, any_value(m.depth) AS depth, min(conv_id) AS conv_id, count(*) AS n_convs, any_value(size) AS size,
+    sha256(coalesce(string_agg(CAST(conv_id AS VARCHAR), ',' ORDER BY conv_id) FILTER (m.depth = l.depth), '')) AS ends_sha256
+  FROM members m JOIN lasts l USING (conv_id) GROUP BY path),
+children AS (SELECT left(path, (depth - 1) * 64) AS path, count(*) AS n_children FROM nodes WHERE depth > 0 GROUP BY ALL),
+known AS (SELECT nodes.*, coalesce(n_children, 0) AS n_children FROM nodes LEFT JOIN children USING (path)),
+below AS (SELECT DISTINCT a.path, b.path AS lower FROM members a JOIN members b ON a.conv_id = b.conv_id AND a.depth <= b.depth),
+sums AS (SELECT b.path, sum(CASE WHEN k.n_children = 0 THEN 1 ELSE 0 END) AS n_leaves, sum((k.n_convs - 1) * k.size) AS saved_tokens
+  FROM below b JOIN known k ON k.path = b.lower GROUP BY b.path)
+SELECT k.conv_id, k.depth, p.conv_id AS parent_conv_id, k.n_convs, k.n_children, CAST(n_leaves AS BIGINT) AS n_leaves,
+  CAST(saved_tokens AS BIGINT) AS saved_tokens, k.ends_sha256
+FROM known k JOIN sums USING (path) LEFT JOIN known p ON k.depth > 0 AND p.path = left(k.path, (k.depth - 1) * 64)"""
