@@ -27,8 +27,8 @@ from .packing import tokenizer_path
 MARK = "▁"
 BREAK = "\n"
 RUNS = re.compile("( +)")
-#: words and pairs of tokens that are remembered; the tables start anew beyond it
-WORD_CACHE, PAIR_CACHE = 500_000, 500_000
+#: words and pairs of tokens in a table of what is remembered; beyond it a new table is begun
+WORD_CACHE, PAIR_CACHE = 300_000, 500_000
 #: documents in one batch of results
 TOGETHER = 128
 REPLACED = "�".encode()
@@ -69,7 +69,8 @@ class PieceBpe:
         byte = {int(model.id_to_piece(i)[1:-1], 16): i for i in ids if model.is_byte(i)}
         if model.normalize("ﬁ  a ") != f"{MARK}ﬁ{MARK}{MARK}a{MARK}" or len(byte) != 256 or any(map(model.is_unused, ids)):
             raise ValueError("the piece file must keep texts as they are, put a mark before them and fall back to bytes")
-        self.byte_ids = [byte[b] for b in range(256)]
+        self.packed = {p: i.to_bytes(4, "little") for p, i in self.id.items()}
+        self.packed_bytes = [byte[b].to_bytes(4, "little") for b in range(256)]
         self.byte_of = {i: b for b, i in byte.items()}
         self.written = [b""] * len(ids)  # of control and unknown ids nothing is written
         for p, i in self.id.items():
@@ -82,12 +83,14 @@ class PieceBpe:
         self.marked = {i for p, i in self.id.items() if p.startswith(MARK)}
         self.automaton = ahocorasick.Automaton()
         for p in self.id:
-            self.automaton.add_word(p, p)
+            if Merges(p, self.score).whole:  # else its letters never become it
+                self.automaton.add_word(p, p)
         self.automaton.make_automaton()
         self.by_word = not any(MARK in p.lstrip(MARK) or BREAK in p for p in self.id)
         self.merges: dict[str, Merges] = {}
         self.apart_known: dict[tuple[str, str], bool] = {}
         self.seen: defaultdict[str, dict[str, bytes]] = defaultdict(dict)
+        self.rarely: defaultdict[str, dict[str, bytes]] = defaultdict(dict)
 
     def _merges(self, token: str) -> Merges:
         found = self.merges.get(token)
@@ -123,45 +126,49 @@ class PieceBpe:
     def tokens(self, text: str) -> list[str]:
         """The tokens of a text written with marks; a letter without a piece is a token too."""
         n = len(text)
-        size = [0] * (n + 1)  # of the last token of each prefix
-        done = 0
-        apart, merges = self.apart, self._merges
+        last: list[str | None] = [None] * (n + 1)  # token of each prefix
+        known = self.apart_known.get
         for end, token in self.automaton.iter(text):  # of one end the longest comes first
             end += 1
-            for at in range(done + 1, end):  # ends that no piece fits
-                size[at] = size[at] or 1
-            done = end - 1
-            if size[end]:
+            if last[end] is not None:
                 continue
             start = end - len(token)
-            if merges(token).whole and (not start or apart(text[start - size[start] : start], token)):
-                size[end] = len(token)
-        for at in range(done + 1, n + 1):
-            size[at] = size[at] or 1
+            if start:
+                before = last[start]
+                if before is None:  # no piece fits there
+                    before = last[start] = text[start - 1]
+                apart = known((before, token))
+                if not (self.apart(before, token) if apart is None else apart):
+                    continue
+            last[end] = token
         found = []
         while n:
-            found.append(text[n - size[n] : n])
-            n -= size[n]
+            token = last[n] or text[n - 1]
+            found.append(token)
+            n -= len(token)
         return found[::-1]
 
     def _ids(self, marked: str) -> bytes:
-        out: list[int] = []
+        out = []
         for t in self.tokens(marked):
-            i = self.id.get(t)
-            if i is None:
-                out.extend(self.byte_ids[b] for b in t.encode("utf-8", "surrogatepass"))
-            else:
-                out.append(i)
-        return np.array(out, dtype="<i4").tobytes()
+            found = self.packed.get(t)
+            out.append(b"".join([self.packed_bytes[b] for b in t.encode("utf-8", "surrogatepass")]) if found is None else found)
+        return b"".join(out)
 
     def _words(self, words: list[str], mark: str) -> bytes:
         """Ids of words with the marks before each."""
         seen = self.seen[mark]
-        if len(seen) > WORD_CACHE:
-            seen.clear()
-        for w in set(words).difference(seen):
-            seen[w] = self._ids(mark + w)
-        return b"".join([seen[w] for w in words])
+        found = list(map(seen.get, words))
+        if None in found:
+            old = self.rarely[mark]
+            if len(seen) > WORD_CACHE:  # words of the last table come back as they are met
+                old = self.rarely[mark] = seen
+                seen = self.seen[mark] = {}
+            for i, w in enumerate(words):
+                if found[i] is None:
+                    ids = seen.get(w) or old.get(w)
+                    found[i] = seen[w] = self._ids(mark + w) if ids is None else ids
+        return b"".join(found)
 
     def encode(self, text: str) -> bytes:
         """Little-endian 32-bit ids of a text, without the end id."""
