@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from . import conversation_trie, decontaminate, exact_dedup, html_text, license_scan, line_dedup, packing, piece_bpe, quality_crf, simhash_dedup, sql, token_counts, url_filter
+from . import conversation_repair, conversation_trie, decontaminate, exact_dedup, html_text, license_scan, line_dedup, packing, piece_bpe, quality_crf, simhash_dedup, sql, token_counts, url_filter
 from .common import cut, table
 
 RULES = {"org/": "allow", "example.org/es/": "block", "example.org/en/1": "block", "com/fr/": "allow", "com/de/": "block"}
@@ -81,11 +81,17 @@ def op12_conversation_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
     return conversation_trie.trie(*conversation_trie.with_shared_openings(turns))
 
 
+def op13_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    conversations = table(spark, sf_dir, "conversations")
+    return conversation_repair.repaired(conversations, conversation_repair.damaged(conversations))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
         op1_url_filter, op2_quality_classifier, op3_decontamination, op4_license_scan, op5_best_fit_packing,
         op6_line_dedup, op7_exact_dedup, op8_token_counts, op9_simhash_dedup, op10_html_extraction, op11_piece_round_trip, op12_conversation_trie,
+        op13_conversation_repair,
     )
 }
 
@@ -94,6 +100,7 @@ ORACLES: dict[str, str] = {
     "op3_decontamination": sql.decontamination(),
     "op7_exact_dedup": sql.exact_dedup(),
     "op12_conversation_trie": sql.conversation_trie(),
+    "op13_conversation_repair": sql.conversation_repair(),
 }
 
 __all__ = ["ORACLES", "QUERIES"]

@@ -131,3 +131,50 @@ sums AS (SELECT b.path, sum(CASE WHEN k.n_children = 0 THEN 1 ELSE 0 END) AS n_l
 SELECT k.conv_id, k.depth, p.conv_id AS parent_conv_id, k.n_convs, k.n_children, CAST(n_leaves AS BIGINT) AS n_leaves,
   CAST(saved_tokens AS BIGINT) AS saved_tokens, k.ends_sha256
 FROM known k JOIN sums USING (path) LEFT JOIN known p ON k.depth > 0 AND p.path = left(k.path, (k.depth - 1) * 64)"""
+
+
+def conversation_repair() -> str:
+    white = "[^\\x20\\x09-\\x0D]"
+    value = "printf('%012d', CAST(left({v}, 12) AS BIGINT) + {cost}) || substr({v}, 13) || {more}"
+    return f"""
+WITH RECURSIVE raw AS (SELECT conv_id, turn, coalesce(role, ' ') AS role, coalesce(text, ' ') AS text,
+    coalesce(CAST(conv_id AS VARCHAR), ' ') || ':' || coalesce(CAST(turn AS VARCHAR), ' ') AS s FROM conversations),
+{crc32("SELECT s FROM raw")},
+faulty AS (SELECT raw.*, v % 20 AS fault FROM raw JOIN crc USING (s) WHERE v % 20 <> 0 AND conv_id IS NOT NULL),
+hurt AS (SELECT conv_id, turn, CASE WHEN fault = 4 THEN 'user' ELSE role END AS role,
+    CASE WHEN fault = 1 THEN '' WHEN fault = 2 THEN regexp_replace(text, '[.!?]', '', 'g') ELSE text END AS text,
+    unnest(range(CASE WHEN fault = 3 THEN 2 ELSE 1 END)) AS copy FROM faulty),
+placed AS (SELECT *, left(role, 1) AS initial, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, text, copy) AS k FROM hurt),
+judged AS (SELECT *, lag(initial) OVER (PARTITION BY conv_id ORDER BY k) || initial AS pair,
+    CASE WHEN NOT regexp_matches(text, '{white}') THEN 'blank'
+      WHEN row_number() OVER (PARTITION BY conv_id, role, text ORDER BY k) > 1 THEN 'duplicate'
+      WHEN NOT regexp_matches(text, '[.!?][\\x20\\x09-\\x0D]*$') THEN 'truncated' ELSE '' END AS fault FROM placed),
+sums AS (SELECT conv_id, coalesce(max(turn) - min(turn) + 1 - count(DISTINCT turn), 0) AS gaps,
+    count(*) FILTER (fault = 'blank') AS blank, count(*) FILTER (fault = 'duplicate') AS duplicate, count(*) FILTER (fault = 'truncated') AS truncated,
+    count(*) FILTER (pair NOT IN ('su', 'ua', 'au')) AS illegal, count(*) AS n FROM judged GROUP BY conv_id),
+inserts AS (SELECT * FROM (VALUES (0, 0, 0), (0, 1, 2), (0, 2, 3), (1, 0, 1), (1, 1, 2), (1, 2, 3), (2, 0, 2), (2, 1, 3), (3, 0, 3), (3, 1, 2), (3, 2, 3)) x(p, times, q)),
+best AS (
+  SELECT conv_id, CAST(0 AS BIGINT) AS k, 0 AS p, printf('%012d', 0) AS v FROM sums
+  UNION ALL
+  SELECT conv_id, k, p, min(v) AS v FROM (
+    SELECT b.conv_id, b.k + 1 AS k, move.q AS p, {value.format(v="b.v", cost="5 * i.times + move.cost", more="repeat('I', i.times) || move.letter")} AS v
+    FROM best b JOIN inserts i ON i.p = b.p JOIN judged j ON j.conv_id = b.conv_id AND j.k = b.k + 1,
+      LATERAL (SELECT unnest([
+        {{'letter': 'D', 'cost': 2, 'q': i.q, 'may': true}},
+        {{'letter': 'R', 'cost': 1 + CASE WHEN fault = 'truncated' THEN 5 ELSE 0 END, 'q': CASE WHEN i.q = 2 THEN 3 ELSE 2 END, 'may': fault NOT IN ('blank', 'duplicate')}},
+        {{'letter': 'K', 'cost': CASE WHEN fault = 'truncated' THEN 5 ELSE 0 END, 'q': CASE initial WHEN 's' THEN 1 WHEN 'u' THEN 2 ELSE 3 END,
+          'may': fault NOT IN ('blank', 'duplicate') AND ((initial = 's' AND i.q = 0) OR (initial = 'u' AND i.q <> 2) OR (initial = 'a' AND i.q = 2))}}]) AS move)
+    WHERE move.may) GROUP BY conv_id, k, p),
+goals AS (SELECT s.conv_id, min({value.format(v="b.v", cost="5 * i.times", more="repeat('I', i.times)")}) AS v
+  FROM sums s JOIN best b ON b.conv_id = s.conv_id AND b.k = s.n JOIN inserts i ON i.p = b.p WHERE i.q IN (0, 3) GROUP BY s.conv_id),
+audits AS (SELECT conv_id, CAST(left(v, 12) AS BIGINT) AS cost, substr(v, 13) AS audit FROM goals),
+steps AS (SELECT conv_id, unnest(range(1, length(audit) + 1)) AS e, audit FROM audits),
+done AS (SELECT conv_id, e, substr(audit, e, 1) AS edit, length(replace(left(audit, e), 'I', '')) AS k,
+    length(replace(left(audit, e), 'D', '')) AS spoken FROM steps),
+told AS (SELECT d.*, j.role, j.text, max(CASE WHEN spoken = 1 AND edit = 'K' AND initial = 's' THEN 1 ELSE 0 END) OVER (PARTITION BY d.conv_id) AS opened
+  FROM done d LEFT JOIN judged j ON j.conv_id = d.conv_id AND j.k = d.k AND d.edit <> 'I'),
+lines AS (SELECT conv_id, sha256(string_agg(CASE WHEN edit = 'K' THEN role WHEN (spoken - opened) % 2 = 1 THEN 'user' ELSE 'assistant' END
+    || ':' || CASE WHEN edit = 'I' THEN '' ELSE text END, chr(10) ORDER BY e)) AS sha FROM told WHERE edit <> 'D' GROUP BY conv_id)
+SELECT c.conv_id, coalesce(gaps, 0) AS gaps, coalesce(blank, 0) AS blank, coalesce(duplicate, 0) AS duplicate, coalesce(truncated, 0) AS truncated,
+  coalesce(illegal, 0) AS illegal, coalesce(cost, 0) AS cost, coalesce(audit, '') AS audit, coalesce(sha, sha256('')) AS repaired_sha256
+FROM (SELECT DISTINCT conv_id FROM conversations WHERE conv_id IS NOT NULL) c LEFT JOIN sums USING (conv_id) LEFT JOIN audits USING (conv_id) LEFT JOIN lines USING (conv_id)"""
