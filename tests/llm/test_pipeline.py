@@ -4,18 +4,19 @@ from collections import Counter
 
 import corpus_pipeline as C
 import pytest
-from demospan.llm import decontaminate, exact_dedup, quality_crf, simhash_dedup
+from demospan.llm import quality_crf
 from demospan.llm.queries import PACK_TOKENIZER
 from demospan.llm.packing import Encoder, tokenizer_path
 
-from .test_dedup import exact_brute, near_brute
+from .test_dedup import exact_brute
+from .test_near_stage import jaccard_brute
 
 D = "/root/testdata/sf0.001"
 
 
 def test_stages_follow_each_other(spark, tmp_path):
     docs = spark.read.parquet(f"{D}/documents.parquet")
-    columns, kept = docs.columns, None
+    columns = docs.columns
     for i, (name, stage) in enumerate(C.STAGES):
         rows = [(r.doc_id, r.text) for r in docs.collect()]
         out = stage(spark, docs, D)
@@ -31,7 +32,7 @@ def test_stages_follow_each_other(spark, tmp_path):
         elif name == "exact dedup":
             assert ids == Counter(x[0] for x in exact_brute(rows).elements() if x[3])
         elif name == "simhash near-dedup":
-            assert set(ids) == {x[2] for x in near_brute(rows)} and max(ids.values()) == 1
+            assert set(ids) == {x[1] for x in jaccard_brute(rows)} and max(ids.values()) == 1
         elif name == "benchmark decontamination":
             items = [tuple(r) for r in spark.read.parquet(f"{D}/benchmark.parquet").select("item_id", "text").collect()]
             from .test_texts import overlap_brute
