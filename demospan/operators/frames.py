@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from ..functions import vocab as V
+from ..session import cut_lineage
 from .ordered import Ordered, ordered, percentiles
 
 # Steps per join bucket. Segments are some tens of steps, so one covers one to three buckets, and
@@ -135,6 +136,8 @@ def delta_stats(o: Ordered, x: str = "x", y: str = "y", also: list[Column] | Non
     ``also`` adds aggregates of the same rows to the same pass.
     """
     deltas = step_deltas(o, x, y).rows()
+    if o.cut:
+        deltas = cut_lineage(deltas)  # read several times
     out = percentiles(
         deltas,
         list(o.keys),
@@ -165,9 +168,8 @@ def resample_by_length(o: Ordered, points: int, x: str = "x", y: str = "y") -> D
     o = o.scan(previous={"_x": F.col(x), "_y": F.col(y)}, following={"_more": F.lit(1)})
     step = F.coalesce(F.hypot(F.col(x) - F.col("_x"), F.col(y) - F.col("_y")), F.lit(0.0))
     o = o.with_df(o.df.withColumn("_step", step))
-    # the running maximum keeps the sums from ever falling where rounded block totals meet
-    o = o.scan(sums={"_sum": F.col("_step")}).scan(maxima={"_to": F.col("_sum")}).scan(previous={"_from": F.col("_to")})
-    rows = o.rows()
+    # a row begins at the very number at which the row before it ends, so no place falls between them
+    rows = o.scan(sums={"_to": F.col("_step")}, sums_before={"_from": F.col("_step")}).rows()
     length = rows.filter(F.col("_more").isNull()).select(*keys, F.col("_to").alias("_length"))
     return _interpolate(rows.join(length, keys), keys, points, x, y)
 
@@ -184,16 +186,27 @@ def resample_by_time(o: Ordered, points: int, x: str = "x", y: str = "y") -> Dat
 
 
 def _interpolate(rows: DataFrame, keys: list[str], points: int, x: str, y: str) -> DataFrame:
-    """Places k/(points-1) of the way: each row emits those in (_from, _to], the first row k = 0."""
+    """Places k/(points-1) of the way: each row emits those in (_from, _to], the first row k = 0.
+
+    Which places these may be follows from the two lengths, so a row looks at its own places and one on either
+    side, and all rows together at about as many as there are places.
+    """
     length, start, end = F.col("_length"), F.col("_from"), F.col("_to")
+    steps = max(points - 1, 1)
+
+    def near(x: Column, off: int) -> Column:
+        inside = lambda k: F.least(F.greatest(k, F.lit(0)), F.lit(points - 1))
+        return inside(inside(F.floor(F.try_divide(x, length) * steps)) + off).cast("int")
 
     def place(k: Column) -> Column:
         # the last place is the end itself, so rounding cannot push it past the last row
-        return F.when((k == points - 1) & (k > 0), length).otherwise(k * length / F.lit(float(max(points - 1, 1))))
+        return F.when((k == points - 1) & (k > 0), length).otherwise(k * length / F.lit(float(steps)))
 
     still = length <= 0
+    every = F.sequence(F.lit(0), F.lit(points - 1))
+    some = F.sequence(near(start, -1), near(end, 1))
     mine = F.filter(
-        F.sequence(F.lit(0), F.lit(points - 1)),
+        F.when(F.col("_x").isNull(), F.when(still, every).otherwise(F.array(F.lit(0)))).when(still, F.slice(every, 1, 0)).otherwise(some),
         lambda k: F.when(F.col("_x").isNull(), still | (place(k) <= 0)).otherwise(
             ~still & (place(k) > start) & (place(k) <= end)
         ),
