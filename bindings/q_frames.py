@@ -10,7 +10,7 @@ from demospan.operators.aggregates import bounds_aggregates, element_stats, toke
 from demospan.operators.joins import first_in_priority
 from demospan.operators.ordered import Ordered
 from demospan.plans.traces import FLIP, MATRIX, gate, prepare_cameras, project_points, replay_check, trace_stats
-from demospan.plans.training import training_frames
+from demospan.plans.training import normalisation_stats, training_frames
 
 from .registry import query
 from .tables import CAMERAS, FRAMES, SEGMENTS, SKILL_SEGMENTS, Tables, near
@@ -259,6 +259,17 @@ def norm_stats(t: Tables):
     return s.withColumns({c: near(c, 6) for c in ("mean", "std", "q01", "q99")})
 
 
+@query("""WITH c AS (SELECT 'state' AS "column", unnest(range(0, 3)) AS dim, unnest([l_quantity, l_discount, l_extendedprice]) AS v FROM lineitem
+    UNION ALL SELECT 'action', unnest(range(0, 2)), unnest([l_tax, CAST(l_linenumber AS DOUBLE)]) FROM lineitem)
+  SELECT "column", CAST(dim AS INTEGER) AS dim, count(*) AS count, floor((avg(v)) * 1e4 + 0.5001) / 1e4 AS mean, floor((stddev_pop(v)) * 1e4 + 0.5001) / 1e4 AS std,
+    floor((quantile_cont(v, 0.01)) * 1e6 + 0.5001) / 1e6 AS q01, floor((quantile_cont(v, 0.99)) * 1e6 + 0.5001) / 1e6 AS q99 FROM c GROUP BY ALL""")
+def normalisation_statistics(t: Tables):
+    """Of the state and action columns of frames: line items as frames."""
+    frames = t.lineitem.select(F.array("l_quantity", "l_discount", "l_extendedprice").alias("state"), F.array("l_tax", F.col("l_linenumber").cast("double")).alias("action"))
+    s = normalisation_stats(frames, ["state", "action"])
+    return s.withColumns({"mean": near("mean", 4), "std": near("std", 4), "q01": near("q01", 6), "q99": near("q99", 6)})
+
+
 @query(f"""WITH {FRAMES}, {SKILL_SEGMENTS}, c AS (SELECT f.*, s.seg_index, s.skill AS seg_skill, s.verb, s.start_step, s.end_step FROM frames f JOIN skill_segments s
     ON f.episode = s.episode AND f.step >= s.start_step AND f.step < s.end_step)
   SELECT episode, step, seg_index, seg_skill AS prompt, verb AS skill_name, CASE verb WHEN 'PLACE_ON' THEN 1 WHEN 'PLACE_IN' THEN 1 WHEN 'OPEN' THEN 2 WHEN 'CLOSE' THEN 3 WHEN 'TURN_ON' THEN 4 ELSE 0 END AS skill_id,

@@ -46,19 +46,14 @@ def read_episode_list(t: Tables):
     return R.read_episodes(t.spark, root).select("episode_index", "instruction", "length")
 
 
-@query("SELECT doc_id AS episode_index, CAST(doc_id AS VARCHAR) AS instruction FROM documents")
+@query("SELECT doc_id AS episode_index, CASE WHEN doc_id % 3 > 0 THEN CAST(doc_id AS VARCHAR) ELSE 'old' END AS instruction FROM documents")
 def annotations_written_twice(t: Tables):
     """An episode written again replaces its rows, the others stay."""
     path = folder(t)
     a = t.documents.select(F.col("doc_id").alias("episode_index"), F.lit("old").alias("instruction"))
-    new = a.withColumn("instruction", F.col("episode_index").cast("string"))
-    bucket = F.floor(F.col("episode_index") / 50)
-    small = lambda df: df.withColumn("b", bucket).groupBy("b").agg(F.collect_list(F.struct("episode_index", "instruction")).alias("rows"))
-    # episodes stand in groups of 50 here, so that the query does not write a folder for each document
-    W.write_annotations(small(a), path, key="b")
-    W.write_annotations(small(new), path, key="b")
-    back = t.spark.read.schema("b bigint, rows array<struct<episode_index:bigint,instruction:string>>").json(path)
-    return back.select(F.explode("rows").alias("r")).select("r.*")
+    W.write_annotations(a, path, buckets=16)
+    W.write_annotations(a.filter("episode_index % 3 > 0").withColumn("instruction", F.col("episode_index").cast("string")), path, buckets=16)
+    return t.spark.read.schema("episode_index bigint, instruction string").json(path).select("episode_index", "instruction")
 
 
 @query("SELECT o_orderkey AS episode_index FROM orders WHERE o_orderstatus = 'F'")
@@ -81,9 +76,29 @@ def combined_document_round_trip(t: Tables):
     path = folder(t)
     a = t.part.select(F.col("p_partkey").alias("episode_index"), F.col("p_name").alias("instruction"), F.col("p_size").alias("num_steps"))
     W.write_document(a, t.spark.range(1).select(F.lit("v1").alias("schema_version")), path)
-    line = F.regexp_extract("value", '^,"[0-9]+":(.*)$', 1)
-    rows = t.spark.read.text(path).filter(line != "").select(F.from_json(line, "episode_index bigint, instruction string, num_steps int").alias("e"))
-    return rows.select("e.*").withColumn("num_steps", F.col("num_steps").cast("int"))
+    rows, _, _ = R.read_document_parts(t.spark, path, "episode_index bigint, instruction string, num_steps int")
+    return rows.drop("source")
+
+
+@query("""SELECT o_orderkey AS episode_index, CASE WHEN o_orderkey % 7 = 0 THEN 'not_an_object' WHEN o_orderkey % 11 = 0 THEN 'unreadable' END AS reason,
+    CASE WHEN o_orderkey % 7 = 0 OR o_orderkey % 11 = 0 THEN NULL ELSE o_custkey END AS num_steps FROM orders WHERE o_custkey % 50 <> 7
+  UNION ALL SELECT DISTINCT -1, 'not_an_object', CAST(NULL AS BIGINT) FROM orders WHERE o_custkey % 50 = 7""")
+def quarantined_entries(t: Tables):
+    """Orders as entries of combined documents: some are no object, some have a field of the wrong type, one document is broken."""
+    path = folder(t)
+    key, doc = F.col("o_orderkey"), F.col("o_custkey") % 50
+    entry = (
+        F.when(key % 7 == 0, F.lit('["lost"]')).when(key % 11 == 0, F.concat(F.lit('{"num_steps": true, "instruction": "'), key, F.lit('"}')))
+        .otherwise(F.concat(F.lit('{"num_steps": '), "o_custkey", F.lit("}")))
+    )
+    line = F.concat(F.lit('"'), key, F.lit('": '), entry)
+    docs = t.orders.select(doc.alias("doc"), line.alias("line")).groupBy("doc").agg(F.array_join(F.collect_list("line"), ",\n").alias("lines"))
+    whole = F.concat(F.when(F.col("doc") == 7, F.lit("[")).otherwise(F.lit("{")), "lines", F.lit("}"))
+    docs.select("doc", whole.alias("value")).repartition("doc").write.partitionBy("doc").text(path)
+    rows, _, letters = R.read_combined_checked(t.spark, f"{path}/*")
+    good = rows.select("episode_index", F.lit(None).cast("string").alias("reason"), "num_steps")
+    bad = letters.select(F.coalesce(F.col("key").cast("bigint"), F.lit(-1)).alias("episode_index"), "reason", F.lit(None).cast("bigint").alias("num_steps"))
+    return good.union(bad)
 
 
 @query("SELECT p_partkey AS line, p_name AS plan FROM part")

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import functions as F
+from pyspark.sql import Window as W, functions as F
 
 from demospan.operators import aggregates as A
 from demospan.operators import joins as J
@@ -138,21 +138,37 @@ def key_diff(t: Tables):
     return J.compare(left, right, ["k"], ["name", "nation"])
 
 
-@query()
+@query("""WITH d AS (SELECT l_orderkey AS frame, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey, l_extendedprice, l_quantity, l_discount, l_tax) AS id,
+    CAST(l_linenumber * 0.01 AS DOUBLE) AS x, CAST(l_discount + 0.2 AS DOUBLE) AS y, CAST(1.0 + (l_quantity % 2) * 0.02 AS DOUBLE) AS w, CAST(1.5 AS DOUBLE) AS h,
+    CAST(l_tax + 0.1 AS DOUBLE) AS s1, CAST(l_discount + 0.05 AS DOUBLE) AS s2 FROM lineitem),
+  f AS (SELECT frame, list([{'id': id, 'x': x, 'y': y, 'w': w, 'h': h, 's1': s1, 's2': s2}] ORDER BY id) AS ds FROM d GROUP BY frame),
+  r AS (SELECT frame, list_reduce(ds, lambda acc, one: list_transform(
+    [list_filter(acc, lambda o: list_transform([greatest(least(o.x + o.w, one[1].x + one[1].w) - greatest(o.x, one[1].x), 0) * greatest(least(o.y + o.h, one[1].y + one[1].h) - greatest(o.y, one[1].y), 0)],
+        lambda i: i / (o.w * o.h + one[1].w * one[1].h - i))[1] > 0.9)],
+    lambda near: list_transform([coalesce(list_position(list_transform(near, lambda o: greatest(o.s1, o.s2) >= greatest(one[1].s1, one[1].s2)), true), 0)],
+      lambda j: list_transform([CASE WHEN j = 0 THEN near ELSE near[1:j] END],
+        lambda met: list_transform([{'s1': one[1].s1 + coalesce(list_sum(list_transform(met, lambda m: m.s1)), 0), 's2': one[1].s2 + coalesce(list_sum(list_transform(met, lambda m: m.s2)), 0)}],
+          lambda total: list_concat(list_transform(
+            list_filter(acc, lambda o: NOT list_contains(list_transform(met, lambda m: m.id), o.id) OR (j > 0 AND o.id = near[j].id)),
+            lambda o: CASE WHEN j > 0 AND o.id = near[j].id THEN {'id': o.id, 'x': o.x, 'y': o.y, 'w': o.w, 'h': o.h, 's1': total.s1, 's2': total.s2} ELSE o END),
+            CASE WHEN j > 0 THEN [] ELSE [{'id': one[1].id, 'x': one[1].x, 'y': one[1].y, 'w': one[1].w, 'h': one[1].h, 's1': total.s1, 's2': total.s2}] END))[1])[1])[1])[1]) AS kept FROM f),
+  u AS (SELECT frame, unnest(kept) AS o FROM r)
+  SELECT frame, o.id AS id, floor(greatest(o.s1, o.s2) * 1e6 + 0.5001) / 1e6 AS top, floor((o.s1 + o.s2) * 1e6 + 0.5001) / 1e6 AS total FROM u""")
 def merged_detections(t: Tables):
-    """Greedy merge of near-copies per image; the order-dependent result is checked by pytest."""
-    return D.merge_detections(boxes(t)).select("frame", "id", near(F.array_max("scores"), 6).alias("top"), near(F.aggregate("scores", F.lit(0.0), lambda a, x: a + x), 6).alias("total"))
+    """Greedy merge of near-copies per image in the order of the line numbers."""
+    merged = D.merge_detections(boxes(t))
+    return merged.select("frame", "id", near(F.array_max("scores"), 6).alias("top"), near(F.aggregate("scores", F.lit(0.0), lambda a, x: a + x), 6).alias("total"))
 
 
 def boxes(t: Tables):
     """Line items as boxes in an image per order: quantities and prices make nearly equal boxes."""
+    nth = F.row_number().over(W.partitionBy("l_orderkey").orderBy("l_linenumber", "l_partkey", "l_suppkey", "l_extendedprice", "l_quantity", "l_discount", "l_tax"))
     d = t.lineitem.select(
-        F.col("l_orderkey").alias("frame"),
-        F.xxhash64("l_linenumber", "l_partkey", "l_suppkey", "l_extendedprice").alias("id"),
+        F.col("l_orderkey").alias("frame"), nth.cast("bigint").alias("id"),
         (F.col("l_linenumber") * 0.01).alias("x"), (F.col("l_discount") + 0.2).alias("y"),
         (F.lit(1.0) + (F.col("l_quantity") % 2) * 0.02).alias("w"), F.lit(1.5).alias("h"),
         F.array(F.col("l_tax") + 0.1, F.col("l_discount") + 0.05).alias("scores"))
-    return d.withColumn("rank", F.struct("x", "y", "id")).select("frame", F.xxhash64("rank").alias("rank"), "id", "x", "y", "w", "h", "scores")
+    return d.select("frame", F.col("id").alias("rank"), "id", "x", "y", "w", "h", "scores")
 
 
 BOXES = """b AS (SELECT l_orderkey AS frame, l_linenumber * 0.01 AS x, l_discount + 0.2 AS y, 1.0 + (l_quantity % 2) * 0.02 AS w, CAST(1.5 AS DOUBLE) AS h FROM lineitem),

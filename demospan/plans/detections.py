@@ -10,8 +10,11 @@ from pyspark.sql import DataFrame, functions as F
 
 from ..functions import geometry as G
 from ..functions import vocab as V
+from ..operators.components import components
 
 BOX = ["x", "y", "w", "h"]
+#: grid of a fine cell, in the logarithm of a side and in sides, and the least overlap of two boxes of one
+FINE, SAME_CELL = 0.01, 0.92
 
 
 def high_enough(detections: DataFrame, least: float = V.MIN_BOX_TOP, only_with_tracks: bool = False) -> DataFrame:
@@ -69,54 +72,82 @@ def overlapping_pairs(detections: DataFrame, ratio: float = V.OVERLAP_RATIO) ->
     )
 
 
+def merge_groups(detections: DataFrame, ratio: float = V.OVERLAP_RATIO) -> DataFrame:
+    """``detections`` with ``part``: boxes of a frame that overlap by more than ``ratio`` are in one part.
+
+    Boxes of a fine cell overlap by more than ``SAME_CELL``, so a cell stands for all of them, however many
+    jittered copies it holds. One minus the overlap obeys the triangle inequality; so where two boxes overlap by
+    more than ``ratio``, the boxes that stand for their cells overlap by what is left of it. Parts are the
+    components of these cells. A part may hold more than must be together, which changes no result.
+    """
+    sizes = {"_kw": F.floor(F.log("w") / FINE), "_kh": F.floor(F.log("h") / FINE)}
+    cell = [F.col("_kw"), F.col("_kh")]
+    for k, at in (("_kw", "x"), ("_kh", "y")):
+        cell.append(F.floor(F.col(at) / (F.exp(F.col(k) * FINE) * FINE)))
+    flat = (F.col("w") > 0) & (F.col("h") > 0)
+    d = detections.withColumns({k: F.when(flat, c).cast("double") for k, c in sizes.items()})
+    d = d.withColumn("_cell", F.when(flat, F.xxhash64("frame", *cell)).otherwise(F.xxhash64("frame", *BOX))).drop("_kw", "_kh")
+    stands = d.groupBy("frame", "_cell").agg(F.min(F.struct(*BOX)).alias("_b")).select("frame", F.col("_cell").alias("id"), "_b.*")
+    links = overlapping_pairs(stands, ratio - 2 * (1 - SAME_CELL))
+    roots = components(links.select("a", "b")).withColumnRenamed("node", "_cell")
+    return d.join(roots, "_cell", "left").withColumn("part", F.coalesce("root", "_cell")).drop("_cell", "root")
+
+
 def merge_detections(detections: DataFrame, ratio: float = V.OVERLAP_RATIO) -> DataFrame:
     """Greedy merge in rank order: of two near-copies the higher score stays and class scores add up.
 
-    The result depends on the order, so each frame is walked in rank order. The rows of a frame are
-    streamed in sorted batches and only the surviving tracks are kept, never the frame's rows.
+    The result depends on the order, so boxes are walked in rank order, but only boxes that may meet: each
+    part of a frame (``merge_groups``) is walked by itself, its rows streamed in sorted batches, and only its
+    surviving tracks are kept. A frame of any size is spread over tasks by its parts.
 
     ``detections``: (frame, rank, id, x, y, w, h, scores array<double>).
     """
-    cols = ["frame", "rank", "id", *BOX, "scores"]
+    cols = ["frame", "part", "rank", "id", *BOX, "scores"]
     types = dict(detections.dtypes)
-    sorted_frames = detections.select(*cols).repartition("frame").sortWithinPartitions("frame", "rank")
+    parts = merge_groups(detections.select("frame", "rank", "id", *BOX, "scores"), ratio)
+    walked = parts.select(*cols).repartition("frame", "part").sortWithinPartitions("frame", "part", "rank")
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        frame, tracks = None, []
+        now, tracks = None, []
         for batch in batches:
             out: list[tuple] = []
             for row in batch.itertuples(index=False):
-                if frame is not None and row.frame != frame:
-                    out += _rows(frame, tracks)
+                if now is not None and (row.frame, row.part) != now:
+                    out += _rows(now[0], tracks)
                     tracks = []
-                frame = row.frame
-                _absorb(tracks, row, ratio)
+                now = row.frame, row.part
+                _take(tracks, row, ratio)
             yield pd.DataFrame(out, columns=["frame", "id", *BOX, "scores"])
-        if frame is not None:
-            yield pd.DataFrame(_rows(frame, tracks), columns=["frame", "id", *BOX, "scores"])
+        if now is not None:
+            yield pd.DataFrame(_rows(now[0], tracks), columns=["frame", "id", *BOX, "scores"])
 
     schema = f"frame {types['frame']}, id {types['id']}, x double, y double, w double, h double, scores array<double>"
-    return sorted_frames.mapInPandas(run, schema)
+    return walked.mapInPandas(run, schema)
 
 
 def _rows(frame, tracks: list[dict]) -> list[tuple]:
     return [(frame, t["id"], *t["box"], list(t["scores"])) for t in tracks]
 
 
-def _absorb(tracks: list[dict], row, ratio: float) -> None:
-    """Add one detection to the tracks of its frame."""
-    box, scores = (row.x, row.y, row.w, row.h), [float(s) for s in row.scores]
-    top = max(scores)
-    for t in list(tracks):
-        if _overlap(box, t["box"]) <= ratio:
-            continue
-        both = [a + b for a, b in zip(scores, t["scores"])]
-        if top <= max(t["scores"]):
-            t["scores"] = both
-            return
-        tracks.remove(t)
-        scores = both
-    tracks.append({"id": row.id, "box": box, "scores": scores})
+def _take(tracks: list[dict], row, ratio: float) -> None:
+    """Add one detection to the tracks it may meet.
+
+    It goes into the first overlapping track whose best score is no less than its own; the overlapping tracks
+    before that one, or all where there is none, end in it.
+    """
+    box, own = (row.x, row.y, row.w, row.h), [float(s) for s in row.scores]
+    near = [t for t in tracks if _overlap(box, t["box"]) > ratio]
+    better = next((i for i, t in enumerate(near) if max(t["scores"]) >= max(own)), len(near))
+    total = own
+    for t in near[: better + 1]:
+        total = [a + b for a, b in zip(total, t["scores"])]
+    ended = {id(t) for t in near[:better]}
+    if ended:
+        tracks[:] = [t for t in tracks if id(t) not in ended]
+    if better < len(near):
+        near[better]["scores"] = total
+    else:
+        tracks.append({"id": row.id, "box": box, "scores": total})
 
 
 def _overlap(a, b) -> float:

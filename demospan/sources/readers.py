@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import gzip
 import json
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from pathlib import Path
 
 import numpy as np
@@ -17,6 +17,10 @@ from ..functions import vocab as V
 from ..plans.rollouts import labelled_sample
 
 
+#: where a JSON reader puts what it cannot read
+BROKEN = "_broken"
+
+
 def resolve_snapshot(cache: str) -> str:
     """Folder of a cached dataset: the snapshot its ``main`` ref names, else the newest complete one.
 
@@ -60,12 +64,24 @@ def _episode_of_path(path: Column) -> Column:
     return F.regexp_extract(path, "episode_(\\d+)\\.[a-z0-9]+$", 1).cast("bigint")
 
 
-def read_frames(spark: SparkSession, root: str, columns: list[str] | None = None) -> DataFrame:
+def episode_paths(root: str, episodes: Iterable[int], chunks_size: int = 1000, suffix: str = "parquet") -> list[str]:
+    """The files of the given episodes, a pattern for each chunk; nothing is listed to find them."""
+    chunks: dict[int, list[str]] = {}
+    for e in sorted(set(episodes)):
+        chunks.setdefault(e // chunks_size, []).append(f"{e:06d}")
+    return [f"{root}/data/chunk-{c:03d}/episode_{{{','.join(some)}}}.{suffix}" for c, some in chunks.items()]
+
+
+def read_frames(
+    spark: SparkSession, root: str, columns: list[str] | None = None, episodes: Iterable[int] | None = None, chunks_size: int = 1000
+) -> DataFrame:
     """Per-episode Parquet files as one frame table keyed by (episode, step).
 
-    The rows of one file keep their order through the file's own row index.
+    The rows of one file keep their order through the file's own row index. Where ``episodes`` are given, only
+    their files are looked for, by their chunk numbers; without them all files below are listed.
     """
-    df = spark.read.option("recursiveFileLookup", "true").parquet(f"{root}/data")
+    paths = [f"{root}/data"] if episodes is None else episode_paths(root, episodes, chunks_size)
+    df = spark.read.option("recursiveFileLookup", "true").parquet(*paths)
     path = F.col("_metadata.file_path")
     keep = columns or df.columns
     return df.select(
@@ -83,16 +99,34 @@ def chunk_path(episode: Column, chunks_size: int = 1000, suffix: str = "parquet"
     )
 
 
+def _checked(rows: DataFrame, schema: str, text: str = "value") -> tuple[DataFrame, DataFrame]:
+    """``rows`` with the parsed object as ``_e``, and dead letters: the other columns, a reason and the text.
+
+    A text that is no JSON object, or in which a field has another type than the schema gives it, is a letter.
+    """
+    parsed = F.from_json(text, f"{schema}, {BROKEN} string", {"columnNameOfCorruptRecord": BROKEN})
+    judged = rows.withColumn("_e", F.when(F.ltrim(text).startswith("{"), parsed))
+    reason = F.when(F.col("_e").isNull(), "not_an_object").when(F.col(f"_e.{BROKEN}").isNotNull(), "unreadable")
+    judged = judged.withColumn("reason", reason)
+    good = judged.filter("reason IS NULL").withColumn("_e", F.col("_e").dropFields(BROKEN)).drop("reason", text)
+    return good, judged.filter("reason IS NOT NULL").drop("_e")
+
+
+def read_annotations_checked(spark: SparkSession, folder: str) -> tuple[DataFrame, DataFrame]:
+    """Annotation shards of a folder, files named episode_ and six digits with one object each, in two tables.
+
+    The rows of readable shards with their ``source``; and a dead letter (source, value, reason) for any other,
+    so that a broken shard neither stops the job nor becomes a row of nulls.
+    """
+    files = spark.read.option("pathGlobFilter", "episode_*.json").text(folder, wholetext=True)
+    named = files.filter(F.col("_metadata.file_name").rlike("^episode_\\d{6}\\.json$"))
+    good, letters = _checked(named.select(F.col("_metadata.file_path").alias("source"), "value"), schemas.ANNOTATION)
+    return good.select("_e.*", "source"), letters
+
+
 def read_annotations(spark: SparkSession, folder: str) -> DataFrame:
-    """Annotation shards of a folder: files named episode_ and six digits, one object each."""
-    df = (
-        spark.read.schema(schemas.ANNOTATION)
-        .option("multiLine", "true")
-        .option("pathGlobFilter", "episode_*.json")
-        .json(folder)
-    )
-    name = F.col("_metadata.file_name")
-    return df.withColumn("source", F.col("_metadata.file_path")).filter(name.rlike("^episode_\\d{6}\\.json$"))
+    """The readable annotation shards of a folder."""
+    return read_annotations_checked(spark, folder)[0]
 
 
 def document_entries(documents: DataFrame, text: str = "value") -> DataFrame:
@@ -105,26 +139,53 @@ def is_index(key: Column) -> Column:
     return key.rlike("^\\d+$")
 
 
-def read_combined(spark: SparkSession, path: str, schema: str = schemas.ANNOTATION) -> tuple[DataFrame, DataFrame]:
-    """(episode rows, header rows) of combined files or single-episode files.
+def combined_parts(files: DataFrame, schema: str = schemas.ANNOTATION) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Documents (source, value) as episode rows, header entries and dead letters (source, key, value, reason).
 
-    A numeric key supplies a missing episode_index. Every file is read whole by one task, as a JSON
-    object must be; large collections belong in shards or Parquet.
+    A document is one episode or an object of episodes by number; a number supplies a missing episode_index.
     """
-    files = spark.read.option("wholetext", "true").text(path).select(F.col("_metadata.file_path").alias("source"), "value")
     single = F.get_json_object("value", "$.episode_index").isNotNull() & F.get_json_object("value", "$.segments").isNotNull()
-    one = files.filter(single).select("source", F.from_json("value", schema).alias("_e"), F.lit(None).cast("bigint").alias("_k"))
-    entries = document_entries(files.filter(~single))
-    many = entries.filter(is_index(F.col("key"))).select(
-        "source", F.from_json("value", schema).alias("_e"), F.col("key").cast("bigint").alias("_k")
-    )
-    rows = one.unionByName(many).filter(F.col("_e").isNotNull()).select("source", "_k", "_e.*")
+    single = F.coalesce(single, F.lit(False))
+    no_key = F.lit(None).cast("string").alias("key")
+    one = files.filter(single).select("source", no_key, "value")
+    read = F.from_json("value", "map<string,string>")
+    lost = files.filter(~single & (read.isNull() | ~F.ltrim("value").startswith("{"))).select("source", no_key, "value", F.lit("not_an_object").alias("reason"))
+    entries = document_entries(files.filter(~single & F.ltrim("value").startswith("{"))).select("source", "key", "value")
+    good, letters = _checked(one.unionByName(entries.filter(is_index(F.col("key")))), schema)
+    rows = good.select("source", F.col("key").try_cast("bigint").alias("_k"), "_e.*")
     return (
         rows.withColumn("episode_index", F.coalesce("episode_index", "_k")).drop("_k"),
         entries.filter(~is_index(F.col("key"))),
+        letters.unionByName(lost),
     )
 
 
+def read_combined_checked(spark: SparkSession, path: str, schema: str = schemas.ANNOTATION) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(episode rows, header rows, dead letters) of combined files or single-episode files.
+
+    Every file is read whole by one task, as a JSON object must be; a collection that is too large for that
+    lies in part files, which ``read_document_parts`` reads.
+    """
+    files = spark.read.text(path, wholetext=True).select(F.col("_metadata.file_path").alias("source"), "value")
+    return combined_parts(files, schema)
+
+
+def read_combined(spark: SparkSession, path: str, schema: str = schemas.ANNOTATION) -> tuple[DataFrame, DataFrame]:
+    """(episode rows, header rows) of combined files or single-episode files."""
+    return read_combined_checked(spark, path, schema)[:2]
+
+
+def read_document_parts(spark: SparkSession, folder: str, schema: str = schemas.ANNOTATION) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """The same of one document in part files with an entry a line, as ``sinks.write_document`` leaves it.
+
+    Lines are read apart, so the document may be of any size.
+    """
+    lines = spark.read.text(folder).select(F.col("_metadata.file_path").alias("source"), F.trim("value").alias("value"))
+    body = F.regexp_replace(F.regexp_replace("value", "^,", ""), "^\\{", "")
+    inner = lines.withColumn("value", F.when(F.col("value") == "}", "").otherwise(body)).filter("value != ''")
+    return combined_parts(inner.withColumn("value", F.concat(F.lit("{"), "value", F.lit("}"))), schema)
+
+
 def read_target_lists(spark: SparkSession, folder: str) -> DataFrame:
     """(episode, position, target, listed) from gzip lists whose names end in .zip.
 
@@ -149,7 +210,7 @@ def read_target_lists(spark: SparkSession, folder: str) -> DataFrame:
 def read_latents(spark: SparkSession, folder: str) -> DataFrame:
     """(episode, step, embedding, shape) from raw blocks with a JSON sidecar of dtype and shape."""
     blobs = spark.read.format("binaryFile").option("pathGlobFilter", "*.bin.gz").load(folder)
-    sides = spark.read.option("wholetext", "true").option("pathGlobFilter", "*.json").text(folder)
+    sides = spark.read.option("pathGlobFilter", "*.json").text(folder, wholetext=True)
     stem = lambda c, ending: F.regexp_extract(c, f"([^/]+)\\.{ending}$", 1)
     b = blobs.select(stem(F.col("path"), "bin\\.gz").alias("name"), "content")
     s = sides.select(

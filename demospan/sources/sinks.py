@@ -2,21 +2,41 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, functions as F
+from pyspark.errors import AnalysisException
+from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
 
-BUCKET = 10_000
+from ..session import cut_lineage
 
+BUCKETS = 1024
 
-def write_annotations(df: DataFrame, path: str, key: str = "episode_index") -> None:
-    """JSON rows by episode bucket and episode; an episode written again replaces its earlier rows.
 
-    Only the episodes of ``df`` are touched; a commit publishes all of a job's files or none.
+def _written(spark: SparkSession, path: str, schema: T.StructType, buckets: list[int]) -> DataFrame | None:
+    """The rows that lie in some buckets, or None where nothing was written yet."""
+    try:
+        there = spark.read.schema(T.StructType([*schema.fields, T.StructField("episode_bucket", T.LongType())])).json(path)
+    except AnalysisException as e:
+        if e.getCondition() != "PATH_NOT_FOUND":
+            raise
+        return None
+    return there.filter(F.col("episode_bucket").isin(buckets))
+
+
+def write_annotations(df: DataFrame, path: str, key: str = "episode_index", buckets: int = BUCKETS) -> None:
+    """JSON rows in buckets of episodes, a file each; an episode written again replaces its earlier rows.
+
+    Only the buckets that ``df`` touches are read and written anew, with the rows of their other episodes; a commit
+    publishes all of a job's files or none. A folder keeps the number of buckets it was begun with, and has one
+    writer at a time. Rows without a key replace each other too.
     """
-    rows = df.withColumns({"episode_bucket": F.floor(F.col(key) / BUCKET), "episode": F.col(key)})
-    # the rows of an episode go to one file, however many tasks made them
-    rows.repartition("episode_bucket", "episode").write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(
-        "episode_bucket", "episode"
-    ).json(path)
+    spark = df.sparkSession
+    rows = df.withColumn("episode_bucket", F.pmod(F.xxhash64(key), F.lit(buckets)).cast("bigint"))
+    touched = [r[0] for r in rows.select("episode_bucket").distinct().collect()]  # at most ``buckets``
+    old = _written(spark, path, df.schema, touched)
+    if old is not None:
+        again = rows.select(F.col(key).alias("_again")).distinct()
+        kept = old.join(again, old[key].eqNullSafe(again["_again"]), "left_anti")
+        rows = cut_lineage(rows.unionByName(kept))  # read before the files are replaced
+    rows.repartition("episode_bucket").write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("episode_bucket").json(path)
 
 
 def document_rows(df: DataFrame, key: str = "episode_index") -> DataFrame:
