@@ -9,6 +9,7 @@ from demospan.operators import frames as FR
 from demospan.operators.aggregates import bounds_aggregates, element_stats, token_mean
 from demospan.operators.joins import first_in_priority
 from demospan.operators.ordered import Ordered
+from demospan.operators.sampling import flat_vectors
 from demospan.plans.traces import FLIP, MATRIX, gate, prepare_cameras, project_points, replay_check, trace_stats
 from demospan.plans.training import normalisation_stats, training_frames
 
@@ -308,6 +309,14 @@ def exact_percentiles(t: Tables):
   SELECT episode, step, 'not_rising' AS rule FROM o WHERE step + event_id % 2 <= p UNION ALL SELECT episode, step, 'first_not_contact' FROM o WHERE p IS NULL AND event_id % 2 <> 0""")
 def trace_frame_order(t: Tables):
     o = t.frames
-    o = o.with_df(o.df.withColumn("frame_index", F.col("step") + F.col("event_id") % 2)).scan(previous={"p": F.col("frame_index"), "seen": F.lit(1)})
-    rule = F.when(F.col("seen").isNull() & (F.col("frame_index") != 0), "first_not_contact").when(F.col("frame_index") <= F.col("p"), "not_rising")
-    return o.rows().select("episode", "step", rule.alias("rule")).filter(F.col("rule").isNotNull())
+    o = o.with_df(o.df.withColumn("frame_index", F.col("step") + F.col("event_id") % 2))
+    return FR.order_problems(o, "frame_index", F.lit(0)).select("episode", "step", "rule")
+
+
+@query("""SELECT event_id, 112 AS numbers, 96 AS kept, floor((value + 13.0 * 1000 + 4) * 1e3 + 0.5001) / 1e3 AS last FROM events""")
+def flat_chunks(t: Tables):
+    """Action chunks of 16 steps and 7 dimensions as one vector, of which the first 96 numbers are used."""
+    step = lambda i: F.transform(F.sequence(F.lit(0), F.lit(6)), lambda j: F.col("value") + i * 1000.0 + j)
+    e = t.events.select("event_id", F.transform(F.sequence(F.lit(0), F.lit(15)), step).alias("action_chunk"))
+    v = flat_vectors(e, "action_chunk", 96)
+    return v.join(e, "event_id").select("event_id", F.size(F.flatten("action_chunk")).alias("numbers"), F.size("vector").alias("kept"), near(F.element_at("vector", -1), 3).alias("last"))

@@ -350,6 +350,57 @@ def diff_texts(t: Tables):
     return CT.diff(s, new, ["episode"])
 
 
+@query("""SELECT p_partkey AS episode, CASE WHEN p_size % 3 = 0 THEN 'p_name' ELSE 'weight' END AS field, 'changed' AS rule FROM part WHERE p_size % 11 <> 0 AND p_size % 7 <> 0 AND p_size % 3 < 2
+  UNION ALL SELECT p_partkey, 'tags', 'changed' FROM part WHERE p_size % 11 <> 0 AND p_size % 7 <> 0""")
+def untranslated_fields(t: Tables):
+    """Names and weights changed by a conversion, and a column that it lost; other fields stay."""
+    s = cot_segments(t).withColumns({"weight": F.col("p_size") * 0.5, "tags": F.array("p_name")})
+    new, _ = CT.repair(s, ["episode"])
+    third = F.col("p_size") % 3
+    new = new.withColumns({"p_name": F.when(third == 0, F.lit(None).cast("string")).otherwise(F.col("p_name")), "weight": F.when(third == 1, F.col("weight") + 1).otherwise(F.col("weight"))})
+    return CT.diff(s, new.drop("tags"), ["episode"]).filter(F.col("field").isin("p_name", "weight", "tags", "start_step", "end_step", "p_size"))
+
+
+@query("""SELECT p_partkey AS episode_index, CASE p_size % 5 WHEN 1 THEN 'bad_numbering' WHEN 2 THEN 'no_plan' WHEN 3 THEN 'empty_plan' WHEN 4 THEN 'unknown_verb' END AS rule, CASE WHEN p_size % 5 = 0 THEN 2 ELSE 0 END AS parts FROM part""")
+def training_violations(t: Tables):
+    """Training texts of sound plans, and a row for every plan that does not parse."""
+    kind, opened = F.col("p_size") % 5, F.concat(F.lit("OPEN("), "p_name", F.lit(")"))
+    plan = F.when(kind == 0, F.concat(F.lit("1. "), opened)).when(kind == 1, F.concat(F.lit("2. "), opened)).when(kind == 3, "Plan: ").when(kind == 4, F.concat(F.lit("1. FLY("), "p_name", F.lit(")")))
+    segment = F.struct(F.lit(0).cast("bigint").alias("start_step"), F.lit(40).cast("bigint").alias("end_step"), opened.alias("skill"))
+    a = t.part.select(F.col("p_partkey").alias("episode_index"), F.lit("i").alias("instruction"), plan.alias("plan"), F.array(segment).alias("segments"))
+    parts, wrong = CO.training(a, "libero")
+    made = parts.filter("content IS NOT NULL").groupBy("episode_index").agg(F.count("*").cast("int").alias("parts"))
+    return a.select("episode_index").join(wrong, "episode_index", "left").join(made, "episode_index", "left").select("episode_index", "rule", F.coalesce("parts", F.lit(0)).alias("parts"))
+
+
+@query("""SELECT p_partkey AS episode_index, CASE WHEN p_size % 4 = 1 THEN 'no_frame' WHEN p_size % 4 = 2 THEN 'plan_not_equal_steps' END AS reason,
+  CASE WHEN p_size % 4 IN (0, 3) THEN CAST(p_size AS DOUBLE) + 9 END AS x, CASE WHEN p_size % 4 IN (0, 3) THEN 10 END AS fps FROM part""")
+def annotation_rows_with_states(t: Tables):
+    """Annotations whose segments carry the state and action of their last frame; answers without a frame or with another plan are reasons."""
+    kind = F.col("p_size") % 4
+    e = t.part.select(F.col("p_partkey").alias("episode_index"), F.lit(1).cast("bigint").alias("task_index"), F.lit("t").alias("task_name"), F.lit("raw").alias("raw_instruction"), F.col("p_name").alias("instruction"), F.lit(10).cast("bigint").alias("length"), "p_size")
+    opened = "OPEN(drawer)"
+    answer = F.to_json(F.struct(F.when(kind == 2, "1. CLOSE(drawer)").otherwise(f"1. {opened}").alias("plan"), F.array(F.struct(F.lit(opened).alias("skill"), F.lit(10).alias("end_step"))).alias("steps")))
+    answers = e.select("episode_index", answer.alias("response"))
+    frames = e.filter(kind != 1).select("episode_index", F.explode(F.sequence(F.lit(0), F.lit(9))).alias("step"), "p_size")
+    frames = frames.select("episode_index", F.col("step").cast("bigint").alias("step"), F.array((F.col("p_size") + F.col("step")).cast("double")).alias("state"), F.array(F.lit(0.0)).alias("action"))
+    rows, wrong = AN.annotation_rows_with_frames(e.drop("p_size"), answers, frames, "libero", "m", "v1")
+    good = rows.select("episode_index", F.lit(None).cast("string").alias("reason"), F.get("segments", F.lit(0))["state"][0].alias("x"), F.col("fps").cast("int").alias("fps"))
+    return good.union(wrong.select("episode_index", "reason", F.lit(None).cast("double"), F.lit(None).cast("int")))
+
+
+@query("""SELECT o_orderkey AS episode_index, o_custkey AS task_index, CASE WHEN o_custkey % 3 > 0 THEN 1 END AS entries, 'agentview' AS image_key, 224 AS image_width, CASE WHEN o_custkey % 3 = 0 THEN 'no_traces' END AS reason FROM orders""")
+def trace_annotation_rows(t: Tables):
+    """Skill episodes with their trace entries and the settings of the run; an episode without entries is a reason."""
+    o = t.orders.select(F.col("o_orderkey").alias("episode_index"), F.col("o_custkey").alias("task_index"), F.lit("i").alias("instruction"), F.lit(5).cast("bigint").alias("num_steps"), F.lit(None).cast("bigint").alias("fps"), F.lit("1. OPEN(x)").alias("plan"), F.array(F.struct(F.lit(0).cast("bigint").alias("start_step"), F.lit(5).cast("bigint").alias("end_step"), F.lit("OPEN(x)").alias("skill"))).alias("segments"))
+    entry = F.from_json(F.to_json(F.struct(F.lit(0).alias("skill_index"), F.lit("OPEN(x)").alias("skill"), F.lit(0).alias("start_step"), F.lit(5).alias("end_step"))), schemas.TRACE_ENTRY)
+    entries = o.filter("task_index % 3 > 0").select("episode_index", F.lit(0).alias("seg_index"), entry.alias("entry"))
+    rows, wrong = AN.trace_annotation_rows(o, entries, {"image_key": "agentview", "image_width": 224, "image_height": 224, "semantic_target_enabled": True}, "m", "v1")
+    good = rows.filter("fps = 10").select("episode_index", "task_index", F.size("target_traces").alias("entries"), "image_key", F.col("image_width").cast("int").alias("image_width"), F.lit(None).cast("string").alias("reason"))
+    gone = wrong.join(o, "episode_index").select("episode_index", "task_index", F.lit(None).cast("int"), F.lit("agentview"), F.lit(224), "reason")
+    return good.union(gone)
+
+
 # --- files, latents, probe -----------------------------------------------------------------------------------------
 
 

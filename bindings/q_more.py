@@ -117,9 +117,51 @@ def read_rollout_files(t: Tables):
     files = t.orders.groupBy("o_custkey").agg(F.collect_list(run).alias("completed_episodes"))
     suite = F.when(F.col("o_custkey") % 4 > 0, "own").otherwise("other")
     files.select(suite.alias("task_suite"), F.lit("m").alias("model_name"), "completed_episodes").write.json(path)
-    # Spark writes a line per file's object; the reader takes each part file as one multi-line object
-    one = t.spark.read.schema("task_suite string, model_name string, completed_episodes array<struct<task_id:bigint,episode_idx:bigint,success:boolean>>").json(path)
-    return one.filter(F.col("task_suite") == "own").select(F.explode("completed_episodes").alias("e")).select("e.episode_idx", "e.task_id", "e.success")
+    rows, _ = R.read_rollouts(t.spark, path, "own")
+    return rows.select("episode_idx", "task_id", "success")
+
+
+@query("""SELECT o_custkey % 100 AS episode, count(*) OVER (PARTITION BY o_custkey % 100) AS listed, row_number() OVER (PARTITION BY o_custkey % 100 ORDER BY o_orderkey) - 1 AS position,
+  CASE WHEN o_orderstatus <> 'P' THEN CAST(o_orderkey AS VARCHAR) END AS id, CASE WHEN o_orderstatus = 'F' THEN o_totalprice END AS x FROM orders WHERE o_custkey % 100 < 40""")
+def target_lists_round_trip(t: Tables):
+    """Orders as targets, some null, some without a point, in a gzip list per episode; a filter on episodes opens their files only."""
+    path = folder(t)
+    point = F.when(F.col("o_orderstatus") == "F", F.array("o_totalprice", F.lit(0.0)))
+    target = F.struct(F.lit("movable").alias("type"), F.col("o_orderkey").cast("string").alias("id"), F.lit("é").alias("appearance"), F.lit(None).cast("string").alias("location"), point.alias("image_point"))
+    rows = t.orders.select((F.col("o_custkey") % 100).alias("episode"), F.col("o_orderkey").alias("seg_index"), F.when(F.col("o_orderstatus") != "P", target).alias("target"))
+    W.write_targets(rows, path)
+    back = R.read_target_lists(t.spark, path).filter(F.col("episode").isin(list(range(40))))
+    return back.select("episode", "listed", "position", "target.id", F.get("target.image_point", F.lit(0)).alias("x"))
+
+
+@query("""SELECT label AS episode, row_number() OVER (PARTITION BY label ORDER BY vec_id) - 1 AS step, CAST(embedding[1] AS DOUBLE) AS first, CAST(embedding[len(embedding)] AS DOUBLE) AS last, CAST(len(embedding) AS INTEGER) AS n FROM embeddings""")
+def latent_blocks_round_trip(t: Tables):
+    """Embeddings as latents of their label's episode, in a compressed block each, read back in order."""
+    path = folder(t)
+    e = t.embeddings.select(F.col("label").alias("episode"), F.col("vec_id").alias("step"), F.col("embedding"), F.array(F.size("embedding")).alias("shape"))
+    W.write_latent_blocks(e, path)
+    v = F.col("embedding")
+    return R.read_latents(t.spark, path).select("episode", "step", v[0].cast("double").alias("first"), F.element_at(v, -1).cast("double").alias("last"), F.get("shape", F.lit(0)).alias("n"))
+
+
+@query("""SELECT p_partkey, CASE p_size % 4 WHEN 0 THEN p_type WHEN 1 THEN p_name END AS target, CASE p_size % 4 WHEN 3 THEN NULL ELSE p_name END AS contact FROM part""")
+def grounded_targets(t: Tables):
+    """Object and destination of grounded actions: put down, pick up, put down without a destination, unknown."""
+    kind = F.col("p_size") % 4
+    name = F.when(kind == 0, "place_on").when(kind == 1, "pickup_from").when(kind == 2, "place_in").otherwise("wave")
+    p = F.when(kind == 2, F.array("p_name", F.lit("robot"))).otherwise(F.array("p_name", F.lit("robot"), "p_type"))
+    g = X.grounded_target_objects(name, p)
+    return t.part.select("p_partkey", g["target"].alias("target"), g["contact"].alias("contact"))
+
+
+@query("""SELECT p_partkey, CASE p_size % 4 WHEN 0 THEN 2 WHEN 1 THEN 1 WHEN 2 THEN 0 END AS skills, CASE p_size % 4 WHEN 2 THEN 'no_known_skill' WHEN 3 THEN 'no_plan' END AS reason FROM part""")
+def plan_answers(t: Tables):
+    """Answers that hold a plan alone: two skills, one of two known, none known, no plan."""
+    kind = F.col("p_size") % 4
+    one, two, other = (F.concat(F.lit(v + "("), "p_name", F.lit(")")) for v in ("OPEN", "CLOSE", "FLY"))
+    plan = F.when(kind == 0, F.concat(F.lit("1. "), one, F.lit(" 2. "), two)).when(kind == 1, F.concat(F.lit("1. "), one, F.lit(" 2. "), other)).when(kind == 2, F.concat(F.lit("1. "), other))
+    a = AN.plan_answer(F.to_json(F.struct(plan.alias("plan"))), "libero")
+    return t.part.select("p_partkey", F.nullif(F.coalesce(F.size(a["skills"]), F.lit(-1)), F.when(kind == 3, F.coalesce(F.size(a["skills"]), F.lit(-1)))).alias("skills"), a["reason"].alias("reason"))
 
 
 # --- single values -------------------------------------------------------------------------------------
@@ -157,10 +199,10 @@ def grounded_actions(t: Tables):
     return t.part.select("p_partkey", a["name"].alias("name"), F.array_join(a["parameters"], ",").alias("parameters"))
 
 
-@query("""SELECT n_nationkey, '(:objects' || chr(10) || '  ' || n_name || ' - nation' || chr(10) || ')' || chr(10) || '(:state' || chr(10) || '  in(' || n_name || ')' || chr(10) || '  key(' || n_nationkey || ')' || chr(10) || ')' AS state FROM nation""")
+@query("""SELECT p_partkey, '(:objects' || chr(10) || '  ' || p_name || ' - part' || chr(10) || ')' || chr(10) || '(:state' || chr(10) || '  in(' || p_name || ')' || chr(10) || '  key(' || p_partkey || ')' || chr(10) || ')' AS state FROM part""")
 def state_texts(t: Tables):
-    facts = F.array(F.concat(F.lit("key("), F.col("n_nationkey").cast("string"), F.lit(")")), F.concat(F.lit("in("), "n_name", F.lit(")")))
-    return t.nation.select("n_nationkey", X.state_text(F.array(F.concat("n_name", F.lit(" - nation"))), facts).alias("state"))
+    facts = F.array(F.concat(F.lit("key("), F.col("p_partkey").cast("string"), F.lit(")")), F.concat(F.lit("in("), "p_name", F.lit(")")))
+    return t.part.select("p_partkey", X.state_text(F.array(F.concat("p_name", F.lit(" - part"))), facts).alias("state"))
 
 
 @query("SELECT p_partkey, 'Plan: ' || p_name || ' Current step: ' || p_size || '. ' || p_type AS prompt FROM part")
@@ -196,13 +238,12 @@ def image_streams(t: Tables):
     return t.part.select("p_partkey", stream.alias("stream"), R.camera_of_stream(pick(["image", "wrist_image", "depth"])).alias("camera"))
 
 
-@query("SELECT n_nationkey, lower(n_name) AS object_id, 'nation' AS type, 'large' AS appearance, 'region ' || n_regionkey AS location FROM nation")
+@query("SELECT p_partkey, replace(lower(p_name), ' ', '_') AS object_id, replace(lower(p_type), ' ', '_') AS type, p_brand AS appearance, 'size ' || p_size AS location FROM part WHERE p_size % 5 > 0")
 def scene_object_rows(t: Tables):
-    line = F.concat(F.lit("("), F.lower("n_name"), F.lit(" - nation) ; large | region "), F.col("n_regionkey").cast("string"))
-    lines = t.nation.filter(~F.col("n_name").contains(" ")).select("n_nationkey", line.alias("value"))
-    spaced = t.nation.filter(F.col("n_name").contains(" ")).select("n_nationkey", F.lower("n_name").alias("id"), "n_regionkey")
-    named = R.scene_objects(lines)
-    return named.unionByName(spaced.select("n_nationkey", F.col("id").alias("object_id"), F.lit("nation").alias("type"), F.lit("large").alias("appearance"), F.concat(F.lit("region "), F.col("n_regionkey").cast("string")).alias("location")))
+    """Parts as object lines, some of which are facts and no objects."""
+    name = lambda c: F.replace(F.lower(c), F.lit(" "), F.lit("_"))
+    line = F.concat(F.lit("("), name("p_name"), F.when(F.col("p_size") % 5 > 0, F.lit(" - ")).otherwise(" on "), name("p_type"), F.lit(") ; "), "p_brand", F.lit(" | size "), "p_size")
+    return R.scene_objects(t.part.select("p_partkey", line.alias("value"))).select("p_partkey", "object_id", "type", "appearance", "location")
 
 
 # --- selections ----------------------------------------------------------------------------------------
@@ -285,11 +326,11 @@ def uncalibrated_cameras(t: Tables):
     return TR.uncalibrated(frames, t.supplier.filter("s_suppkey > 3").select(F.col("s_suppkey").alias("camera")))
 
 
-@query("""WITH c AS (SELECT n_nationkey AS episode, n_name, n_nationkey % 3 AS k FROM nation)
+@query("""WITH c AS (SELECT p_partkey AS episode, p_name AS n_name, p_partkey % 3 AS k FROM part)
   SELECT episode, 'PICKUP_FROM' AS verb, n_name || ',table' AS arguments FROM c WHERE k = 0 UNION ALL SELECT episode, 'OPEN', 'drawer' FROM c WHERE k < 2 UNION ALL SELECT episode, 'PLACE_ON', n_name || ',table' FROM c WHERE k = 2""")
 def available_next_actions(t: Tables):
     """Which of three actions could come next: the thing on the table, or in the hand, and a drawer that opens or does not."""
-    n = t.nation.select(F.col("n_nationkey").cast("bigint").alias("episode"), "n_name", (F.col("n_nationkey") % 3).alias("k"))
+    n = t.part.select(F.col("p_partkey").cast("bigint").alias("episode"), F.col("p_name").alias("n_name"), (F.col("p_partkey") % 3).alias("k"))
 
     def fact(name, first="", second="", when=F.lit(True)):
         lit = lambda v: v if isinstance(v, F.Column) else F.lit(v)

@@ -14,8 +14,11 @@ from .registry import query
 from .tables import Tables, near
 
 
-def drained(t: Tables, stream: DataFrame, mode: str, state_store: str | None = None) -> DataFrame:
-    """Run a stream over all present files; its output lands in the shared folder."""
+def drained(t: Tables, stream: DataFrame, mode: str, state_store: str | None = None, then=None) -> DataFrame:
+    """Run a stream over all present files; its output lands in the shared folder.
+
+    ``then`` adds to the source, and the stream runs on from its checkpoint.
+    """
     path = f"{shared_folder(t.spark)}/stream-{uuid.uuid4().hex}"
     key = "spark.sql.streaming.stateStore.providerClass"
     before = t.spark.conf.get(key)
@@ -25,19 +28,20 @@ def drained(t: Tables, stream: DataFrame, mode: str, state_store: str | None = N
 
     try:
         t.spark.conf.set(key, state_store or before)
-        q = (
-            stream.writeStream.outputMode(mode)
-            .option("checkpointLocation", f"{path}/check")
-            .foreachBatch(save)
-            .trigger(availableNow=True)
-            .start()
-        )
-        q.awaitTermination()
+        run(stream, f"{path}/check", mode, save)
+        if then:
+            then()
+            run(stream, f"{path}/check", mode, save)
     finally:
         t.spark.conf.set(key, before)
     return t.spark.read.parquet(f"{path}/out")
 
 
+def run(stream: DataFrame, checkpoint: str, mode: str, save) -> None:
+    q = stream.writeStream.outputMode(mode).option("checkpointLocation", checkpoint).foreachBatch(save).trigger(availableNow=True).start()
+    q.awaitTermination()
+
+
 def table_stream(t: Tables, name: str) -> DataFrame:
     """The table as a stream of its files, whether it is one file or a folder of them."""
     return t.spark.readStream.schema(getattr(t, name).schema).parquet(f"{t.sf_dir}/{name}.parquet*")
@@ -53,36 +57,38 @@ def running_success_stream(t: Tables):
   w AS (SELECT episode, i, step, ts, skill, least(greatest(0, CASE WHEN high THEN 1 ELSE 0 END), 1) AS streak, 0 AS skill_index, 0 AS done FROM f WHERE i = 1
     UNION ALL SELECT f.episode, f.i, f.step, f.ts, f.skill, CASE WHEN NOT f.high THEN 0 WHEN w.streak + 1 >= 2 AND w.skill_index < 4 THEN 0 ELSE w.streak + 1 END,
       w.skill_index + CASE WHEN f.high AND w.streak + 1 >= 2 AND w.skill_index < 4 THEN 1 ELSE 0 END, least(5, w.done + CASE WHEN f.skill <> w.skill THEN 1 ELSE 0 END) FROM w JOIN f ON f.episode = w.episode AND f.i = w.i + 1)
-  SELECT episode, step, CAST(skill_index AS INTEGER) AS skill_index, CAST(done AS INTEGER) AS done, CAST(streak AS BIGINT) AS streak FROM w
-  WHERE epoch_us(ts) // 1000 + 1 <= (SELECT epoch_us(max(ts)) // 1000 FROM events) - 3600000""")
+  SELECT episode, step, CAST(skill_index AS INTEGER) AS skill_index, CAST(done AS INTEGER) AS done, CAST(streak AS BIGINT) AS streak FROM w""")
 def tracked_skills_stream(t: Tables):
-    """Skill index, done skills and streak of every step that the watermark, an hour behind the last event, has passed."""
-    s = table_stream(t, "events").select(
-        F.col("user_id").alias("episode"), F.col("event_id").alias("step"), F.col("ts").cast("timestamp").alias("ts"),
-        F.col("event_type").alias("skill"), (F.col("value") / 100).alias("progress"))
-    out = drained(t, S.track_skills(s, plan_size=5, timeout="60 days", lateness="1 hour"), "update", S.ROCKSDB).filter(~F.col("timed_out"))
+    """Skill index, done skills and streak of every step; a marker ends the source, so the last hour is answered too."""
+    out = to_the_end(t, F.col("value") / 100, "60 days").filter(~F.col("timed_out"))
     return out.select("episode", "step", "skill_index", "done", "streak")
 
 
+def to_the_end(t: Tables, progress, timeout: str) -> DataFrame:
+    as_steps = lambda df: df.select(
+        F.col("user_id").alias("episode"), F.col("event_id").alias("step"), F.col("ts").cast("timestamp").alias("ts"),
+        F.col("event_type").alias("skill"), progress.alias("progress"))
+    folder = f"{shared_folder(t.spark)}/end-{uuid.uuid4().hex}"
+    s = S.with_end(as_steps(table_stream(t, "events")), folder)
+    tracked = S.track_skills(s, plan_size=5, timeout=timeout, lateness="1 hour")
+    return drained(t, tracked, "update", S.ROCKSDB, then=lambda: S.mark_end(as_steps(t.events), folder, "1 HOUR"))
+
+
 @query("""WITH RECURSIVE f AS (SELECT user_id AS episode, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS i, epoch_us(ts) // 1000 AS ms, event_type AS skill FROM events),
-  m AS (SELECT max(ms) - 3600000 AS mark FROM f),
+  m AS (SELECT max(ms) + 1000 AS mark FROM f),
   w AS (SELECT episode, i, ms, skill, ms AS changed, 0 AS ended FROM f WHERE i = 1 AND ms + 1 <= (SELECT mark FROM m)
     UNION ALL SELECT f.episode, f.i, f.ms, f.skill, CASE WHEN f.ms >= w.changed + 86400000 OR f.skill <> w.skill THEN f.ms ELSE w.changed END, w.ended + CASE WHEN f.ms >= w.changed + 86400000 THEN 1 ELSE 0 END
     FROM w JOIN f ON f.episode = w.episode AND f.i = w.i + 1 AND f.ms + 1 <= (SELECT mark FROM m))
   SELECT episode, CAST(arg_max(ended, i) + CASE WHEN arg_max(changed, i) + 86400000 <= (SELECT mark FROM m) AND max(i) = (SELECT count(*) FROM f g WHERE g.episode = w.episode) THEN 1 ELSE 0 END AS BIGINT) AS timeouts
   FROM w GROUP BY episode""")
 def skill_timeouts_stream(t: Tables):
-    """How often an episode went a day without a new skill: within its steps, or at its end once the watermark is there."""
-    s = table_stream(t, "events").select(
-        F.col("user_id").alias("episode"), F.col("event_id").alias("step"), F.col("ts").cast("timestamp").alias("ts"),
-        F.col("event_type").alias("skill"), F.lit(0.0).alias("progress"))
-    out = drained(t, S.track_skills(s, plan_size=5, timeout="1 day", lateness="1 hour"), "update", S.ROCKSDB)
-    return out.groupBy("episode").agg(F.count_if("timed_out").alias("timeouts"))
+    """How often an episode went a day without a new skill: within its steps, or at its end."""
+    return to_the_end(t, F.lit(0.0), "1 day").groupBy("episode").agg(F.count_if("timed_out").alias("timeouts"))
 
 
 @query("""SELECT o_orderkey AS episode, CASE WHEN o_custkey % 2 = 0 AND o_custkey % 3 > 0 THEN 0 ELSE 1 END AS batch FROM orders""")
 def annotated_once(t: Tables):
-    """Two batches, the second of which holds all of the first: an episode is asked for again only after a failure."""
+    """A stream in two batches, the second of which holds all of the first: an episode is asked for again only after a failure."""
     path = f"{shared_folder(t.spark)}/annotated-{uuid.uuid4().hex}"
     orders = t.orders.select(F.col("o_orderkey").alias("episode"), "o_custkey")
 
@@ -90,9 +96,12 @@ def annotated_once(t: Tables):
         error = F.when((F.col("o_custkey") % 3 == 0) & ~F.lit(second), "refused")
         return lambda df: df.select("episode", F.lit("answer").alias("response"), error.alias("error"), F.lit(1).alias("attempts"))
 
-    S.annotate_new(path, answers(False))(orders.filter(F.col("o_custkey") % 2 == 0), 0)
-    S.annotate_new(path, answers(True))(orders, 1)
-    return t.spark.read.parquet(path).filter(F.col("error").isNull()).select("episode", F.col("batch").cast("int").alias("batch"))
+    orders.filter(F.col("o_custkey") % 2 == 0).write.parquet(f"{path}/in")
+    stream = t.spark.readStream.schema(orders.schema).parquet(f"{path}/in")
+    run(stream, f"{path}/check", "append", S.annotate_new(path, answers(False)))
+    orders.write.mode("append").parquet(f"{path}/in")
+    run(stream, f"{path}/check", "append", S.annotate_new(path, answers(True)))
+    return S.annotated(t.spark, path).filter(F.col("error").isNull()).select("episode", F.col("batch").cast("int").alias("batch"))
 
 
 @query("""SELECT p_partkey AS source, '1' AS key, p_name AS skill FROM part UNION ALL SELECT p_partkey, '12', p_type FROM part""")

@@ -117,6 +117,16 @@ def scene_dropout(episode: Column, step: Column, rate: float = V.SCENE_DROPOUT,
     return draw < rate
 
 
+def order_problems(o: Ordered, frame: str, contact: Column) -> DataFrame:
+    """Rows of a trace whose frame number is not above the one before, or that come first and not at the contact.
+
+    (keys, rule) and all columns of the rows.
+    """
+    o = o.scan(previous={"_before": F.col(frame), "_seen": F.lit(1)})
+    rule = F.when(F.col("_seen").isNull() & ~F.col(frame).eqNullSafe(contact), "first_not_contact").when(F.col(frame) <= F.col("_before"), "not_rising")
+    return o.rows().withColumn("rule", rule).drop("_before", "_seen").filter(F.col("rule").isNotNull())
+
+
 def residual(trace: Column, start: Column, step: Column) -> Column:
     """Part of a segment's trace from ``step`` to its end."""
     at = step - start

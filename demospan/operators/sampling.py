@@ -23,6 +23,13 @@ def sample_rows(df: DataFrame, key: list[str], n: int, seed: int = 42) -> DataFr
     return df.orderBy(draw(*[F.col(k) for k in key], seed=seed), *key).limit(n)
 
 
+def flat_vectors(df: DataFrame, chunk: str, keep: int | None = None) -> DataFrame:
+    """A chunk of vectors as one ``vector``, or the first ``keep`` numbers of it, beside the other columns."""
+    whole = F.flatten(chunk)
+    vector = whole if keep is None else F.slice(whole, 1, keep)
+    return df.withColumn("vector", vector).drop(chunk)
+
+
 def one_per_group(df: DataFrame, group: str, key: list[str], seed: int = 42) -> DataFrame:
     """One row per group drawn by hash, folded where the rows lie."""
     d = draw(F.col(group), *[F.col(k) for k in key], seed=seed)

@@ -408,3 +408,61 @@ def annotation_rows(episodes: DataFrame, answers: DataFrame, dataset: str, model
         F.col("response").alias("raw_model_response"),
     )
     return good, n.filter(F.col("_n.reason").isNotNull()).select("episode_index", F.col("_n.reason").alias("reason"))
+
+
+def annotation_rows_with_frames(
+    episodes: DataFrame, answers: DataFrame, frames: DataFrame, dataset: str, model: str, prompt_version: str
+) -> tuple[DataFrame, DataFrame]:
+    """The same with the state and action of each segment's last frame, for datasets that keep them.
+
+    ``frames``: (episode_index, step, state, action). Columns task_name and raw_instruction of ``episodes`` are
+    kept. An episode with a segment whose last frame is not there has the reason no_frame.
+    """
+    good, wrong = annotation_rows(episodes, answers, dataset, model, prompt_version)
+    named = good.join(episodes.select("episode_index", *[c for c in ("task_name", "raw_instruction") if c in episodes.columns]), "episode_index")
+    ends = named.select("episode_index", F.posexplode("segments").alias("seg_index", "_s")).select(
+        "episode_index", "seg_index", "_s.*", (F.col("_s.end_step") - 1).alias("step")
+    )
+    last = frames.select("episode_index", "step", "state", "action", F.lit(True).alias("_there"))
+    held = ends.join(last, ["episode_index", "step"], "left")
+    # the segments of an answer were one row, and are again
+    whole = held.groupBy("episode_index").agg(
+        F.array_sort(F.collect_list(F.struct("seg_index", "start_step", "end_step", "skill", "state", "action"))).alias("_all"),
+        F.count_if(F.col("_there").isNull()).alias("_missing"),
+    )
+    segments = F.transform("_all", lambda s: s.dropFields("seg_index"))
+    rows = named.drop("segments").join(whole, "episode_index")
+    done = rows.filter("_missing = 0").withColumn("segments", segments).drop("_all", "_missing")
+    return done, wrong.union(rows.filter("_missing > 0").select("episode_index", F.lit("no_frame").alias("reason")))
+
+
+#: a trace annotation has these from its run, absent ones null; the switches are off unless the run says so
+TRACE_SETTINGS = {
+    "image_key": "string", "image_width": "bigint", "image_height": "bigint", "query_image_width": "bigint", "query_image_height": "bigint",
+    "model_coordinate_width": "bigint", "model_coordinate_height": "bigint", "trace_frame_count": "bigint",
+}
+TRACE_SWITCHES = (
+    "semantic_target_enabled", "contact_prediction_enabled", "contact_extraction_enabled", "contact_prediction_only_enabled", "end_effector_trace_enabled",
+)
+
+
+def trace_annotation_rows(
+    annotations: DataFrame, entries: DataFrame, settings: dict, model: str, prompt_version: str, **source: str
+) -> tuple[DataFrame, DataFrame]:
+    """(trace annotation rows, episodes with a reason) from skill episodes and their trace entries.
+
+    ``entries``: (episode_index, seg_index, entry). ``source`` names where the data came from (repository, root,
+    skill annotations). An episode without entries has the reason no_traces.
+    """
+    listed = entries.groupBy("episode_index").agg(F.sort_array(F.collect_list(F.struct("seg_index", "entry"))).alias("_l"))
+    j = annotations.join(listed, "episode_index", "left")
+    fields = [F.lit(settings.get(n)).cast(kind).alias(n) for n, kind in TRACE_SETTINGS.items()]
+    switches = [F.lit(bool(settings.get(n, False))).alias(n) for n in TRACE_SWITCHES]
+    fps = F.col("fps") if "fps" in annotations.columns else F.lit(None)
+    rows = j.filter(F.col("_l").isNotNull()).select(
+        "episode_index", "task_index", "instruction", "num_steps", F.coalesce(fps, F.lit(10)).cast("bigint").alias("fps"), "plan", "segments",
+        F.transform("_l", lambda x: x["entry"]).alias("target_traces"), *fields, *switches,
+        F.lit(model).alias("model"), F.lit(prompt_version).alias("prompt_version"), *[F.lit(v).alias(n) for n, v in source.items()],
+        F.current_timestamp().alias("created_at"),
+    )
+    return rows, j.filter(F.col("_l").isNull()).select("episode_index", F.lit("no_traces").alias("reason"))

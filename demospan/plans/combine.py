@@ -56,6 +56,14 @@ def training_segments(annotations: DataFrame, dataset: str, window: int = V.BOUN
     return with_texts(parts)
 
 
+def training(annotations: DataFrame, dataset: str, window: int = V.BOUNDARY_WINDOW) -> tuple[DataFrame, DataFrame]:
+    """(training parts, violations): a plan that does not parse has no parts but a row (episode_index, rule)."""
+    plan = F.col("plan")
+    judged = X.once(annotations, "_rule", F.when(plan.isNull(), "no_plan").otherwise(X.parse_plan(plan, dataset)["reason"]))
+    sound = judged.filter(F.col("_rule").isNull()).drop("_rule")
+    return training_segments(sound, dataset, window), judged.filter(F.col("_rule").isNotNull()).select("episode_index", F.col("_rule").alias("rule"))
+
+
 def with_texts(parts: DataFrame) -> DataFrame:
     boundary = F.col("part") == "boundary"
     instruction, plan, skill = F.col("instruction"), F.col("plan"), F.col("skill")

@@ -5,12 +5,13 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, functions as F
 
 from ..functions import text as X
-from ..functions import vocab as V
 from ..operators.aggregates import duplicate_sources, header_conflicts, index_gaps
 from ..operators.joins import compare
 from ..operators.setops import overlay
 
 TEXT_FIELDS = ["content", "updated_content", "updated_content_w_instruction"]
+#: what a conversion makes
+SKILL_FIELDS = ["skill", "updated_skill", "current_skill"]
 
 
 def fields_to_convert(segments: DataFrame, keys: list[str]) -> DataFrame:
@@ -78,11 +79,14 @@ def resume(new: DataFrame, existing: DataFrame, keys: list[str]) -> DataFrame:
 def diff(original: DataFrame, converted: DataFrame, keys: list[str]) -> DataFrame:
     """(keys, field, rule): everything a conversion must not change, and what it must produce.
 
-    Time fields and texts without the structure stay as they are; structured texts obey the
-    checking rules; skills come from the ``now`` item of their text.
+    Every field that is no text or skill, and texts without the structure, stay as they are, also where the
+    converted table has lost the column; structured texts obey the checking rules; skills come from the ``now``
+    item of their text.
     """
-    times = [f for f in V.TIME_FIELDS if f in original.columns]
-    unchanged = compare(original, converted, keys, times)
+    made = {*keys, *TEXT_FIELDS, *SKILL_FIELDS}
+    kept = [f for f in original.columns if f not in made]
+    there = converted.withColumns({f: F.lit(None).cast(original.schema[f].dataType) for f in kept if f not in converted.columns})
+    unchanged = compare(original, there, keys, kept)
     o = original.select(*keys, *[F.col(f).alias(f"_o_{f}") for f in TEXT_FIELDS])
     j = o.join(converted, keys)
 

@@ -4,17 +4,16 @@ from __future__ import annotations
 
 import gzip
 import json
-from collections.abc import Iterable, Iterator
+from collections.abc import Iterable
 from pathlib import Path
 
-import numpy as np
-import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from .. import schemas
 from ..functions import text as X
 from ..functions import vocab as V
 from ..plans.rollouts import labelled_sample
+from .blocks import register
 
 
 #: where a JSON reader puts what it cannot read
@@ -187,54 +186,15 @@ def read_document_parts(spark: SparkSession, folder: str, schema: str = schemas.
 
 
 def read_target_lists(spark: SparkSession, folder: str) -> DataFrame:
-    """(episode, position, target, listed) from gzip lists whose names end in .zip.
-
-    Spark picks a codec by suffix, so the bytes are unpacked per file in the executors.
-    """
-    files = spark.read.format("binaryFile").option("pathGlobFilter", "*_targets.json.zip").load(folder)
-
-    def unpack(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            yield pd.DataFrame(
-                {"path": batch["path"], "text": [gzip.decompress(b).decode("ascii") for b in batch["content"]]}
-            )
-
-    texts = files.select("path", "content").mapInPandas(unpack, "path string, text string")
-    listed = F.from_json("text", f"array<{schemas.TARGET}>")
-    rows = texts.select(F.regexp_extract("path", "(\\d+)_targets\\.json\\.zip$", 1).cast("bigint").alias("episode"), listed.alias("_l"))
-    return rows.select(
-        "episode", F.size("_l").cast("bigint").alias("listed"), F.posexplode_outer("_l").alias("position", "target")
-    ).withColumn("position", F.coalesce(F.col("position").cast("bigint"), F.lit(0)))
+    """(episode, listed, position, target) from gzip lists whose names end in .zip; an empty list is one row."""
+    register(spark)
+    return spark.read.format("target_lists").option("path", folder).load()
 
 
 def read_latents(spark: SparkSession, folder: str) -> DataFrame:
     """(episode, step, embedding, shape) from raw blocks with a JSON sidecar of dtype and shape."""
-    blobs = spark.read.format("binaryFile").option("pathGlobFilter", "*.bin.gz").load(folder)
-    sides = spark.read.option("pathGlobFilter", "*.json").text(folder, wholetext=True)
-    stem = lambda c, ending: F.regexp_extract(c, f"([^/]+)\\.{ending}$", 1)
-    b = blobs.select(stem(F.col("path"), "bin\\.gz").alias("name"), "content")
-    s = sides.select(
-        stem(F.col("_metadata.file_path"), "json").alias("name"),
-        F.get_json_object("value", "$.dtype").alias("dtype"),
-        F.from_json(F.get_json_object("value", "$.shape"), "array<int>").alias("shape"),
-    )
-
-    def unpack(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            for name, content, dtype, shape in batch[["name", "content", "dtype", "shape"]].itertuples(index=False):
-                block = np.frombuffer(gzip.decompress(content), dtype=dtype).reshape(shape)
-                flat = block.reshape(len(block), -1).astype(np.float32)
-                episode = int("".join(ch for ch in name if ch.isdigit()))
-                yield pd.DataFrame(
-                    {
-                        "episode": episode,
-                        "step": np.arange(len(flat)),
-                        "embedding": list(flat),
-                        "shape": [list(block.shape[1:])] * len(flat),
-                    }
-                )
-
-    return b.join(s, "name").mapInPandas(unpack, "episode bigint, step bigint, embedding array<float>, shape array<int>")
+    register(spark)
+    return spark.read.format("latent_blocks").option("path", folder).load()
 
 
 def read_samples(spark: SparkSession, path: str) -> DataFrame:
@@ -249,9 +209,10 @@ def read_plan_samples(spark: SparkSession, path: str) -> DataFrame:
 
 
 def read_rollouts(spark: SparkSession, path: str, suite: str | None = None) -> tuple[DataFrame, DataFrame]:
-    """(rollout rows, files of another suite)."""
-    f = spark.read.schema(schemas.ROLLOUT_FILE).option("multiLine", "true").json(path)
-    f = f.withColumn("source", F.col("_metadata.file_path"))
+    """(rollout rows, files of another suite). A file holds one document, or one in each line."""
+    text = spark.read.text(path, wholetext=True).select(F.col("_metadata.file_path").alias("source"), "value")
+    lines = F.split("value", "\n(?=\\{)")
+    f = text.select("source", F.explode(lines).alias("_d")).select("source", F.from_json("_d", schemas.ROLLOUT_FILE).alias("_d")).select("source", "_d.*")
     foreign = f.filter(~F.col("task_suite").eqNullSafe(F.lit(suite))) if suite else f.limit(0)
     own = f.filter(F.col("task_suite") == suite) if suite else f
     rows = own.select("source", "task_suite", "model_name", F.explode("completed_episodes").alias("_e"))

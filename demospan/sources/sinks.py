@@ -5,9 +5,11 @@ from __future__ import annotations
 from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
 
+from ..schemas import TARGET
 from ..session import cut_lineage
+from .blocks import register
 
-BUCKETS = 1024
+BUCKETS, BUCKET = 1024, 10_000
 
 
 def _written(spark: SparkSession, path: str, schema: T.StructType, buckets: list[int]) -> DataFrame | None:
@@ -81,11 +83,22 @@ def write_ids(df: DataFrame, path: str, key: str = "episode_index") -> None:
 
 
 def write_targets(attached: DataFrame, path: str, key: str = "episode") -> None:
-    """Gzip JSON rows (episode, position, target), partitioned by episode bucket."""
-    rows = attached.select(key, F.col("seg_index").alias("position"), "target")
-    rows.withColumn("episode_bucket", F.floor(F.col(key) / BUCKET)).write.mode("overwrite").option(
-        "compression", "gzip"
-    ).partitionBy("episode_bucket").json(path)
+    """A gzip list per episode, as ``readers.read_target_lists`` reads it, from (episode, seg_index, target).
+
+    Lists are in the order of seg_index; an episode's list is put together by one task.
+    """
+    register(attached.sparkSession)
+    rows = attached.select(
+        F.col(key).cast("bigint").alias("episode"), F.lit(1).cast("bigint").alias("listed"), F.col("seg_index").cast("bigint").alias("position"), F.col("target").cast(TARGET).alias("target")
+    )
+    rows.repartition("episode").sortWithinPartitions("episode", "position").write.format("target_lists").mode("append").option("path", path).save()
+
+
+def write_latent_blocks(latents: DataFrame, path: str) -> None:
+    """A compressed block and its sidecar per episode, as ``readers.read_latents`` reads them."""
+    register(latents.sparkSession)
+    rows = latents.select(F.col("episode").cast("bigint"), F.col("step").cast("bigint"), F.col("embedding").cast("array<float>"), F.col("shape").cast("array<int>"))
+    rows.repartition("episode").sortWithinPartitions("episode", "step").write.format("latent_blocks").mode("append").option("path", path).save()
 
 
 def write_latents(latents: DataFrame, path: str) -> None:

@@ -11,7 +11,7 @@ from collections.abc import Iterator
 
 import pandas as pd
 from pyspark.errors import AnalysisException
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame, SparkSession, functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
 from ..operators.joins import pending
@@ -95,6 +95,25 @@ class SkillTracker(StatefulProcessor):
         pass
 
 
+def with_end(steps: DataFrame, folder: str) -> DataFrame:
+    """The stream of steps with the markers that ``mark_end`` puts into a folder."""
+    spark = steps.sparkSession
+    spark.createDataFrame([], steps.schema).write.mode("append").parquet(folder)  # a stream needs its folder
+    return steps.unionByName(spark.readStream.schema(steps.schema).parquet(folder))
+
+
+def mark_end(steps: DataFrame, folder: str, lateness: str) -> None:
+    """Ends a bounded source: a row of no episode, behind which the watermark has passed all of ``steps`` (a batch).
+
+    Steps wait until the watermark has passed them, so those of the last ``lateness`` would never be answered. Run
+    the stream on from its checkpoint after this, once it has read all of the source.
+    """
+    last = (F.max("ts") + F.expr(f"INTERVAL {lateness}") + F.expr("INTERVAL 1 SECOND")).alias("ts")
+    row = steps.agg(last).where("ts IS NOT NULL")
+    none = [F.lit(None).cast(f.dataType).alias(f.name) for f in steps.schema if f.name != "ts"]
+    row.select("ts", *none).select(*steps.columns).write.mode("append").parquet(folder)
+
+
 def late_rows(query) -> int:
     """Rows that a query's recent batches dropped because they were behind the watermark."""
     return sum(o.numRowsDroppedByWatermark for p in query.recentProgress for o in p.stateOperators)
@@ -155,23 +174,39 @@ def current_rollouts(df: DataFrame) -> DataFrame:
     return latest(df, ["task_id", "episode_idx"], F.struct("batch", F.col("success").cast("int")))
 
 
-def annotate_new(path: str, annotate, key: str = "episode"):
+KEY_BUCKETS = 256
+
+
+def annotate_new(path: str, annotate, key: str = "episode", buckets: int = KEY_BUCKETS):
     """foreachBatch writer for incremental annotation: only keys without a good row are sent on.
 
     ``annotate(requests) -> (key, response, error, attempts)``. Each batch's results are written
     once, good and failed together, so no answer is asked for twice; failures do not count as done,
-    so the next run that sees them tries again.
+    so the next run that sees them tries again. The keys that are done lie in a table of their own, in buckets: a
+    batch reads the keys of its own buckets, and no result of an earlier batch. A replayed batch replaces what it
+    wrote. ``annotated`` reads the results.
     """
 
+    def bucket(df: DataFrame) -> DataFrame:
+        return df.withColumn("_bucket", F.pmod(F.xxhash64(F.col(key).cast("string")), F.lit(buckets)))
+
     def write(batch: DataFrame, batch_id: int) -> None:
         spark = batch.sparkSession
+        mine = [r[0] for r in bucket(batch.select(key)).select("_bucket").distinct().collect()]  # at most ``buckets``
         todo = batch
         try:
-            earlier = spark.read.parquet(path).filter((F.col("batch") != batch_id) & F.col("error").isNull())
-            todo = pending(batch, earlier, [key])
+            done = spark.read.parquet(f"{path}/keys").filter((F.col("batch") != batch_id) & F.col("_bucket").isin(mine))
+            todo = pending(batch, done.select(key), [key])
         except AnalysisException as e:  # the first batch finds no table yet
             if e.getCondition() not in ("PATH_NOT_FOUND", "UNABLE_TO_INFER_SCHEMA"):
                 raise
-        annotate(todo).write.mode("overwrite").parquet(f"{path}/batch={batch_id}")
+        annotate(todo).write.mode("overwrite").parquet(f"{path}/results/batch={batch_id}")
+        good = spark.read.parquet(f"{path}/results/batch={batch_id}").filter(F.col("error").isNull())
+        bucket(good.select(key).distinct()).write.mode("overwrite").partitionBy("_bucket").parquet(f"{path}/keys/batch={batch_id}")
 
     return write
+
+
+def annotated(spark: SparkSession, path: str) -> DataFrame:
+    """What ``annotate_new`` has written, with its batch."""
+    return spark.read.parquet(f"{path}/results")
