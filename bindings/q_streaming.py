@@ -98,10 +98,10 @@ def annotated_once(t: Tables):
 
     orders.filter(F.col("o_custkey") % 2 == 0).write.parquet(f"{path}/in")
     stream = t.spark.readStream.schema(orders.schema).parquet(f"{path}/in")
-    run(stream, f"{path}/check", "append", S.annotate_new(path, answers(False)))
+    run(stream, f"{path}/check", "append", S.annotate_new(f"{path}/out", answers(False)))
     orders.write.mode("append").parquet(f"{path}/in")
-    run(stream, f"{path}/check", "append", S.annotate_new(path, answers(True)))
-    return S.annotated(t.spark, path).filter(F.col("error").isNull()).select("episode", F.col("batch").cast("int").alias("batch"))
+    run(stream, f"{path}/check", "append", S.annotate_new(f"{path}/out", answers(True)))
+    return S.annotated(t.spark, f"{path}/out").filter(F.col("error").isNull()).select("episode", F.col("batch").cast("int").alias("batch"))
 
 
 @query("""SELECT p_partkey AS source, '1' AS key, p_name AS skill FROM part UNION ALL SELECT p_partkey, '12', p_type FROM part""")

@@ -182,8 +182,8 @@ def annotate_new(path: str, annotate, key: str = "episode", buckets: int = KEY_B
 
     ``annotate(requests) -> (key, response, error, attempts)``. Each batch's results are written
     once, good and failed together, so no answer is asked for twice; failures do not count as done,
-    so the next run that sees them tries again. The keys that are done lie in a table of their own, in buckets: a
-    batch reads the keys of its own buckets, and no result of an earlier batch. A replayed batch replaces what it
+    so the next run that sees them tries again. The keys that are done lie in a table of their own, in buckets and out of the
+    readers' sight: a batch reads the keys of its own buckets, and no result of an earlier batch. A replayed batch replaces what it
     wrote. ``annotated`` reads the results.
     """
 
@@ -195,18 +195,18 @@ def annotate_new(path: str, annotate, key: str = "episode", buckets: int = KEY_B
         mine = [r[0] for r in bucket(batch.select(key)).select("_bucket").distinct().collect()]  # at most ``buckets``
         todo = batch
         try:
-            done = spark.read.parquet(f"{path}/keys").filter((F.col("batch") != batch_id) & F.col("_bucket").isin(mine))
+            done = spark.read.parquet(f"{path}/_keys").filter((F.col("batch") != batch_id) & F.col("_bucket").isin(mine))
             todo = pending(batch, done.select(key), [key])
         except AnalysisException as e:  # the first batch finds no table yet
             if e.getCondition() not in ("PATH_NOT_FOUND", "UNABLE_TO_INFER_SCHEMA"):
                 raise
-        annotate(todo).write.mode("overwrite").parquet(f"{path}/results/batch={batch_id}")
-        good = spark.read.parquet(f"{path}/results/batch={batch_id}").filter(F.col("error").isNull())
-        bucket(good.select(key).distinct()).write.mode("overwrite").partitionBy("_bucket").parquet(f"{path}/keys/batch={batch_id}")
+        annotate(todo).write.mode("overwrite").parquet(f"{path}/batch={batch_id}")
+        good = spark.read.parquet(f"{path}/batch={batch_id}").filter(F.col("error").isNull())
+        bucket(good.select(key).distinct()).write.mode("overwrite").partitionBy("_bucket").parquet(f"{path}/_keys/batch={batch_id}")
 
     return write
 
 
 def annotated(spark: SparkSession, path: str) -> DataFrame:
     """What ``annotate_new`` has written, with its batch."""
-    return spark.read.parquet(f"{path}/results")
+    return spark.read.parquet(path)
