@@ -10,12 +10,15 @@ import json
 
 from pyspark.sql import Column, DataFrame, functions as F, Window as W
 
-from .common import ascii_lower
-from .license_rules import rules as all_rules
+from .common import ascii_lower, cut
+from .license_rules import names as all_names, rules as all_rules
 
 #: words that stand together, and their labels
 BASE = {"under the mit license": "mit", "apache license version 2": "apache-2", "cc by nc": "cc-by-nc"}
 
+#: no text has it once its words are written
+MARK = "\x01"
+
 
 def _let(value: Column, fn) -> Column:
     return F.element_at(F.transform(F.array(value), fn), 1)
@@ -58,9 +61,22 @@ def _base(s: Column) -> Column:
     )
 
 
-def _key(docs: DataFrame) -> list[Column]:
+def _any_of(words: set[str]) -> str:
+    """An expression for any of the keywords; those that begin a word are looked for there only, by first letter."""
+    heads: dict[str, list[str]] = {}
+    for w in sorted(words):
+        if w[0] == " ":
+            heads.setdefault(w[1], []).append(w[2:])
+    return "|".join([f" (?:{'|'.join(f'{c}(?:{chr(124).join(rest)})' for c, rest in heads.items())})", *sorted(w for w in words if w[0] != " ")])
+
+
+def _spoken_rows(docs: DataFrame) -> DataFrame:
+    """``doc_id, text_key, b, s``: the base of each row, and its words if some keyword may stand in them."""
     text = F.coalesce(docs["text"].cast("string"), F.lit(""))
-    return [docs["doc_id"].cast("bigint").alias("doc_id"), F.xxhash64(text).alias("text_key")]
+    any_word = _any_of({w for _, _, _, w, _ in all_rules()})
+    both = _let(spoken(docs["text"]), lambda s: F.struct(_base(s).alias("b"), F.when(s.rlike(any_word), s).alias("s")))
+    rows = docs.select(docs["doc_id"].cast("bigint").alias("doc_id"), F.md5(text).alias("text_key"), both.alias("v"))
+    return rows.select("doc_id", "text_key", "v.b", "v.s")
 
 
 def detections(docs: DataFrame) -> DataFrame:
@@ -68,32 +84,35 @@ def detections(docs: DataFrame) -> DataFrame:
 
     Rows that repeat a document give its matches once.
     """
+    return _detections(_spoken_rows(docs))
+
+
+def _table(rows: list[dict], fields: str) -> Column:
+    """One constant instead of thousands of expression nodes."""
+    return F.from_json(F.lit(json.dumps(rows)), f"array<struct<{fields}>>")
+
+
+def _detections(rows: DataFrame) -> DataFrame:
     rules = all_rules()
-    words = sorted({r[3] for r in rules})
-    any_word = "|".join(words)
-    listed = [
-        {"rule": i, "label": label, "priority": priority, "weight": weight, "word": word, "expression": _whole(rx)}
-        for i, (label, priority, weight, word, rx) in enumerate(rules)
-    ]
-    # one constant instead of thousands of expression nodes
-    table = F.from_json(F.lit(json.dumps(listed)), "array<struct<rule:int,label:string,priority:int,weight:double,word:string,expression:string>>")
-    held = docs.select(*_key(docs), F.col("text").cast("string").alias("text"))
-    # the cheap filter sees the raw text: the longest word of some keyword must stand in it
-    longest = "|".join(sorted({max(w.split(), key=len) for w in words}))
-    gated = held.where(F.lower("text").rlike(longest)).dropDuplicates(["doc_id", "text_key"])
-    gated = gated.select("doc_id", "text_key", spoken(F.col("text")).alias("s")).where(F.col("s").rlike(any_word))
-    tried = gated.select("*", F.explode(F.filter(table, lambda r: F.col("s").contains(r["word"]))).alias("r"))
-    found = F.regexp_extract_all("s", F.col("r.expression"), F.lit(0))
-    between = F.split("s", F.col("r.expression"), -1)
-    matched = tried.withColumn("found", found).where(F.size("found") > 0).withColumn("between", between)
-    # words before the k-th match: those of the pieces up to it and of the matches before it
-    start = F.aggregate(
-        F.sequence(F.lit(0), F.col("k")), F.lit(-1).cast("bigint"),
-        lambda n, j: n + _spaces(F.get("between", j)) + F.when(j < F.col("k"), _spaces(F.get("found", j))).otherwise(0),
+    # the rules on a name share its expression; they are tried where the bare name stands
+    named = {expression: word for _, word, expression in all_names()}
+    groups: dict[tuple[str, str], list[dict]] = {}
+    for i, (label, priority, weight, word, rx) in enumerate(rules):
+        bare = next((n for n, w in named.items() if w == word and n in rx), rx)
+        groups.setdefault((word, bare), []).append({"rule": i, "label": label, "priority": priority, "weight": weight, "expression": _whole(rx)})
+    rule = "rule:int,label:string,priority:int,weight:double,expression:string"
+    listed = _table([{"word": w, "bare": _whole(b), "rules": r} for (w, b), r in groups.items()], f"word:string,bare:string,rules:array<struct<{rule}>>")
+    gated = rows.where("s IS NOT NULL").select("doc_id", "text_key", "s").dropDuplicates(["doc_id", "text_key"])
+    tried = gated.select("*", F.explode(F.filter(listed, lambda g: F.col("s").contains(g["word"]))).alias("g"))
+    tried = tried.where(F.expr("s RLIKE g.bare")).select("doc_id", "text_key", "s", F.explode("g.rules").alias("r"))
+    # matches are put between marks: every second piece is one, and words before a piece are those of all before it
+    pieces = F.split(F.regexp_replace("s", F.col("r.expression"), F.lit(f"{MARK}$0{MARK}")), MARK, -1)
+    spaces = tried.select(
+        "doc_id", "text_key", "r.label", "r.priority", "r.weight", "r.rule", F.posexplode(F.transform(pieces, _spaces)).alias("k", "spaces")
     )
-    places = matched.select("*", F.posexplode("found").alias("k", "m")).select(
-        "doc_id", "text_key", "r.label", "r.priority", "r.weight", "r.rule", start.alias("first_word"), (_spaces(F.col("m")) + 1).alias("n")
-    ).withColumn("past_word", F.col("first_word") + F.col("n")).drop("n")
+    upto = W.partitionBy("doc_id", "text_key", "rule").orderBy("k").rowsBetween(W.unboundedPreceding, -1)
+    places = spaces.withColumn("first_word", F.sum("spaces").over(upto) - 1).where("k % 2 = 1")
+    places = places.withColumn("past_word", F.col("first_word") + F.col("spaces") + 1).drop("k", "spaces")
     order = W.partitionBy("doc_id", "text_key").orderBy("first_word", F.desc("past_word"), F.desc("priority"), "rule").rowsBetween(W.unboundedPreceding, -1)
     levels = sorted({r[1] for r in rules})
     # a match lies within an earlier one if that reaches as far; the farthest reach of each level is kept
@@ -109,12 +128,13 @@ def scan(docs: DataFrame) -> DataFrame:
     A null text is empty. Repeated rows and null ids are scanned each; an empty table gives no rows; other
     columns are ignored.
     """
-    rows = docs.select(*_key(docs), _let(spoken(docs["text"]), _base).alias("b")).select("doc_id", "text_key", "b.*")
+    rows = cut(_spoken_rows(docs))
     kept = (
-        detections(docs).where("kept").groupBy("doc_id", "text_key")
+        _detections(rows).where("kept").groupBy("doc_id", "text_key")
         .agg(F.array_sort(F.collect_set("label")).alias("more"), F.max("weight").alias("weight"))
         .withColumnsRenamed({"doc_id": "d", "text_key": "t"})
     )
+    rows = rows.select("doc_id", "text_key", "b.*")
     joined = rows.join(kept, F.col("doc_id").eqNullSafe(F.col("d")) & (F.col("text_key") == F.col("t")), "left")
     none = F.array().cast("array<string>")
     return joined.select(

@@ -141,7 +141,7 @@ def scan_brute(t):
     found = []
     for i, (label, priority, weight, keyword, rx) in enumerate(license_rules.rules()):
         for m in re.finditer(f"(?<= )(?:{rx})(?= )", s):
-            assert keyword in m[0], (keyword, rx)
+            assert keyword in f" {m[0]} ", (keyword, rx)
             a = s[: m.start()].count(" ") - 1
             found.append((a, a + m[0].count(" ") + 1, priority, i, label, weight))
     kept = []
@@ -165,12 +165,24 @@ LICENSED = [
 ]
 
 
+def test_every_text_signature(docs_of):
+    """A text made from each signature, its options taken and its choices set to the first, gets its label."""
+    rows = []
+    for i, (label, _, _, word, rx) in enumerate(license_rules.TEXTS):
+        said = rx.replace("[sc]", "s").replace("(?:[^ ]+ ){1,12}", "Foo Inc ").replace("[1-4]", "4")
+        said = re.sub(r"\(\?:([^()|]*)(?:\|[^()]*)?\)\??", r"\1", said).replace("?", "")
+        assert re.fullmatch(rx, said.lower()) and word in said, (said, rx)
+        rows.append((i, f"Some words. {said.capitalize()}; more words."))
+    got = {r.doc_id: r.labels.split(",") for r in S.scan(docs_of(rows)).collect()}
+    assert all(license_rules.TEXTS[d][0] in labels for d, labels in got.items()) and len(got) == len(rows)
+
+
 def test_scan(docs_of):
     rows = [(i, t) for i, t in enumerate([*LICENSED, *ODD])] + [(3, LICENSED[3]), (3, "other mit license"), (None, LICENSED[0])]
     got = Counter(tuple(r) for r in S.scan(docs_of(rows)).collect())
     assert got == Counter((d, *scan_brute(t)) for d, t in rows)
     assert S.scan(docs_of([])).count() == 0
-    assert len(license_rules.rules()) > 300
+    assert len(license_rules.TEXTS) + len(license_rules.names()) > 150
 
 
 # --- decontamination ---------------------------------------------------------------------------
@@ -182,11 +194,11 @@ def overlap_brute(t, items):
         if item_id is None or item_text is None:
             continue
         item = words(item_text.lower())
-        if len(item) < 5:
+        if not item:
             continue
         for first in range(-len(item) + 1, len(w)):
             same = [0 <= first + k < len(w) and w[first + k] == item[k] for k in range(len(item))]
-            seeded = any(all(k + o < len(item) and same[k + o] for o in m) for m in D.MASKS for k in range(len(item)))
+            seeded = len(item) < D.WINDOW or any(all(k + o < len(item) and same[k + o] for o in m) for m in D.MASKS for k in range(len(item)))
             width = min(len(item), D.WINDOW)
             if seeded and max(sum(same[i : i + width]) for i in range(len(item) - width + 1)) >= D.SHARE * width:
                 key = (sum(same), -first, -len(item))
@@ -198,10 +210,10 @@ def test_overlaps(spark, docs_of):
     rng = random.Random(8)
     vocabulary = [f"w{i}" for i in range(200)] + ["the", "of"] * 40
     phrase = lambda n: " ".join(rng.choice(vocabulary) for _ in range(n))
-    items = [(i, phrase(n)) for i, n in enumerate([15, 30, 57, 5, 6, 12, 4, 40])] + [(None, "a b c d e f"), (90, None), (91, ""), (0, phrase(20))]
+    items = [(i, phrase(n)) for i, n in enumerate([15, 30, 57, 5, 6, 12, 4, 40, 1, 2, 7, 8, 9, 10, 11, 3])] + [(None, "a b c d e f"), (90, None), (91, ""), (0, phrase(20))]
     rows = [(900, None), (901, ""), (None, items[0][1]), (902, "short")]
-    for i in range(60):
-        item = rng.choice(items[:8])[1].split()
+    for i in range(140):
+        item = rng.choice(items[:16])[1].split()
         for _ in range(rng.randrange(5)):
             item[rng.randrange(len(item))] = rng.choice(vocabulary)
         cut = rng.choice([0, 0, len(item) // 2])
@@ -281,3 +293,41 @@ def test_judged(spark):
     assert {by_id[i][0].verdict for i, _ in good + names} == {"allow"}
     assert all(by_id[i][0].template in ("/*/*/home", "/users/*/home") for i, _ in names)
     assert U.judged(pages.limit(0), labels, RULES).count() == 0 and U.judged(pages, labels.limit(0), RULES).where("rule IS NULL AND verdict != 'allow'").count() == 0
+
+
+def test_pages_that_tell_the_levels_apart(spark):
+    """The SQL and the operator on small bad sections, paths that end on others, and deep shared paths."""
+    import duckdb
+    import pandas as pd
+    from demospan.llm import queries, sql
+
+    rng = random.Random(12)
+    urls = [f"http://hot.net/{chr(97 + i % 26)}{chr(97 + i // 26)}/{10 * i + k}" for i in range(60) for k in range(10)]
+    urls += [f"http://deep.net/{'/'.join('abcdefghijkl'[: rng.randrange(13)])}/{rng.choice(['good', 'bad', 'x'])}/{1000 + i}" for i in range(120)]
+    urls += [f"http://chain.net/{'a/' * k}" for k in range(30)] + ["http://one.net/" + "x/" * 400 + f"{1200 + i}" for i in range(2)] + [None, "nothing"]
+    pages = pd.DataFrame({"page_id": range(len(urls)), "url": urls})
+    bad = [i for i, u in enumerate(urls) if u and ("/cb/" in u or "/bad/" in u)]
+    labels = pd.DataFrame([(int(u.rsplit("/", 1)[1]), int(i not in bad)) for i, u in enumerate(urls) if u and u.rsplit("/", 1)[-1].isdigit()], columns=["doc_id", "quality"])
+    con = duckdb.connect()
+    con.register("pages", pages)
+    con.register("labels", labels)
+    con.execute(sql.url_filter(queries.RULES))
+    names = [d[0] for d in con.description]
+    want = {r[0]: dict(zip(names, r)) for r in con.fetchall()}
+    p, q = spark.createDataFrame(list(enumerate(urls)), "page_id bigint, url string"), spark.createDataFrame(labels)
+    got = {r.page_id: r.asDict() for r in U.judged(p, queries.page_labels(p, q), queries.RULES).collect()}
+    assert got == want
+    assert {got[i]["verdict"] for i in bad if "/cb/" in urls[i]} == {"block"}
+
+
+def test_long_broken_pages_take_time_in_proportion():
+    import time
+
+    at = time.perf_counter()
+    assert H.visible_text("<div>" * 80_000 + "x") == "x"
+    assert H.visible_text("<p>a<table>" + "<div>" * 40_000 + "x").endswith("x")
+    wide = "<table>" + "<tr><td>a<td>b" * 3000 + "<tr><td>" + "long " * 6000 + "<td>end</table>"
+    text = H.visible_text(wide)
+    assert len(text) < 1_000_000 and "long long" in text and text.splitlines()[-1].endswith(" | end")
+    assert time.perf_counter() - at < 20
+    assert H.visible_text("<table><tr><td rowspan=3000>a<td>b" + "<tr><td>c" * 1500 + "</table>").splitlines()[1400] == "  | c"
