@@ -4,13 +4,14 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 from hashlib import sha256
+from uuid import uuid4
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from ..session import cut_lineage as cut, shared_folder
 
-__all__ = ["BitFilter", "ascii_lower", "cut", "shared_folder", "streamed_sha256", "table", "texts"]
+__all__ = ["BitFilter", "ascii_lower", "cut", "kept_rows", "shared_folder", "streamed_sha256", "table", "texts"]
 
 
 def texts(docs: DataFrame, *more: str) -> DataFrame:
@@ -31,6 +32,22 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def kept_rows(docs: DataFrame, own: Column, keep: DataFrame) -> DataFrame:
+    """One row of ``docs`` for each (doc_id, own) of ``keep``, all columns as they are.
+
+    Whole rows are shuffled once; the helper columns have names that no table has.
+    """
+    tag = f"__{uuid4().hex}"
+    names = [f"{tag}_{n}" for n in ("null", "id", "own")]
+
+    def key(doc_id: Column, value: Column) -> list[Column]:
+        return [doc_id.isNull(), F.coalesce(doc_id.cast("bigint"), F.lit(0)), value]
+
+    marked = docs.withColumns(dict(zip(names, key(docs["doc_id"], own))))
+    wanted = keep.select(*[c.alias(n) for c, n in zip(key(keep["doc_id"], keep["own"]), names)]).distinct()
+    return marked.join(wanted, names, "left_semi").dropDuplicates(names).drop(*names)
+
+
 def streamed_sha256(parts: DataFrame, key: str, order: str, data: str, between: str) -> DataFrame:
     """``key, sha256``: lowercase hex of the UTF-8 digest of a key's parts in order, with ``between`` between them.
 

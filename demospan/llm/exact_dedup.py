@@ -14,9 +14,11 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F, Window as W
 
-from .common import cut, texts
+from .common import BitFilter, cut, kept_rows, texts
 
 CHUNK = 1 << 16
+#: words of the bitmap of texts whose fingerprint is shared; a fixed size
+BITMAP = 1 << 14
 PRIMES = ((1 << 31) - 1, (1 << 31) - 19)
 BASES = (1_000_003, 998_244_353)
 KEY = ["f1", "f2", "n_bytes"]
@@ -79,8 +81,8 @@ def _rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             f2.append(b)
             size.append(len(data))
             sha.append(hashlib.sha256(data).hexdigest())
-        columns = [batch.column("doc_id"), pa.array(f1, pa.int64()), pa.array(f2, pa.int64()), pa.array(size, pa.int64()), pa.array(sha, pa.string())]
-        yield pa.RecordBatch.from_arrays(columns, ["doc_id", *KEY, "text_sha256"])
+        found = [pa.array(f1, pa.int64()), pa.array(f2, pa.int64()), pa.array(size, pa.int64()), pa.array(sha, pa.string())]
+        yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("raw"), *found], ["doc_id", "raw", *KEY, "text_sha256"])
 
 
 def _chunk_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -107,8 +109,9 @@ def _chunk_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def fingerprints(docs: DataFrame) -> DataFrame:
-    """``doc_id, f1, f2, n_bytes, text_sha256`` of the normalised text, a row per document."""
-    return texts(docs).mapInArrow(_rows, "doc_id bigint, f1 bigint, f2 bigint, n_bytes bigint, text_sha256 string")
+    """``doc_id, raw, f1, f2, n_bytes, text_sha256`` of the normalised text, a row per document; raw is a hash of the text as it is."""
+    rows = texts(docs).withColumn("raw", F.xxhash64("text"))
+    return rows.mapInArrow(_rows, "doc_id bigint, raw bigint, f1 bigint, f2 bigint, n_bytes bigint, text_sha256 string")
 
 
 def collisions(docs: DataFrame) -> DataFrame:
@@ -135,7 +138,11 @@ def exact_groups(docs: DataFrame) -> DataFrame:
     rows = cut(fingerprints(docs))
     numbered = rows.withColumn("nth", F.row_number().over(W.partitionBy("doc_id", *KEY, "text_sha256").orderBy(F.lit(1))))
     contents = rows.groupBy(*KEY, "text_sha256").agg(F.min("doc_id").alias("least"), F.count("*").alias("rows"))
-    clash = collisions(docs).withColumn("clash", F.lit(True))
+    # only texts whose fingerprint another row has are compared; the bitmap lets a few more through
+    shared = rows.groupBy(*KEY).agg(F.count("*").alias("n")).where("n > 1").select(*KEY)
+    raw = rows.join(shared, KEY, "left_semi").select("raw").distinct()
+    compared = docs.where(BitFilter(raw, "raw", BITMAP).may_hold(F.xxhash64(F.coalesce(docs["text"].cast("string"), F.lit("")))))
+    clash = collisions(compared).withColumn("clash", F.lit(True))
     # a fingerprint is a class of its own unless the comparison split it; then its contents are
     classes = contents.join(clash, KEY, "left").withColumn("class", F.when(F.col("clash"), F.col("text_sha256")))
     w = W.partitionBy(*KEY, "class")
@@ -153,10 +160,5 @@ def exact_groups(docs: DataFrame) -> DataFrame:
 
 def keep_first(docs: DataFrame) -> DataFrame:
     """The rows of ``docs`` that exact_groups keeps, all columns as they are."""
-    keep = exact_groups(docs).where("kept").select(
-        F.col("doc_id").alias("__keep"), F.col("text_sha256").alias("__sha")
-    )
     sha = F.sha2(F.regexp_replace(F.coalesce(docs["text"], F.lit("")), "[\\x20\\x09-\\x0D]+", " ").cast("binary"), 256)
-    marked = docs.withColumn("__own", sha).withColumn("__id", docs["doc_id"].cast("bigint"))
-    hit = marked["__id"].eqNullSafe(keep["__keep"]) & (marked["__own"] == keep["__sha"])
-    return marked.join(keep, hit, "left_semi").dropDuplicates(["__id", "__own"]).drop("__own", "__id")
+    return kept_rows(docs, sha, exact_groups(docs).where("kept").select("doc_id", F.col("text_sha256").alias("own")))

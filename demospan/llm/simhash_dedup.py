@@ -20,7 +20,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, functions as F
 
-from .common import cut, texts
+from .common import cut, kept_rows, texts
 from .components import components
 
 WORDS = 3
@@ -209,10 +209,8 @@ def keep_one(docs: DataFrame, words: int = WORDS, radius: int = RADIUS) -> DataF
 
 def keep_least(docs: DataFrame, groups: DataFrame) -> DataFrame:
     """The rows that name the components of ``groups(doc_id, component_id)``, one each."""
-    key = F.xxhash64(F.coalesce(docs["text"], F.lit("")))
-    best = groups.where(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("__keep")).distinct()
-    marked = docs.withColumn("__id", docs["doc_id"].cast("bigint")).withColumn("__own", key)
-    kept = marked.join(best, marked["__id"].eqNullSafe(best["__keep"]), "left_semi")
-    first = kept.groupBy("__id").agg(F.min("__own").alias("__first")).withColumnRenamed("__id", "__of")
-    same = kept["__id"].eqNullSafe(first["__of"]) & (kept["__own"] == first["__first"])
-    return kept.join(first, same, "left_semi").dropDuplicates(["__id", "__own"]).drop("__id", "__own")
+    own = F.xxhash64(F.coalesce(docs["text"], F.lit("")))
+    best = groups.where(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("best")).distinct()
+    names = docs.select(docs["doc_id"].cast("bigint").alias("doc_id"), own.alias("own"))
+    named = names.join(best, F.col("doc_id").eqNullSafe(F.col("best")), "left_semi")
+    return kept_rows(docs, own, named.groupBy("doc_id").agg(F.min("own").alias("own")))
