@@ -5,8 +5,6 @@ from __future__ import annotations
 from . import decontaminate as D, url_filter as U
 
 WORD_BREAKS = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
-#: levels of the template tree that are written out; the paths of ``pages`` have two
-LEVELS = 4
 
 
 def exact_dedup() -> str:
@@ -21,9 +19,17 @@ SELECT doc_id, keep_id, CAST(group_size AS BIGINT) AS group_size,
 def decontamination() -> str:
     def seeds(name: str) -> str:
         parts = []
-        for number, mask in enumerate(D.MASKS):
+        short: dict[int, list[str]] = {}
+        for n in range(1, D.WINDOW):
+            short.setdefault(D.run_of(n, D.WINDOW, D.SHARE), []).append(str(n))
+        masks = [(number, mask, "") for number, mask in enumerate(D.MASKS)]
+        # words in succession for short items alone, and in the documents only if there are any
+        for r, lengths in short.items():
+            some = f"len(w) IN ({', '.join(lengths)})"
+            masks.append((D.RUN + r, range(r), f" AND {some}" if name == "b" else f" AND EXISTS (SELECT 1 FROM b WHERE {some.replace('len(w)', 'len(b.w)')})"))
+        for number, mask, only in masks:
             seed = " || ' ' || ".join(f"w[i + {o}]" for o in mask)
-            parts.append(f"SELECT id, i, {number} AS mask, {seed} AS seed FROM {name}_at WHERE i + {mask[-1]} <= len(w)")
+            parts.append(f"SELECT id, i, {number} AS mask, {seed} AS seed FROM {name}_at WHERE i + {mask[-1]} <= len(w){only}")
         return " UNION ALL ".join(parts)
 
     def words(table: str, key: str) -> str:
@@ -33,7 +39,7 @@ def decontamination() -> str:
     return f"""
 WITH d AS ({words("documents", "doc_id")}), b AS ({words("benchmark", "item_id")}),
 d_at AS (SELECT id, w, unnest(range(1, len(w) + 1)) AS i FROM d),
-b_at AS (SELECT id, w, unnest(range(1, len(w) + 1)) AS i FROM b WHERE len(w) >= {len(D.MASKS[0])}),
+b_at AS (SELECT id, w, unnest(range(1, len(w) + 1)) AS i FROM b),
 d_seed AS ({seeds("d")}), b_seed AS ({seeds("b")}),
 diagonals AS (SELECT DISTINCT d_seed.id AS doc_id, b_seed.id AS item_id, d_seed.i - b_seed.i AS first
   FROM d_seed JOIN b_seed USING (mask, seed)),
@@ -56,22 +62,6 @@ QUALIFY row_number() OVER (PARTITION BY w.doc_id, w.item_id ORDER BY t.matched D
 
 
 def url_filter(rules: dict[str, str]) -> str:
-    level = []
-    for i in range(1, LEVELS + 1):
-        was = f"t{i - 1}"
-        level.append(f"""
-deep{i} AS (SELECT *, segs[{i}] AS seg FROM {was} WHERE len(segs) >= {i}),
-branch{i} AS (SELECT host, template, seg, sum(pages) AS pages, sum(labelled) AS labelled, sum(bad) AS bad FROM deep{i} GROUP BY ALL),
-node{i} AS (SELECT host, template, sum(pages) AS all_pages, sum(labelled) AS all_labelled, sum(bad) AS all_bad, count(*) AS branches
-  FROM branch{i} GROUP BY ALL),
-cells{i} AS (SELECT host, template, seg, pages, all_pages, branches, CAST(all_labelled AS DOUBLE) AS n, CAST(bad AS DOUBLE) AS b,
-  CAST(labelled - bad AS DOUBLE) AS g, CAST(all_bad - bad AS DOUBLE) AS ob,
-  CAST(all_labelled - all_bad AS DOUBLE) - CAST(labelled - bad AS DOUBLE) AS og FROM branch{i} JOIN node{i} USING (host, template)),
-step{i} AS (SELECT host, template, seg, CASE WHEN branches = 1 OR (pages * {U.RARE} >= all_pages
-    AND (b * og - g * ob) * (b * og - g * ob) * n > (b + g) * (ob + og) * (b + ob) * (g + og) * CAST({U.DIFFERS} AS DOUBLE))
-  THEN seg ELSE '{U.ANY}' END AS step FROM cells{i}),
-t{i} AS (SELECT host, segs, pages, labelled, bad, template || '/' || step AS template FROM deep{i} JOIN step{i} USING (host, template, seg)
-  UNION ALL SELECT host, segs, pages, labelled, bad, template FROM {was} WHERE len(segs) < {i})""")
     chosen = "CASE " + " ".join(
         "WHEN (host = '{0}' OR ends_with(host, '.{0}')) AND starts_with(path, '/{1}') THEN '{2}'".format(*r.split("/", 1), r)
         for r in sorted(rules, key=lambda r: (-len(r), r))
@@ -79,16 +69,29 @@ t{i} AS (SELECT host, segs, pages, labelled, bad, template || '/' || step AS tem
     ruled = "CASE rule " + " ".join(f"WHEN '{r}' THEN '{v}'" for r, v in rules.items()) + " END"
     m = f"CAST({U.SMOOTHING} AS DOUBLE)"
     return rf"""
-WITH parts AS (SELECT page_id, coalesce(translate(regexp_extract(url, '(?s)^.*?://([^/?#]*)', 1),
+WITH RECURSIVE parts AS (SELECT page_id, coalesce(translate(regexp_extract(url, '(?s)^.*?://([^/?#]*)', 1),
     'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '') AS host,
   coalesce(regexp_extract(url, '(?s)^.*?://[^/?#]*([^?#]*)', 1), '') AS path FROM pages),
 rows_ AS (SELECT *, list_filter(string_split(regexp_replace(path, '[0-9]+', '<n>', 'g'), '/'), lambda s: s <> '') AS segs,
   try_cast(nullif(regexp_extract(path, '([0-9]{{1,18}})[^0-9]*$', 1), '') AS BIGINT) AS shown FROM parts),
 marks AS (SELECT page_id, count(*) AS labelled, sum(1 - quality) AS bad
   FROM (SELECT DISTINCT page_id, shown FROM rows_) JOIN labels ON shown = labels.doc_id WHERE quality IS NOT NULL GROUP BY ALL),
-t0 AS (SELECT host, segs, count(*) AS pages, coalesce(sum(labelled), 0) AS labelled, coalesce(sum(bad), 0) AS bad, '' AS template
-  FROM rows_ LEFT JOIN marks USING (page_id) GROUP BY host, segs),{",".join(level)},
-tree AS (SELECT * FROM t{LEVELS}),
+start AS (SELECT host, segs, CAST(count(*) AS BIGINT) AS pages, CAST(coalesce(sum(labelled), 0) AS BIGINT) AS labelled, CAST(coalesce(sum(bad), 0) AS BIGINT) AS bad
+  FROM rows_ LEFT JOIN marks USING (page_id) GROUP BY host, segs),
+levels AS (SELECT host, segs, pages, labelled, bad, '' AS template, 0 AS level FROM start
+  UNION ALL
+  SELECT host, segs, pages, labelled, bad, template || '/' || CASE WHEN few = many
+      OR ((in_labelled >= {U.EVIDENCE} OR in_pages * {U.RARE} >= all_pages)
+        AND (b * og - g * ob) * (b * og - g * ob) * n > (b + g) * (ob + og) * (b + ob) * (g + og) * CAST({U.DIFFERS} AS DOUBLE))
+    THEN seg ELSE '{U.ANY}' END, level + 1
+  FROM (SELECT *, CAST(in_bad AS DOUBLE) AS b, CAST(in_labelled - in_bad AS DOUBLE) AS g, CAST(all_bad - in_bad AS DOUBLE) AS ob,
+      CAST(all_labelled - all_bad AS DOUBLE) - CAST(in_labelled - in_bad AS DOUBLE) AS og, CAST(all_labelled AS DOUBLE) AS n
+    FROM (SELECT *, segs[level + 1] AS seg, min(segs[level + 1]) OVER node AS few, max(segs[level + 1]) OVER node AS many,
+        sum(pages) OVER node AS all_pages, sum(labelled) OVER node AS all_labelled, sum(bad) OVER node AS all_bad,
+        sum(pages) OVER branch AS in_pages, sum(labelled) OVER branch AS in_labelled, sum(bad) OVER branch AS in_bad
+      FROM levels WHERE len(segs) > level
+      WINDOW node AS (PARTITION BY host, template), branch AS (PARTITION BY host, template, segs[level + 1])))),
+tree AS (SELECT * FROM levels WHERE level = len(segs)),
 hosts AS (SELECT host, sum(labelled) AS hn, sum(bad) AS hb FROM tree GROUP BY host),
 overall AS (SELECT CASE WHEN sum(hn) > 0 THEN CAST(sum(hb) AS DOUBLE) / CAST(sum(hn) AS DOUBLE) ELSE 0 END AS o FROM hosts),
 stats AS (SELECT host, template, (CAST(sum(bad) AS DOUBLE) + {m} * ((CAST(any_value(hb) AS DOUBLE) + {m} * any_value(o)) / (CAST(any_value(hn) AS DOUBLE) + {m})))

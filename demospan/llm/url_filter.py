@@ -1,6 +1,6 @@
 """URL filter: a tree of path templates per host, judged by the labelled share of bad pages.
 
-Level by level, siblings whose share of bad labels does not differ from the other siblings' merge into a wildcard
+At each level where paths part, siblings whose share of bad labels does not differ from the other siblings' merge into a wildcard
 (numbers always do). A path segment that differs stays, however small its share of the pages, if enough labels
 show it; with fewer labels it must also be common among its siblings.
 A template is rejected when its share of bad labels, smoothed towards its host's and that towards the
@@ -9,6 +9,8 @@ overall share, exceeds a limit. Hand-written rules come first.
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, functions as F
 
 from .common import ascii_lower, cut
@@ -49,21 +51,44 @@ def _sums() -> list[Column]:
     return [F.sum(c).alias(c) for c in ("pages", "labelled", "bad")]
 
 
+def _shared(a: Column, b: Column) -> Column:
+    """How many elements at the start of two arrays are the same."""
+    same = F.zip_with(a, b, lambda x, y: x.eqNullSafe(y))
+    differs = F.array_position(same, F.lit(False)).cast("int")
+    return F.when(differs > 0, differs - 1).otherwise(F.size(same))
+
+
 def templates(paths: DataFrame) -> DataFrame:
     """``template`` for ``host, segs, pages, labelled, bad``, a row for each distinct host and segs.
 
-    One pass per level that two paths share, each checkpointed; a path that is alone in its node keeps the rest
-    of its segments.
+    In each round a node first goes down to where its paths part, in one step however far that is: the greatest
+    of its paths shows it. Then its branches are judged. So there is a round, checkpointed, for each level at
+    which paths really part; paths that have ended are kept aside.
     """
-    columns = [*paths.columns, "template", "open"]
-    now = cut(paths.withColumn("template", F.lit("")).withColumn("open", F.size("segs") > 0))
-    level = 0
-    while not now.where("open").isEmpty():
-        deep = now.where("open").withColumn("seg", F.get("segs", F.lit(level)))
-        branch = deep.groupBy("host", "template", "seg").agg(*_sums(), F.count("*").alias("paths"))
-        node = branch.groupBy("host", "template").agg(
-            *[F.sum(c).alias("all_" + c) for c in ("pages", "labelled", "bad", "paths")], F.count("*").alias("branches")
-        )
+    columns = [*paths.columns, "template"]
+    now = cut(paths.withColumns({"template": F.lit(""), "rest": F.col("segs")}))
+    ended = []
+    while True:
+        ended.append(now.where(F.size("rest") == 0).select(*columns))
+        now = now.where(F.size("rest") > 0)
+        if now.isEmpty():
+            break
+        great = now.groupBy("host", "template").agg(F.max("rest").alias("great"))
+        along = now.join(great, ["host", "template"]).withColumn("along", _shared(F.col("rest"), F.col("great")))
+        # paths that lie wholly on the greatest one end on it; the others show where it is left first
+        parts = along.groupBy("host", "template").agg(F.min(F.when(F.col("along") < F.size("rest"), F.col("along"))).alias("parts"))
+        parts = parts.join(great, ["host", "template"]).withColumn("parts", F.coalesce("parts", F.size("great"))).drop("great")
+        down = now.join(parts, ["host", "template"]).withColumns({"own": F.least("parts", F.size("rest"))})
+        slash = lambda x: F.concat(F.lit("/"), F.array_join(x, "/"))
+        down = down.withColumns({
+            "template": F.when(F.col("own") > 0, F.concat("template", slash(F.slice("rest", F.lit(1), F.col("own"))))).otherwise(F.col("template")),
+            "rest": F.slice("rest", F.col("own") + 1, F.greatest(F.size("rest") - F.col("own"), F.lit(0))),
+        })
+        down = cut(down.select(*columns, "rest"))
+        ended.append(down.where(F.size("rest") == 0).select(*columns))
+        deep = down.where(F.size("rest") > 0).withColumn("seg", F.get("rest", F.lit(0)))
+        branch = deep.groupBy("host", "template", "seg").agg(*_sums())
+        node = branch.groupBy("host", "template").agg(*[F.sum(c).alias("all_" + c) for c in ("pages", "labelled", "bad")], F.count("*").alias("branches"))
         bad, good = F.col("bad").cast("double"), (F.col("labelled") - F.col("bad")).cast("double")
         other_bad = (F.col("all_bad") - F.col("bad")).cast("double")
         other_good = (F.col("all_labelled") - F.col("all_bad")).cast("double") - good
@@ -73,15 +98,14 @@ def templates(paths: DataFrame) -> DataFrame:
         common = F.col("pages") * RARE >= F.col("all_pages")
         literal = (F.col("branches") == 1) | (differs & (common | (F.col("labelled") >= EVIDENCE)))
         chosen = branch.join(node, ["host", "template"]).select(
-            "host", "template", "seg", F.when(literal, F.col("seg")).otherwise(F.lit(ANY)).alias("step"), (F.col("all_paths") == 1).alias("alone")
+            "host", "template", "seg", F.when(literal, F.col("seg")).otherwise(F.lit(ANY)).alias("step")
+        )
+        moved = deep.join(chosen, ["host", "template", "seg"])
+        now = cut(
+            moved.withColumns({"template": F.concat("template", F.lit("/"), "step"), "rest": F.slice("rest", F.lit(2), F.size("rest"))})
+            .select(*columns, "rest")
         )
-        rest = F.slice("segs", level + 2, F.greatest(F.size("segs"), F.lit(1)))
-        steps = F.when(F.col("alone"), F.concat(F.array("step"), rest)).otherwise(F.array("step"))
-        moved = deep.join(chosen, ["host", "template", "seg"]).withColumn("open", ~F.col("alone") & (F.size("segs") > level + 1))
-        moved = moved.withColumn("template", F.concat("template", F.lit("/"), F.array_join(steps, "/")))
-        now = cut(moved.select(*columns).union(now.where("NOT open").select(*columns)))
-        level += 1
-    return now.drop("open")
+    return reduce(DataFrame.union, ended)
 
 
 def judged(pages: DataFrame, labels: DataFrame, rules: dict[str, str]) -> DataFrame:
