@@ -8,6 +8,10 @@ replaced words are tolerated. DataFrame functions only.
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+from math import ceil
+from uuid import uuid4
+
 from pyspark.sql import Column, DataFrame, functions as F
 
 from .common import BitFilter
@@ -16,6 +20,8 @@ from .common import BitFilter
 MASKS = ((0, 1, 2, 3, 4), (0, 1, 3, 4, 6), (0, 2, 3, 5, 7))
 WINDOW = 12
 SHARE = 0.8
+#: numbers of the seeds of short items, by their words
+RUN = 100
 #: words of the bitmap that keeps places without a benchmark hash out of the join; a fixed size
 BITMAP = 1 << 14
 
@@ -31,25 +37,35 @@ def _let(value: Column, fn) -> Column:
     return F.element_at(F.transform(F.array(value), fn), 1)
 
 
-def _seed(hashes: Column, at: Column, number: int) -> Column:
-    return F.xxhash64(F.lit(number), *[F.get(hashes, at + o) for o in MASKS[number]])
+def run_of(n: int, window: int, share: float) -> int | None:
+    """Successive words of which some run stays whole in an item of ``n`` words that meets a text; None for long ones.
+
+    With d words replaced, one of d + 1 parts of the item is untouched.
+    """
+    return n // (n - ceil(share * n - 1e-9) + 1) if n < window else None
+
+
+def _seed(hashes: Column, at: Column, number: int, mask: Sequence[int]) -> Column:
+    return F.xxhash64(F.lit(number), *[F.get(hashes, at + o) for o in mask])
 
 
-def _places(hashes: Column, number: int) -> Column:
-    last = F.size(hashes) - MASKS[number][-1] - 1
+def _places(hashes: Column, mask: Sequence[int]) -> Column:
+    last = F.size(hashes) - mask[-1] - 1
     return F.when(last >= 0, F.sequence(F.lit(0), last)).otherwise(F.array().cast("array<int>"))
 
 
-def _seeds(hashes: Column, keep=None) -> Column:
-    """All seeds as (place, seed)."""
+def _seeds(hashes: Column, masks: dict[int, Sequence[int]], keep=None, used=None) -> Column:
+    """All seeds as (place, seed) of the masks; ``used`` says which arrays a mask is for."""
 
-    def of(number: int) -> Column:
-        places = _places(hashes, number)
+    def of(number: int, mask: Sequence[int]) -> Column:
+        places = _places(hashes, mask)
+        if used is not None:
+            places = F.when(used(number), places).otherwise(F.array().cast("array<int>"))
         if keep is not None:
-            places = F.filter(places, lambda i: keep(_seed(hashes, i, number)))
-        return F.transform(places, lambda i: F.struct(i.alias("place"), _seed(hashes, i, number).alias("seed")))
+            places = F.filter(places, lambda i: keep(_seed(hashes, i, number, mask)))
+        return F.transform(places, lambda i: F.struct(i.alias("place"), _seed(hashes, i, number, mask).alias("seed")))
 
-    return F.concat(*[of(number) for number in range(len(MASKS))])
+    return F.concat(*[of(number, mask) for number, mask in masks.items()])
 
 
 def _hashed(words: Column) -> Column:
@@ -64,7 +80,10 @@ def overlaps(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, share:
     agreeing places of the whole item on the best diagonal, the first of equals; ``start_word`` is the
     document word on which the item's first word lies, and is negative if the item begins before the text.
 
-    Null and empty texts meet nothing, nor do items of under five words. Repeated rows count once, rows
+    Items of under ``window`` words have seeds of their own, successive words of which some stay whole wherever
+    words are replaced; the documents are searched for them only if there are such items.
+
+    Null and empty texts and items without a word meet nothing. Repeated rows count once, rows
     that share an id but not a text count each (``text_key`` is a hash of the text); a null doc_id is a
     value. Items with a null id or text are ignored; of equal item ids every text is tried. An empty table
     gives no rows; other columns are ignored.
@@ -74,15 +93,20 @@ def overlaps(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, share:
     items = (
         benchmark.where("item_id IS NOT NULL AND text IS NOT NULL")
         .select(F.col("item_id"), words_of(F.col("text")).alias("item"))
-        .where(F.size("item") >= len(MASKS[0]))
+        .where(F.size("item") > 0)
         .distinct()
     )
-    items = items.withColumn("item_key", F.xxhash64("item"))
-    item_seeds = items.select("item_id", "item_key", F.explode(_seeds(_hashed(F.col("item")))).alias("s")).select(
+    items = items.withColumn("item_key", F.md5(F.array_join("item", " ")))
+    short: dict[int, list[int]] = {}
+    for (n,) in items.where(F.size("item") < window).select(F.size("item")).distinct().collect():  # under ``window`` numbers
+        short.setdefault(run_of(n, window, share), []).append(n)
+    masks = dict(enumerate(MASKS)) | {RUN + r: range(r) for r in sorted(short)}
+    used = lambda number: F.size("item").isin(short[number - RUN]) if number >= RUN else F.lit(True)
+    item_seeds = items.select("item_id", "item_key", F.explode(_seeds(_hashed(F.col("item")), masks, used=used)).alias("s")).select(
         "item_id", "item_key", F.col("s.place").alias("item_place"), "s.seed"
     )
     known = BitFilter(item_seeds, "seed", BITMAP)
-    found = _let(_hashed(words_of(F.col("text"))), lambda h: _seeds(h, known.may_hold))
+    found = _let(_hashed(words_of(F.col("text"))), lambda h: _seeds(h, masks, known.may_hold))
     places = rows.select("doc_id", "text_key", F.explode(found).alias("s")).select("doc_id", "text_key", "s.place", "s.seed")
     diagonals = (
         places.join(item_seeds, "seed")
@@ -116,7 +140,7 @@ def overlaps(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, share:
 
 def clean(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, share: float = SHARE) -> DataFrame:
     """The rows of ``docs`` that meet no benchmark item, all columns as they are."""
-    met = overlaps(docs, benchmark, window, share).select(F.col("doc_id").alias("__d"), F.col("text_key").alias("__k")).distinct()
-    marked = docs.withColumn("__own", F.xxhash64(F.coalesce(docs["text"].cast("string"), F.lit(""))))
-    hit = marked["doc_id"].cast("bigint").eqNullSafe(met["__d"]) & (marked["__own"] == met["__k"])
-    return marked.join(met, hit, "left_anti").drop("__own")
+    own, where = (f"__{uuid4().hex}_{n}" for n in ("own", "id"))
+    met = overlaps(docs, benchmark, window, share).select(F.col("doc_id").alias(where), F.col("text_key").alias(own)).distinct()
+    text = F.xxhash64(F.coalesce(docs["text"].cast("string"), F.lit("")))
+    return docs.join(met, docs["doc_id"].cast("bigint").eqNullSafe(met[where]) & (text == met[own]), "left_anti")
