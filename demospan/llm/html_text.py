@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import re
+from bisect import bisect_right
+from collections import defaultdict
 from collections.abc import Iterator
 from html.parser import HTMLParser
 
@@ -33,7 +35,10 @@ WALLS = CELLS | {"table", "caption", "button", "object", "template", "html"}
 SPACES = re.compile(r"[ \t\n\r\f\v]+")
 HIDDEN_STYLE = re.compile(r"(?:^|;)\s*display\s*:\s*none\b|(?:^|;)\s*content-visibility\s*:\s*hidden\b", re.I)
 VISIBILITY = re.compile(r"(?:^|;)\s*visibility\s*:\s*(\w+)", re.I)
-WIDEST_SPAN = 1000
+#: columns and rows that a cell may span, as HTML has it
+WIDEST_SPAN, TALLEST_SPAN = 1000, 65534
+#: cells are padded to the widest of their column, but no further than this; a longer cell runs on
+ALIGNED = 80
 
 
 class Node:
@@ -50,19 +55,26 @@ class Tree(HTMLParser):
         super().__init__(convert_charrefs=True)
         self.root = Node("html", {})
         self.open = [self.root]
+        #: where the open elements of each tag stand, so that no start or end has to look through all of them
+        self.places: defaultdict[str, list[int]] = defaultdict(list)
+
+    def _last(self, tags: set[str]) -> int:
+        """Place of the innermost open element with one of the tags, 0 for none."""
+        return max((self.places[t][-1] for t in tags if self.places.get(t)), default=0)
 
     def _end(self, tags: set[str], walls: set[str]) -> bool:
-        for i in range(len(self.open) - 1, 0, -1):
-            if self.open[i].tag in tags:
-                del self.open[i:]
-                return True
-            if self.open[i].tag in walls:
-                return False
-        return False
+        at = self._last(tags)
+        if at <= self._last(walls - tags):
+            return False
+        for node in self.open[at:]:
+            self.places[node.tag].pop()
+        del self.open[at:]
+        return True
 
     def _start(self, tag: str, attrs: dict) -> None:
         node = Node(tag, attrs)
         self.open[-1].children.append(node)
+        self.places[tag].append(len(self.open))
         self.open.append(node)
 
     def handle_starttag(self, tag, attrs):
@@ -74,8 +86,7 @@ class Tree(HTMLParser):
                 self._end({"head"}, set())
             return
         if tag in BLOCKS:
-            if len(self.open) > 1 and any(n.tag == "head" for n in self.open):
-                self._end({"head"}, set())
+            self._end({"head"}, set())
             self._end({"p"}, WALLS)
         if tag in ENDS:
             self._end(*ENDS[tag])
@@ -84,6 +95,7 @@ class Tree(HTMLParser):
             self._start("tr", {})
         self._start(tag, attrs)
         if tag in VOID:
+            self.places[tag].pop()
             self.open.pop()
 
     def handle_startendtag(self, tag, attrs):
@@ -165,7 +177,10 @@ def _number(x, otherwise: int, least: int, most: int) -> int:
 
 
 def table_lines(rows: list[list[tuple[list[str], int, int]]]) -> list[str]:
-    """Cells (lines, columns, rows spanned) as text: every column as wide as its widest cell."""
+    """Cells (lines, columns, rows spanned) as text: every column as wide as its widest cell, up to ALIGNED.
+
+    A line ends with the last cell that has something on it.
+    """
     grid: list[dict[int, list[str]]] = []
     taken: dict[int, int] = {}  # column -> rows it is still covered from above
     for cells in rows:
@@ -188,7 +203,8 @@ def table_lines(rows: list[list[tuple[list[str], int, int]]]) -> list[str]:
     out = []
     for row in grid:
         for i in range(max([0, *(len(x) for x in row.values())])):
-            cells = [(row.get(c, [])[i : i + 1] or [""])[0].ljust(width[c]) for c in columns]
+            last = max((c for c, lines in row.items() if len(lines) > i and lines[i]), default=-1)
+            cells = [(row.get(c, [])[i : i + 1] or [""])[0].ljust(min(width[c], ALIGNED)) for c in columns[: bisect_right(columns, last)]]
             out.append(" | ".join(cells).rstrip())
     return out
 
@@ -264,7 +280,7 @@ def render(root: Node) -> str:
         elif tag == "tr" and tables:
             tables[-1].append([])
         elif tag in CELLS and tables:
-            spans = [_number(node.attrs.get(k), 1, 1, WIDEST_SPAN) for k in ("colspan", "rowspan")]
+            spans = [_number(node.attrs.get(k), 1, 1, most) for k, most in (("colspan", WIDEST_SPAN), ("rowspan", TALLEST_SPAN))]
             flows.append(Flow())
 
             def close_cell(spans=spans):
