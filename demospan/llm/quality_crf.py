@@ -288,7 +288,9 @@ def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Model:
     counts = dict(usable.groupBy("quality").count().collect())  # two rows
     parts = [usable.where(F.col("quality") == q).orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample) for q in (0, 1)]
     chosen = parts[0].union(parts[1])
-    rows = texts(docs).join(F.broadcast(chosen), "doc_id").select("doc_id", "quality", "text")  # at most 2 x sample ids
+    rows = texts(docs).join(F.broadcast(chosen), "doc_id").select("doc_id", "quality", "text")
+    # one text of an id, however many rows repeat it: at most 2 x sample rows come to the driver
+    rows = rows.groupBy("doc_id", "quality").agg(F.min("text").alias("text"))
     found = rows.select("quality", "text").mapInArrow(_sample_features, "quality int, features binary, sizes binary").collect()
     found.sort(key=lambda r: (r["quality"], bytes(r["features"])))  # the fit must not depend on the order of tasks
     data = [
