@@ -1,55 +1,5 @@
-"""Connected components of an undirected graph of any size, by alternating star contractions."""
+"""Connected components, as the library has them."""
 
-from __future__ import annotations
+from ..operators.components import components
 
-from pyspark.sql import DataFrame, functions as F
-
-from .common import cut
-
-MAX_ROUNDS = 60
-
-
-def _large_star(edges: DataFrame) -> DataFrame:
-    """Every neighbour greater than a node is tied to the node's least neighbour (or to itself if less)."""
-    both = edges.union(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
-    least = both.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("m"))
-    return (
-        both.where("b > a").join(least, "a").select(F.col("b").alias("a"), F.col("m").alias("b")).where("a != b").distinct()
-    )
-
-
-def _small_star(edges: DataFrame) -> DataFrame:
-    """Every neighbour less than a node, and the node, are tied to the least of them. Edges point down."""
-    least = edges.groupBy("a").agg(F.min("b").alias("m"))
-    down = edges.join(least, "a").where("b != m").select(F.col("b").alias("a"), F.col("m").alias("b"))
-    return down.union(least.select("a", F.col("m").alias("b"))).distinct()
-
-
-def components(edges: DataFrame) -> DataFrame:
-    """``node, root`` for every node of ``edges(a, b)`` (bigint); root is the least node it reaches.
-
-    Self loops and null ends are ignored; nodes without an edge are not listed. Each round is
-    checkpointed; it ends when a round changes nothing, which is after about log(longest path) rounds.
-    Only a count and a sum per round reach the driver.
-    """
-    now = cut(
-        edges.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b"), F.col("a").isNull().alias("x"), F.col("b").isNull().alias("y"))
-        .where("NOT x AND NOT y AND a != b").select("a", "b").distinct()
-    )
-    mark = _mark(now)
-    for _ in range(MAX_ROUNDS):
-        if not mark[0]:
-            break
-        now = cut(_small_star(_large_star(now)))
-        was, mark = mark, _mark(now)
-        if mark == was:
-            break
-    else:
-        raise RuntimeError("components did not settle")
-    roots = now.select(F.col("a").alias("node"), F.col("b").alias("root"))
-    return roots.union(now.select("b", "b").distinct())
-
-
-def _mark(edges: DataFrame) -> tuple:
-    h = F.xxhash64("a", "b")
-    return tuple(edges.agg(F.count("*"), F.bit_xor(h), F.sum((h % 1000003).cast("bigint"))).first())
+__all__ = ["components"]
