@@ -13,7 +13,7 @@ from .. import schemas
 from ..functions import geometry as G
 from ..functions import text as X
 from ..functions import vocab as V
-from ..operators.joins import pending
+from ..operators.joins import by_shuffle, pending
 from ..operators.setops import unresolved_errors
 
 
@@ -392,7 +392,7 @@ def plan_answer(response: Column, dataset: str = "libero") -> Column:
 
 def annotation_rows(episodes: DataFrame, answers: DataFrame, dataset: str, model: str, prompt_version: str) -> tuple[DataFrame, DataFrame]:
     """(annotation rows, rows with a reason) from episodes and model answers."""
-    joined = episodes.join(answers.select("episode_index", "response"), "episode_index")
+    joined = by_shuffle(episodes, answers.select("episode_index", "response"), ["episode_index"])
     n = X.once(joined, "_n", normalize_steps(F.col("response"), F.col("length"), dataset))
     good = n.filter(F.col("_n.reason").isNull()).select(
         "episode_index",
@@ -419,19 +419,20 @@ def annotation_rows_with_frames(
     kept. An episode with a segment whose last frame is not there has the reason no_frame.
     """
     good, wrong = annotation_rows(episodes, answers, dataset, model, prompt_version)
-    named = good.join(episodes.select("episode_index", *[c for c in ("task_name", "raw_instruction") if c in episodes.columns]), "episode_index")
+    more = episodes.select("episode_index", *[c for c in ("task_name", "raw_instruction") if c in episodes.columns])
+    named = by_shuffle(good, more, ["episode_index"])
     ends = named.select("episode_index", F.posexplode("segments").alias("seg_index", "_s")).select(
         "episode_index", "seg_index", "_s.*", (F.col("_s.end_step") - 1).alias("step")
     )
     last = frames.select("episode_index", "step", "state", "action", F.lit(True).alias("_there"))
-    held = ends.join(last, ["episode_index", "step"], "left")
+    held = by_shuffle(ends, last, ["episode_index", "step"], "left")
     # the segments of an answer were one row, and are again
     whole = held.groupBy("episode_index").agg(
         F.array_sort(F.collect_list(F.struct("seg_index", "start_step", "end_step", "skill", "state", "action"))).alias("_all"),
         F.count_if(F.col("_there").isNull()).alias("_missing"),
     )
     segments = F.transform("_all", lambda s: s.dropFields("seg_index"))
-    rows = named.drop("segments").join(whole, "episode_index")
+    rows = by_shuffle(named.drop("segments"), whole, ["episode_index"])
     done = rows.filter("_missing = 0").withColumn("segments", segments).drop("_all", "_missing")
     return done, wrong.union(rows.filter("_missing > 0").select("episode_index", F.lit("no_frame").alias("reason")))
 
