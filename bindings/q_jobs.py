@@ -9,6 +9,7 @@ import numpy as np
 from pyspark.sql import DataFrame, functions as F
 
 from demospan import schemas
+from demospan.operators.joins import spread
 from demospan.operators.segments import explode_segments, nest_segments
 from demospan.plans import annotate as AN
 from demospan.plans import audit as AU
@@ -314,7 +315,8 @@ def patched_targets(t: Tables):
 def cot_segments(t: Tables) -> DataFrame:
     text = F.expr(COT)
     has_update = F.col("p_size") % 3 == 0
-    return t.part.select(
+    # a part is a few bytes of a file and its texts take long to check
+    return spread(t.part.select("p_partkey", "p_name", "p_type", "p_size"), "p_partkey").select(
         F.col("p_partkey").alias("episode"), "p_name", "p_size", F.lit(0).alias("start_step"), F.col("p_size").alias("end_step"),
         text.alias("content"), F.when(has_update, text).alias("updated_content"), F.when(has_update, text).alias("updated_content_w_instruction"), F.lit(None).cast("string").alias("current_skill"))
 

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from ..functions import text as X
 from ..operators.aggregates import duplicate_sources, header_conflicts, index_gaps
-from ..operators.joins import compare
+from ..operators.joins import by_shuffle, compare
 from ..operators.setops import overlay
 
 TEXT_FIELDS = ["content", "updated_content", "updated_content_w_instruction"]
@@ -28,7 +28,7 @@ def convert(segments: DataFrame, answers: DataFrame, keys: list[str]) -> tuple[D
     text with instruction is rebuilt from its two parts.
     """
     asked = fields_to_convert(segments, keys)
-    a = asked.join(answers.withColumnRenamed("text", "answer"), [*keys, "field"], "left")
+    a = by_shuffle(asked, answers.withColumnRenamed("text", "answer"), [*keys, "field"], "left")
     before = X.instruction_prefix(F.col("text"))
     tail = F.when(before.isNotNull(), F.concat(before, X.plan_tail(F.col("answer")))).otherwise(F.col("answer"))
     a = a.withColumn("new", X.canonical_structured_text(tail))
@@ -37,7 +37,7 @@ def convert(segments: DataFrame, answers: DataFrame, keys: list[str]) -> tuple[D
         F.when(F.col("answer").isNull(), "no_answer").otherwise(X.structured_text_reason(F.col("new"), F.col("text"))),
     )
     wide = a.groupBy(*keys).agg(*[F.max(F.when(F.col("field") == f, F.col("new"))).alias(f"_n_{f}") for f in TEXT_FIELDS])
-    j = segments.join(wide, keys, "left")
+    j = by_shuffle(segments, wide, keys, "left")
     j = j.withColumns({f: F.coalesce(f"_n_{f}", f) for f in TEXT_FIELDS})
     both = F.concat(X.instruction_prefix(F.col("content")), X.plan_tail(F.col("updated_content")))
     rebuilt = F.col("_n_updated_content_w_instruction").isNotNull() & F.col("_n_updated_content").isNotNull()
@@ -88,7 +88,7 @@ def diff(original: DataFrame, converted: DataFrame, keys: list[str]) -> DataFram
     there = converted.withColumns({f: F.lit(None).cast(original.schema[f].dataType) for f in kept if f not in converted.columns})
     unchanged = compare(original, there, keys, kept)
     o = original.select(*keys, *[F.col(f).alias(f"_o_{f}") for f in TEXT_FIELDS])
-    j = o.join(converted, keys)
+    j = by_shuffle(o, converted, keys)
 
     def flag(name: str, rule: str, test: Column) -> Column:
         return F.when(

@@ -26,6 +26,13 @@ def cot_rows(spark, n=20):
         text.alias("updated_content_w_instruction"), F.lit("PICK(a)").alias("skill"), F.lit("PICK(a)").alias("updated_skill"))
 
 
+def test_made_texts_are_not_broadcast(spark):
+    s = cot_rows(spark)
+    assert "Broadcast" not in plan_of(CT.diff(s, s, ["episode"]))
+    for df in CT.convert(s, CT.fields_to_convert(s, ["episode"]), ["episode"]):
+        assert "Broadcast" not in plan_of(df)
+
+
 def test_answers_are_not_broadcast(spark):
     e = spark.range(5).select(F.col("id").alias("episode_index"), F.lit(1).alias("task_index"), F.lit("i").alias("instruction"), F.lit(2).cast("bigint").alias("length"))
     answer = F.lit('{"plan": "1. OPEN(drawer)", "steps": [{"skill": "OPEN(drawer)", "end_step": 2}]}')
@@ -33,3 +40,10 @@ def test_answers_are_not_broadcast(spark):
     rows, wrong = AN.annotation_rows_with_frames(e, e.select("episode_index", answer.alias("response")), frames, "libero", "m", "v")
     assert "Broadcast" not in plan_of(rows) + plan_of(wrong)
     assert {r.episode_index for r in rows.collect()} == {1, 2, 3, 4} and [tuple(r) for r in wrong.collect()] == [(0, "no_frame")]
+
+
+def test_texts_are_checked_by_more_than_the_tasks_that_read_them(spark):
+    from bindings.q_jobs import cot_segments
+    from bindings.tables import Tables
+
+    assert cot_segments(Tables(spark, "/root/testdata/sf0.001")).rdd.getNumPartitions() == 4 * spark.sparkContext.defaultParallelism
