@@ -11,10 +11,14 @@ from pyspark.sql import DataFrame, functions as F
 from ..functions import geometry as G
 from ..functions import vocab as V
 from ..operators.components import components
+from ..operators.joins import by_shuffle
+from ..session import cut_lineage
 
 BOX = ["x", "y", "w", "h"]
 #: grid of a fine cell, in the logarithm of a side and in sides, and the least overlap of two boxes of one
 FINE, SAME_CELL = 0.01, 0.92
+#: boxes of a frame that are compared without a grid
+FEW = 64
 
 
 def high_enough(detections: DataFrame, least: float = V.MIN_BOX_TOP, only_with_tracks: bool = False) -> DataFrame:
@@ -36,9 +40,10 @@ def overlapping_pairs(detections: DataFrame, ratio: float = V.OVERLAP_RATIO) ->
     Exact copies of a box are folded into its smallest id with a count, so a box repeated a million
     times gives one row per neighbour and not a million squared.
 
-    Two boxes that overlap so much have nearly the same size and corner. Sizes are put on a
-    logarithmic grid and corners on a grid as fine as the size allows; only boxes in neighbouring
-    cells meet, so a frame's boxes are never all compared with each other.
+    Two boxes that overlap so much have nearly the same size and corner. In a frame of more than ``FEW``
+    boxes sizes are put on a logarithmic grid and corners on a grid as fine as the size allows; only boxes in
+    neighbouring cells meet, so a large frame's boxes are never all compared with each other. A smaller frame
+    is one cell: its boxes need not be repeated for their neighbours.
     """
     step = math.log(1 / ratio)
     d = (
@@ -47,6 +52,13 @@ def overlapping_pairs(detections: DataFrame, ratio: float = V.OVERLAP_RATIO) ->
         .agg(F.min("id").alias("id"), F.count(F.lit(1)).alias("copies"))
     )
 
+    def pairs(a: DataFrame, b: DataFrame, *cell: str) -> DataFrame:
+        a = a.select("frame", *cell, F.col("id").alias("a"), F.col("copies").alias("a_copies"), *[F.col(c).alias(f"a_{c}") for c in BOX])
+        b = b.select("frame", *cell, F.col("id").alias("b"), F.col("copies").alias("b_copies"), *[F.col(c).alias(f"b_{c}") for c in BOX])
+        j = by_shuffle(a, b, ["frame", *cell]).filter(F.col("a") < F.col("b"))
+        overlap = G.overlap_ratio({c: F.col(f"a_{c}") for c in BOX}, {c: F.col(f"b_{c}") for c in BOX})
+        return j.withColumn("overlap", overlap).filter(F.col("overlap") > ratio).select("frame", "a", "b", "overlap", "a_copies", "b_copies")
+
     def cells(df: DataFrame, spread: bool) -> DataFrame:
         sizes = {"_kw": F.floor(F.log("w") / step), "_kh": F.floor(F.log("h") / step)}
         df = df.withColumns({k: c.cast("bigint") for k, c in sizes.items()})
@@ -63,13 +75,23 @@ def overlapping_pairs(detections: DataFrame, ratio: float = V.OVERLAP_RATIO) ->
                 df = df.withColumn(k, F.explode(F.array(*[F.col(k) + i for i in (-1, 0, 1)])))
         return df
 
-    a = cells(d, False).select("frame", "_kw", "_kh", "_cx", "_cy", F.col("id").alias("a"), F.col("copies").alias("a_copies"), *[F.col(c).alias(f"a_{c}") for c in BOX])
-    b = cells(d, True).select("frame", "_kw", "_kh", "_cx", "_cy", F.col("id").alias("b"), F.col("copies").alias("b_copies"), *[F.col(c).alias(f"b_{c}") for c in BOX])
-    j = a.join(b, ["frame", "_kw", "_kh", "_cx", "_cy"]).filter(F.col("a") < F.col("b"))
-    overlap = G.overlap_ratio({c: F.col(f"a_{c}") for c in BOX}, {c: F.col(f"b_{c}") for c in BOX})
-    return j.withColumn("overlap", overlap).filter(F.col("overlap") > ratio).select(
-        "frame", "a", "b", "overlap", "a_copies", "b_copies"
-    )
+    crowded = _crowded(detections)
+    if crowded.isEmpty():
+        return pairs(d, d)
+    few, many = _parted(d, crowded)
+    return pairs(few, few).unionByName(pairs(cells(many, False), cells(many, True), "_kw", "_kh", "_cx", "_cy"))
+
+
+def _crowded(detections: DataFrame) -> DataFrame:
+    """The frames with more than ``FEW`` boxes, and rows without a frame, counted on their names alone and written down."""
+    n = detections.groupBy("frame").agg(F.count(F.lit(1)).alias("_n"))
+    return cut_lineage(n.filter((F.col("_n") > FEW) | F.col("frame").isNull()).select(F.col("frame").alias("_crowded")))
+
+
+def _parted(boxes: DataFrame, crowded: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(boxes of small frames, boxes of crowded ones and of none)."""
+    same = F.col("frame").eqNullSafe(F.col("_crowded"))
+    return boxes.join(crowded, same, "left_anti"), boxes.join(crowded, same, "left_semi")
 
 
 def merge_groups(detections: DataFrame, ratio: float = V.OVERLAP_RATIO) -> DataFrame:
@@ -78,8 +100,18 @@ def merge_groups(detections: DataFrame, ratio: float = V.OVERLAP_RATIO) -> DataF
     Boxes of a fine cell overlap by more than ``SAME_CELL``, so a cell stands for all of them, however many
     jittered copies it holds. One minus the overlap obeys the triangle inequality; so where two boxes overlap by
     more than ``ratio``, the boxes that stand for their cells overlap by what is left of it. Parts are the
-    components of these cells. A part may hold more than must be together, which changes no result.
+    components of these cells. A part may hold more than must be together, which changes no result: a frame of
+    at most ``FEW`` boxes is one part.
     """
+    crowded, whole = _crowded(detections), F.lit(0).cast("bigint")
+    if crowded.isEmpty():
+        return detections.withColumn("part", whole)
+    few, many = _parted(detections, crowded)
+    return few.withColumn("part", whole).unionByName(_cell_groups(many, ratio))
+
+
+def _cell_groups(detections: DataFrame, ratio: float) -> DataFrame:
+    """``detections`` with ``part``, by the cells of their boxes."""
     sizes = {"_kw": F.floor(F.log("w") / FINE), "_kh": F.floor(F.log("h") / FINE)}
     cell = [F.col("_kw"), F.col("_kh")]
     for k, at in (("_kw", "x"), ("_kh", "y")):

@@ -47,3 +47,37 @@ def test_texts_are_checked_by_more_than_the_tasks_that_read_them(spark):
     from bindings.tables import Tables
 
     assert cot_segments(Tables(spark, "/root/testdata/sf0.001")).rdd.getNumPartitions() == 4 * spark.sparkContext.defaultParallelism
+
+
+def boxes_of(rng, frames):
+    rows = []
+    for frame, n in frames:
+        for i in range(n):
+            side = 1.0 + rng.random() * 0.1
+            rows.append((frame, i, i, rng.random() * 0.1, rng.random() * 0.1, side, side, [rng.random(), rng.random()]))
+    return rows
+
+
+SCHEMA = "frame bigint, rank bigint, id bigint, x double, y double, w double, h double, scores array<double>"
+
+
+def test_boxes_of_small_frames_are_not_repeated(spark):
+    df = spark.createDataFrame(boxes_of(random.Random(1), [(i, 6) for i in range(9)]), SCHEMA)
+    assert "Generate" not in plan_of(D.overlapping_pairs(df)) and "Generate" not in plan_of(D.merge_detections(df))
+
+
+@pytest.mark.parametrize("few", [0, 5, 64])
+def test_pairs_and_merges_do_not_depend_on_where_frames_are_parted(spark, monkeypatch, few):
+    rows = boxes_of(random.Random(2), [(1, 3), (2, 12), (3, 1), (4, 30), (None, 4)])
+    df = spark.createDataFrame(rows, SCHEMA)
+    want = {(f, a[2], b[2]) for f in (1, 2, 3, 4) for a in rows for b in rows if a[0] == b[0] == f and a[2] < b[2] and D._overlap(a[3:7], b[3:7]) > 0.9}
+    tracks = []
+    for f in (1, 2, 3, 4):
+        held = []
+        for r in spark.createDataFrame([x for x in rows if x[0] == f], SCHEMA).orderBy("rank").collect():
+            D._take(held, r, 0.9)
+        tracks += [(f, t["id"], [round(s, 9) for s in t["scores"]]) for t in held]
+    monkeypatch.setattr(D, "FEW", few)
+    assert {(r.frame, r.a, r.b) for r in D.overlapping_pairs(df, 0.9).collect()} == want
+    got = [(r.frame, r.id, [round(s, 9) for s in r.scores]) for r in D.merge_detections(df.filter("frame IS NOT NULL"), 0.9).collect()]
+    assert sorted(got) == sorted(tracks)
