@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from demospan.functions import geometry as G
 from demospan.operators import frames as FR
 from demospan.operators.aggregates import bounds_aggregates, element_stats, token_mean
-from demospan.operators.joins import first_in_priority
+from demospan.operators.joins import by_shuffle, first_in_priority
 from demospan.operators.ordered import Ordered
 from demospan.operators.sampling import flat_vectors
 from demospan.plans.traces import FLIP, MATRIX, gate, prepare_cameras, project_points, replay_check, trace_stats
@@ -318,5 +318,7 @@ def flat_chunks(t: Tables):
     """Action chunks of 16 steps and 7 dimensions as one vector, of which the first 96 numbers are used."""
     step = lambda i: F.transform(F.sequence(F.lit(0), F.lit(6)), lambda j: F.col("value") + i * 1000.0 + j)
     e = t.events.select("event_id", F.transform(F.sequence(F.lit(0), F.lit(15)), step).alias("action_chunk"))
-    v = flat_vectors(e, "action_chunk", 96)
-    return v.join(e, "event_id").select("event_id", F.size(F.flatten("action_chunk")).alias("numbers"), F.size("vector").alias("kept"), near(F.element_at("vector", -1), 3).alias("last"))
+    # what is asked of a chunk and of its vector is read off before they meet: the join carries no array
+    v = flat_vectors(e, "action_chunk", 96).select("event_id", F.size("vector").alias("kept"), near(F.element_at("vector", -1), 3).alias("last"))
+    n = e.select("event_id", F.size(F.flatten("action_chunk")).alias("numbers"))
+    return by_shuffle(v, n, ["event_id"]).select("event_id", "numbers", "kept", "last")

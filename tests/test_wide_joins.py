@@ -42,6 +42,14 @@ def test_answers_are_not_broadcast(spark):
     assert {r.episode_index for r in rows.collect()} == {1, 2, 3, 4} and [tuple(r) for r in wrong.collect()] == [(0, "no_frame")]
 
 
+def test_chunks_meet_without_their_arrays(spark):
+    plan = plan_of(QUERIES["flat_chunks"](spark, "/root/testdata/sf0.001"))
+    assert "Broadcast" not in plan
+    before = plan.split("SortMergeJoin", 1)[1]
+    kept = [line for line in before.splitlines() if "Project" in line]
+    assert kept and not any("vector" in line.split(" AS ")[-1] or "action_chunk" in line.split(" AS ")[-1] for line in kept[:1])
+
+
 def test_texts_are_checked_by_more_than_the_tasks_that_read_them(spark):
     from bindings.q_jobs import cot_segments
     from bindings.tables import Tables
