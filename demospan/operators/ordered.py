@@ -237,10 +237,12 @@ def percentiles(
 ) -> DataFrame:
     """Exact linear-interpolated percentiles per group, with further aggregates of the same pass.
 
-    A group of ordinary size is aggregated directly. A large one never enters a single buffer: its values fall
-    into ranges, cut at a sample of its distinct values; rows are counted per range before the shuffle, and
-    only the ranges that hold a wanted position are ranked, by their distinct values. ``sized_by`` is a table
-    with the same groups that is cheaper to count than ``df``.
+    A group of ordinary size is aggregated directly. A large one never enters a single buffer: its rows are
+    counted per value before the shuffle, the distinct values fall into ranges, cut at a sample of them, and
+    only the ranges that hold a wanted position are ranked. A value that many rows have is one row by then.
+    ``sized_by`` is a table with the same groups that is cheaper to count than ``df``.
+
+    The large groups and their cuts are broadcast: each stands for more rows than the limit.
     """
     limit = rows_per_block or ROWS_PER_BLOCK
     if not keys:
@@ -249,17 +251,18 @@ def percentiles(
     if large.isEmpty():
         found = [F.percentile(F.col(value), F.lit(float(p))).alias(name) for name, p in points.items()]
         return df.groupBy(*keys).agg(*(also or []), *found).drop("_all")
-    large = cut_lineage(large)
+    large = F.broadcast(cut_lineage(large))
     marked = df.join(large, keys, "left")
     direct = F.when(F.col("_large").isNull(), F.col(value))
     small = marked.groupBy(*keys).agg(
         *(also or []), *[F.percentile(direct, F.lit(float(p))).alias(name) for name, p in points.items()]
     )
 
-    own = marked.filter(F.col("_large") & F.col(value).isNotNull()).select(*keys, F.col(value).alias("_value"))
-    found = cut_lineage(_value_cuts(own, keys, limit))
+    rows = marked.filter(F.col("_large") & F.col(value).isNotNull()).select(*keys, F.col(value).alias("_value"))
+    own = cut_lineage(rows.groupBy(*keys, "_value").agg(F.count(F.lit(1)).alias("_times")))
+    found = F.broadcast(cut_lineage(_value_cuts(own, keys, limit)))
     ranged = own.join(found, keys).withColumn("_range", _cuts_passed(F.col("_cuts"), F.struct("_value"))).drop("_cuts")
-    counts = cut_lineage(ranged.groupBy(*keys, "_range").agg(F.count(F.lit(1)).alias("_n")))  # a row per range
+    counts = cut_lineage(ranged.groupBy(*keys, "_range").agg(F.sum("_times").alias("_n")))  # a row per range
     along = Window.partitionBy(*keys).orderBy("_range")
     totals = Window.partitionBy(*keys)
     starts = counts.select(
@@ -272,7 +275,7 @@ def percentiles(
         for at in (low, F.least(low + 1, F.col("_total") - 1)):
             holds = holds | ((F.col("_start") <= at) & (at < F.col("_start") + F.col("_n")))
     wanted = starts.filter(holds).select(*keys, "_range", "_start", "_total")
-    values = ranged.join(wanted, [*keys, "_range"]).groupBy(*keys, "_range", "_start", "_total", "_value").agg(F.count(F.lit(1)).alias("_times"))
+    values = ranged.join(F.broadcast(wanted), [*keys, "_range"])
     inside = Window.partitionBy(*keys, "_range").orderBy("_value").rowsBetween(Window.unboundedPreceding, Window.currentRow)
     placed = values.withColumn("_upto", F.col("_start") + F.sum("_times").over(inside)).withColumnRenamed("_value", "_v")
     out = []

@@ -89,3 +89,22 @@ def test_pairs_and_merges_do_not_depend_on_where_frames_are_parted(spark, monkey
     assert {(r.frame, r.a, r.b) for r in D.overlapping_pairs(df, 0.9).collect()} == want
     got = [(r.frame, r.id, [round(s, 9) for s in r.scores]) for r in D.merge_detections(df.filter("frame IS NOT NULL"), 0.9).collect()]
     assert sorted(got) == sorted(tracks)
+
+
+def test_rows_of_one_value_are_one_row_before_they_are_ranked(spark, monkeypatch):
+    from demospan.operators import ordered as O
+
+    monkeypatch.setattr(O, "ROWS_PER_BLOCK", 50)
+    written, cut = [], O.cut_lineage
+
+    def told(df):
+        out = cut(df)
+        if "_times" in out.columns:
+            written.append(out.count())
+        return out
+
+    monkeypatch.setattr(O, "cut_lineage", told)
+    df = spark.range(1000).select(F.array((F.col("id") % 3).cast("double"), F.col("id").cast("double"), F.lit(None).cast("double")).alias("v"))
+    got = {r.dim: (r["count"], r.q01, r.q99) for r in element_stats(df, "v").collect()}
+    assert got == {0: (1000, 0.0, 2.0), 1: (1000, pytest.approx(9.99), pytest.approx(989.01)), 2: (0, None, None)}
+    assert written == [1003]
