@@ -108,3 +108,14 @@ def test_rows_of_one_value_are_one_row_before_they_are_ranked(spark, monkeypatch
     got = {r.dim: (r["count"], r.q01, r.q99) for r in element_stats(df, "v").collect()}
     assert got == {0: (1000, 0.0, 2.0), 1: (1000, pytest.approx(9.99), pytest.approx(989.01)), 2: (0, None, None)}
     assert written == [1003]
+
+
+def test_roots_with_copies_nulls_and_strangers(spark):
+    want = spark.createDataFrame([(1, "a"), (1, "b"), (1, "b"), (2, "a"), (3, None), (None, "a"), (5, "z")], "episode bigint, name string")
+    have = spark.createDataFrame(
+        [(7, 1, "a"), (7, 1, "b"), (7, 1, "b"), (8, 1, "a"), (8, 1, "c"), (7, 2, "a"), (9, 2, "a"), (7, 3, None), (7, None, "a"), (7, 4, "a"), (None, 5, "z")],
+        "root bigint, episode bigint, name string")
+    out = J.single_complete_root(want, have)
+    assert {tuple(r) for r in out.collect()} == {(1, 1, 7, "ok"), (2, 2, None, "ambiguous"), (3, 0, None, "none"), (None, 0, None, "none"), (5, 1, None, "ok")}
+    # rows are dealt before copies are folded, so no task holds the groups of all that it read
+    assert plan_of(out).rstrip().split("Exchange")[-1].count("HashAggregate") == 0
