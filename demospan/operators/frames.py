@@ -43,7 +43,9 @@ def frames_in_segments_to_end(frames: DataFrame, segments: DataFrame, key: str =
     longer = segments.join(ends, key).withColumns(
         {"_end": F.col("end_step"), "end_step": F.col("end_step") + (F.col("end_step") == F.col("_last_end")).cast("int")}
     )
-    found = frames_in_segments(frames, longer.filter(F.col("_end") > F.col("start_step")).drop("_last_end"), key)
+    # the frames are many times the segments of a bucket, which are looked up; the frames need no sort
+    covers = longer.filter(F.col("_end") > F.col("start_step")).drop("_last_end").hint("shuffle_hash")
+    found = frames_in_segments(frames, covers, key)
     return found.withColumn("end_step", F.col("_end")).drop("_end")
 
 

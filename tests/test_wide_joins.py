@@ -119,3 +119,14 @@ def test_roots_with_copies_nulls_and_strangers(spark):
     assert {tuple(r) for r in out.collect()} == {(1, 1, 7, "ok"), (2, 2, None, "ambiguous"), (3, 0, None, "none"), (None, 0, None, "none"), (5, 1, None, "ok")}
     # rows are dealt before copies are folded, so no task holds the groups of all that it read
     assert plan_of(out).rstrip().split("Exchange")[-1].count("HashAggregate") == 0
+
+
+def test_frames_are_not_sorted_to_meet_their_segments(spark):
+    from demospan.operators import frames as FR
+
+    s = spark.createDataFrame([(1, 0, 3), (1, 3, 5), (2, 0, 0), (2, 0, 2)], "episode bigint, start_step bigint, end_step bigint")
+    f = spark.createDataFrame([(e, i) for e in (1, 2) for i in range(7)], "episode bigint, step bigint")
+    met = FR.frames_in_segments_to_end(f, s)
+    assert "ShuffledHashJoin" in plan_of(met)
+    want = [(1, i, 0 if i < 3 else 3, 3 if i < 3 else 5) for i in range(6)] + [(2, i, 0, 2) for i in range(3)]
+    assert sorted((r.episode, r.step, r.start_step, r.end_step) for r in met.collect()) == want
