@@ -13,6 +13,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 from ..functions import text as X
 from ..operators.ordered import ROWS_PER_BLOCK, ordered
 from ..operators.segments import compare_to_plan
+from ..session import cut_lineage
 
 # What each verb needs and changes. A condition is a list of alternatives, each a list
 # of facts (name, first, second, expected); an effect is (name, first, second, new value). "1" and
@@ -89,8 +90,12 @@ FACT = ["episode", "name", "first", "second"]
 
 def plan_steps(plans: DataFrame, dataset: str, key: str = "episode", plan: str = "plan") -> DataFrame:
     """(episode, step from 1, verb, arguments) of valid plan texts."""
-    parsed = X.parse_plan(F.col(plan), dataset)["skills"]
-    s = plans.select(F.col(key).alias("episode"), F.posexplode(parsed).alias("step", "skill"))
+    return _steps(plans.select(F.col(key).alias("episode"), X.parse_plan(F.col(plan), dataset)["skills"].alias("skills")))
+
+
+def _steps(parsed: DataFrame) -> DataFrame:
+    """The steps of (episode, skills)."""
+    s = parsed.select("episode", F.posexplode("skills").alias("step", "skill"))
     return s.select(
         "episode",
         (F.col("step") + 1).cast("bigint").alias("step"),
@@ -223,11 +228,14 @@ def audit_plans(steps: DataFrame, facts: DataFrame, dataset: str) -> DataFrame:
 def audit_plan_texts(plans: DataFrame, facts: DataFrame, dataset: str, key: str = "episode", plan: str = "plan") -> DataFrame:
     """The same for plan texts: (episode, steps, feasible, failed_step, reason), a row for every plan.
 
-    A text that is no valid plan is not feasible and has the parser's reason.
+    A text that is no valid plan is not feasible and has the parser's reason. Texts are parsed once and written
+    down: their steps are counted, their facts are written and read, and each would parse them anew.
     """
-    parsed = X.parse_plan(F.col(plan), dataset)
-    said = plans.select(F.col(key).alias("episode"), F.when(parsed["skills"].isNull(), F.concat(F.lit("plan_"), F.coalesce(parsed["reason"], F.lit("missing")))).alias("_why"))
-    judged = audit_plans(plan_steps(plans, dataset, key, plan), facts, dataset)
+    texts = X.once(plans.select(F.col(key).alias("episode"), F.col(plan).alias("_text")), "_p", X.parse_plan(F.col("_text"), dataset))
+    why = F.when(F.col("_p.skills").isNull(), F.concat(F.lit("plan_"), F.coalesce("_p.reason", F.lit("missing"))))
+    parsed = cut_lineage(texts.select("episode", F.col("_p.skills").alias("skills"), why.alias("_why")))
+    said = parsed.select("episode", "_why")
+    judged = audit_plans(_steps(parsed), facts, dataset)
     return said.join(judged, "episode", "left").select(
         "episode",
         F.coalesce("steps", F.lit(0)).alias("steps"),

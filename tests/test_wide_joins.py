@@ -130,3 +130,21 @@ def test_frames_are_not_sorted_to_meet_their_segments(spark):
     assert "ShuffledHashJoin" in plan_of(met)
     want = [(1, i, 0 if i < 3 else 3, 3 if i < 3 else 5) for i in range(6)] + [(2, i, 0, 2) for i in range(3)]
     assert sorted((r.episode, r.step, r.start_step, r.end_step) for r in met.collect()) == want
+
+
+def test_plans_are_parsed_once(spark, monkeypatch):
+    from demospan.plans import feasibility as FE
+
+    counted = spark.sparkContext.accumulator(0)
+
+    def tick(x):
+        counted.add(1)
+        return x
+
+    told = F.udf(tick, "string").asNondeterministic()
+    plans = spark.createDataFrame([(1, "1. OPEN(drawer)"), (2, "no plan"), (3, None), (4, "1. CLOSE(drawer)")], "episode bigint, plan string")
+    facts = spark.createDataFrame([(e, n, a, "") for e in (1, 4) for n, a in (("free", ""), ("closed", "drawer"), ("openable", "drawer"))], "episode bigint, name string, first string, second string")
+    out = FE.audit_plan_texts(plans.withColumn("plan", told("plan")), facts, "libero")
+    got = {r.episode: (r.steps, r.feasible, r.failed_step) for r in out.collect()}
+    assert got[1] == (1, True, None) and got[4] == (1, False, 1) and not got[2][1] and not got[3][1]
+    assert counted.value == 4
