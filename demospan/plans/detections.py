@@ -83,13 +83,14 @@ def overlapping_pairs(detections: DataFrame, ratio: float = V.OVERLAP_RATIO) ->
 
 
 def _crowded(detections: DataFrame) -> DataFrame:
-    """The frames with more than ``FEW`` boxes, and rows without a frame, counted on their names alone and written down."""
-    n = detections.groupBy("frame").agg(F.count(F.lit(1)).alias("_n"))
-    return cut_lineage(n.filter((F.col("_n") > FEW) | F.col("frame").isNull()).select(F.col("frame").alias("_crowded")))
+    """The frames with more than ``FEW`` boxes or one without a place or size, and rows without a frame; written down."""
+    lacks = F.greatest(*[F.col(c).isNull() for c in BOX])
+    n = detections.groupBy("frame").agg(F.count(F.lit(1)).alias("_n"), F.bool_or(lacks).alias("_lacks"))
+    return cut_lineage(n.filter((F.col("_n") > FEW) | F.col("_lacks") | F.col("frame").isNull()).select(F.col("frame").alias("_crowded")))
 
 
 def _parted(boxes: DataFrame, crowded: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """(boxes of small frames, boxes of crowded ones and of none)."""
+    """(boxes of small whole frames, all others)."""
     same = F.col("frame").eqNullSafe(F.col("_crowded"))
     return boxes.join(crowded, same, "left_anti"), boxes.join(crowded, same, "left_semi")
 

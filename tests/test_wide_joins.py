@@ -148,3 +148,15 @@ def test_plans_are_parsed_once(spark, monkeypatch):
     got = {r.episode: (r.steps, r.feasible, r.failed_step) for r in out.collect()}
     assert got[1] == (1, True, None) and got[4] == (1, False, 1) and not got[2][1] and not got[3][1]
     assert counted.value == 4
+
+
+def test_boxes_without_a_place_or_size_meet_none(spark, monkeypatch):
+    rows = [(1, i, i, 0.0, 0.0, 1.0, 1.0, [0.5, 0.1 * i]) for i in range(3)]
+    rows += [(1, 3 + i, 3 + i, *(None if c == i else 1.0 for c in range(4)), [0.5, 0.5]) for i in range(4)]
+    df = spark.createDataFrame(rows, SCHEMA)
+    got = []
+    for few in (0, 64):
+        monkeypatch.setattr(D, "FEW", few)
+        assert D.overlapping_pairs(df).count() == 0  # the three copies are one box
+        got.append(sorted((r.id, str(r.scores)) for r in D.merge_detections(df).collect()))
+    assert got[0] == got[1] and len(got[0]) == 5
