@@ -82,7 +82,7 @@ def _rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             size.append(len(data))
             sha.append(hashlib.sha256(data).hexdigest())
         found = [pa.array(f1, pa.int64()), pa.array(f2, pa.int64()), pa.array(size, pa.int64()), pa.array(sha, pa.string())]
-        yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("raw"), *found], ["doc_id", "raw", *KEY, "text_sha256"])
+        yield pa.RecordBatch.from_arrays([batch.column("doc_id"), *found], ["doc_id", *KEY, "text_sha256"])
 
 
 def _chunk_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -109,9 +109,8 @@ def _chunk_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def fingerprints(docs: DataFrame) -> DataFrame:
-    """``doc_id, raw, f1, f2, n_bytes, text_sha256`` of the normalised text, a row per document; raw is a hash of the text as it is."""
-    rows = texts(docs).withColumn("raw", F.xxhash64("text"))
-    return rows.mapInArrow(_rows, "doc_id bigint, raw bigint, f1 bigint, f2 bigint, n_bytes bigint, text_sha256 string")
+    """``doc_id, f1, f2, n_bytes, text_sha256`` of the normalised text, a row per document."""
+    return texts(docs).mapInArrow(_rows, "doc_id bigint, f1 bigint, f2 bigint, n_bytes bigint, text_sha256 string")
 
 
 def collisions(docs: DataFrame) -> DataFrame:
@@ -138,10 +137,10 @@ def exact_groups(docs: DataFrame) -> DataFrame:
     rows = cut(fingerprints(docs))
     numbered = rows.withColumn("nth", F.row_number().over(W.partitionBy("doc_id", *KEY, "text_sha256").orderBy(F.lit(1))))
     contents = rows.groupBy(*KEY, "text_sha256").agg(F.min("doc_id").alias("least"), F.count("*").alias("rows"))
-    # only texts whose fingerprint another row has are compared; the bitmap lets a few more through
+    # only texts whose fingerprint another row has are compared; the bitmap of their ids lets a few more through
     shared = rows.groupBy(*KEY).agg(F.count("*").alias("n")).where("n > 1").select(*KEY)
-    raw = rows.join(shared, KEY, "left_semi").select("raw").distinct()
-    compared = docs.where(BitFilter(raw, "raw", BITMAP).may_hold(F.xxhash64(F.coalesce(docs["text"].cast("string"), F.lit("")))))
+    ids = rows.join(shared, KEY, "left_semi").select(F.xxhash64("doc_id").alias("id")).distinct()
+    compared = docs.where(BitFilter(ids, "id", BITMAP).may_hold(F.xxhash64(docs["doc_id"].cast("bigint"))))
     clash = collisions(compared).withColumn("clash", F.lit(True))
     # a fingerprint is a class of its own unless the comparison split it; then its contents are
     classes = contents.join(clash, KEY, "left").withColumn("class", F.when(F.col("clash"), F.col("text_sha256")))
