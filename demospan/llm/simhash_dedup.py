@@ -54,15 +54,21 @@ def _signed(values: list[int]) -> pa.Array:
     return pa.array(np.array(values, dtype=np.uint64).view(np.int64), pa.int64())
 
 
-def fingerprints(docs: DataFrame, words: int = WORDS) -> DataFrame:
-    """``doc_id, fp`` (bigint) for every row."""
+def _fingerprinted(told: DataFrame, words: int) -> DataFrame:
+    """The rows of ``told`` with ``fp`` (bigint) in place of their text, which is the last column."""
+    names = told.columns[:-1]
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             fps = [simhash(t.as_py(), words) for t in batch.column("text")]
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), _signed(fps)], ["doc_id", "fp"])
+            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in names), _signed(fps)], [*names, "fp"])
+
+    return told.mapInArrow(rows, ", ".join(f"{c} bigint" for c in [*names, "fp"]))
+
 
-    return texts(docs).mapInArrow(rows, "doc_id bigint, fp bigint")
+def fingerprints(docs: DataFrame, words: int = WORDS) -> DataFrame:
+    """``doc_id, fp`` (bigint) for every row."""
+    return _fingerprinted(texts(docs).select("doc_id", "text"), words)
 
 
 def block_masks(bits: list[int], blocks: int, shared: int = SHARED_BLOCKS) -> list[int]:
@@ -200,17 +206,28 @@ def hex_digits(fp) -> F.Column:
 
 
 def keep_one(docs: DataFrame, words: int = WORDS, radius: int = RADIUS) -> DataFrame:
-    """The row with the smallest doc_id of each component, all columns as they are.
+    """The row with the smallest doc_id of each component, all columns as they are; null ids come last.
 
-    Of several rows with that id, the one with the smallest fingerprint and text hash stays.
+    Of several rows with that id, the one with the smallest text hash stays. Components named by one id keep one
+    row together; those without any id keep one each.
     """
-    return keep_least(docs, near_groups(docs.select("doc_id", "text"), words, radius))
-
-
-def keep_least(docs: DataFrame, groups: DataFrame) -> DataFrame:
-    """The rows that name the components of ``groups(doc_id, component_id)``, one each."""
-    own = F.xxhash64(F.coalesce(docs["text"], F.lit("")))
-    best = groups.where(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("best")).distinct()
-    names = docs.select(docs["doc_id"].cast("bigint").alias("doc_id"), own.alias("own"))
-    named = names.join(best, F.col("doc_id").eqNullSafe(F.col("best")), "left_semi")
-    return kept_rows(docs, own, named.groupBy("doc_id").agg(F.min("own").alias("own")))
+    told = texts(docs).select("doc_id", F.xxhash64("text").alias("own"), "text")
+    rows = cut(_fingerprinted(told, words).withColumnRenamed("fp", "node"))
+    links = fingerprint_links(rows.select(F.col("node").alias("fp")).distinct(), radius)
+    return keep_least(docs, least_rows(rows, components(links)))
+
+
+def least_rows(rows: DataFrame, roots: DataFrame) -> DataFrame:
+    """``doc_id, own``: the rows of ``rows(doc_id, own, node)`` that ``keep_one`` keeps; ``roots(node, root)`` joins nodes."""
+    place = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "own")
+    first = rows.groupBy("node").agg(F.min(place).alias("first"))
+    of = roots.withColumnRenamed("node", "of")
+    named = first.join(of, first["node"] == of["of"], "left").select(F.coalesce("root", "node").alias("root"), "first")
+    least = named.groupBy("root").agg(F.min("first").alias("first")).select("root", "first.doc_id", "first.own")
+    nameless = F.when(F.col("doc_id").isNull(), F.col("root"))
+    return least.groupBy("doc_id", nameless.alias("nameless")).agg(F.min("own").alias("own")).select("doc_id", "own")
+
+
+def keep_least(docs: DataFrame, least: DataFrame) -> DataFrame:
+    """The rows of ``docs`` whose doc_id and text hash ``least(doc_id, own)`` names, one for each."""
+    return kept_rows(docs, F.xxhash64(F.coalesce(docs["text"].cast("string"), F.lit(""))), least)
