@@ -6,11 +6,13 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from ..functions import vocab as V
 from ..session import cut_lineage
-from .ordered import Ordered, ordered, percentiles
+from .ordered import Ordered, large_groups, ordered, percentiles
 
 # Steps per join bucket. Segments are some tens of steps, so one covers one to three buckets, and
 # a bucket holds few segments: the residual comparison stays small for any episode length.
 JOIN_BUCKET = 64
+# An episode of at most so many segments needs no buckets: a frame is compared with all of them.
+FEW_SEGMENTS = 32
 CHUNK_RUN = 1024
 
 
@@ -38,15 +40,41 @@ def frames_in_segments(frames: DataFrame, segments: DataFrame, key: str = "episo
 
 
 def frames_in_segments_to_end(frames: DataFrame, segments: DataFrame, key: str = "episode") -> DataFrame:
-    """The same, but a step equal to the end of the episode's last segment still belongs to that segment."""
-    ends = segments.groupBy(key).agg(F.max("end_step").alias("_last_end"))
-    longer = segments.join(ends, key).withColumns(
-        {"_end": F.col("end_step"), "end_step": F.col("end_step") + (F.col("end_step") == F.col("_last_end")).cast("int")}
+    """The same, but a step equal to the end of the episode's last segment still belongs to that segment.
+
+    Episodes of few segments meet on their key alone. Rows that are dealt by it already, as those that a window or
+    a grouping of the episode made, are not shuffled again. Only episodes of many segments go by buckets.
+    """
+    many = large_groups(segments, [key], FEW_SEGMENTS).drop("_large")
+    if many.isEmpty():
+        return _in_few_to_end(frames, segments, key)
+    many = cut_lineage(many)
+    few = [x.join(many, key, "left_anti") for x in (frames, segments)]
+    rest = [x.join(many, key, "left_semi") for x in (frames, segments)]
+    return _in_few_to_end(*few, key).unionByName(_in_many_to_end(*rest, key))
+
+
+def _to_end(segments: DataFrame, last_end: Column) -> DataFrame:
+    """Segments that cover a step, those that end the episode one step longer; ``_end`` is the end they have."""
+    longer = segments.withColumns(
+        {"_end": F.col("end_step"), "end_step": F.col("end_step") + (F.col("end_step") == last_end).cast("int")}
     )
-    # the frames are many times the segments of a bucket, which are looked up; the frames need no sort
-    covers = longer.filter(F.col("_end") > F.col("start_step")).drop("_last_end").hint("shuffle_hash")
-    found = frames_in_segments(frames, covers, key)
-    return found.withColumn("end_step", F.col("_end")).drop("_end")
+    return longer.filter(F.col("_end") > F.col("start_step"))
+
+
+def _in_few_to_end(frames: DataFrame, segments: DataFrame, key: str) -> DataFrame:
+    known = segments.select(key, *[c for c in segments.columns if c != key])
+    ends = known.withColumn("_last_end", F.max("end_step").over(Window.partitionBy(key)))
+    # the frames are many times the segments, which are looked up; the frames need no sort
+    covers = _to_end(ends, F.col("_last_end")).drop("_last_end").withColumnRenamed(key, "_key").hint("shuffle_hash")
+    on = (F.col(key) == F.col("_key")) & (F.col("step") >= F.col("start_step")) & (F.col("step") < F.col("end_step"))
+    return frames.join(covers, on).drop("_key").withColumn("end_step", F.col("_end")).drop("_end")
+
+
+def _in_many_to_end(frames: DataFrame, segments: DataFrame, key: str) -> DataFrame:
+    ends = segments.groupBy(key).agg(F.max("end_step").alias("_last_end"))
+    covers = _to_end(segments.join(ends, key), F.col("_last_end")).drop("_last_end").hint("shuffle_hash")
+    return frames_in_segments(frames, covers, key).withColumn("end_step", F.col("_end")).drop("_end")
 
 
 def last_step_of_segments(segments: DataFrame, frames: DataFrame, key: str = "episode") -> DataFrame:

@@ -1,6 +1,7 @@
 """Plans that must grow with their input: no made column passes the driver, no box is repeated without need."""
 
 import random
+from collections import Counter
 
 import pytest
 from demospan.operators import joins as J
@@ -8,7 +9,7 @@ from demospan.operators.aggregates import element_stats
 from demospan.plans import annotate as AN
 from demospan.plans import cot as CT
 from demospan.plans import detections as D
-from pyspark.sql import functions as F
+from pyspark.sql import Window, functions as F
 
 from bindings import QUERIES
 
@@ -160,3 +161,42 @@ def test_boxes_without_a_place_or_size_meet_none(spark, monkeypatch):
         assert D.overlapping_pairs(df).count() == 0  # the three copies are one box
         got.append(sorted((r.id, str(r.scores)) for r in D.merge_detections(df).collect()))
     assert got[0] == got[1] and len(got[0]) == 5
+
+
+def test_episodes_of_few_segments_meet_without_a_shuffle_of_their_frames(spark):
+    from demospan.operators import frames as FR
+
+    given = spark.range(0, 4000, 1, 4).selectExpr("id % 1000 AS episode", "id DIV 1000 AS k", "id % 1000 % 7 AS length")
+    w = Window.partitionBy("episode").orderBy("k")
+    s = given.withColumn("end_step", F.sum("length").over(w)).select("episode", (F.col("end_step") - F.col("length")).alias("start_step"), "end_step")
+    f = s.groupBy("episode").agg(F.max("end_step").alias("e")).select("episode", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("e") + 1)).alias("step"))
+    met = FR.frames_in_segments_to_end(f, s).groupBy("episode").count()
+    assert "ShuffledHashJoin" in plan_of(met) and plan_of(met).count("Exchange hashpartitioning(") == 2
+    # all segments of an episode are equally long, so only the last one holds the end
+    assert {tuple(r) for r in met.collect()} == {(e, 4 * (e % 7) + 1) for e in range(1000) if e % 7}
+
+
+def test_frames_meet_episodes_of_few_and_of_many_segments(spark):
+    from demospan.operators import frames as FR
+
+    rng = random.Random(7)
+    rows = []
+    for e, n in [(1, 3), (2, FR.FEW_SEGMENTS), (3, FR.FEW_SEGMENTS + 1), (4, 200), (None, 5), (None, 60)]:
+        at = 0
+        for _ in range(n):
+            rows.append((e, at, at := at + rng.randrange(0, 90), f"v{rng.randrange(3)}"))
+    rows += [(5, 4, 2, "back"), (6, None, 5, "no start"), (7, 2, None, "no end"), (8, 0, 9, "whole"), (8, 3, 9, "twice")]
+    steps = [(e, i) for e in (1, 2, 3, 4, 5, 6, 7, 8, 9, None) for i in [*range(0, 12_000, 5), 9, 9, None]]
+    steps += [(e, max(r[2] for r in rows if r[0] == e) + d) for e in (1, 2, 3, 4) for d in (-1, 0, 1)]
+    s = spark.createDataFrame(rows, "episode bigint, start_step bigint, end_step bigint, verb string")
+    f = spark.createDataFrame(steps, "episode bigint, step bigint")
+    last = {e: max((r[2] for r in rows if r[0] == e and r[2] is not None), default=None) for e in range(1, 9)}
+    want = Counter(
+        (e, i, a, b, v) for e, i in steps if i is not None for x, a, b, v in rows
+        if e is not None and x == e and a is not None and b is not None and a < b and (a <= i < b or i == b == last[e])
+    )
+    for some in (s, s.where("episode IN (1, 2, 8)")):
+        held = {r.episode for r in some.collect()}
+        met = FR.frames_in_segments_to_end(f, some)
+        assert met.columns == ["episode", "step", "start_step", "end_step", "verb"]
+        assert Counter(tuple(r) for r in met.collect()) == Counter({k: n for k, n in want.items() if k[0] in held})
